@@ -9,9 +9,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from densika.llm import bpe, packing, quality_rules
-from densika.llm.common import read
+from densika.llm import bpe, packing, quality_rules, topk, warc
+from densika.llm.common import read, shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -20,18 +21,63 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(WORD_BPE))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0, "vec_id", "embedding", k=5, scale=256.0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages", "page_id", "url", "html"), folder, "page_id", "url", "html")
+    found = warc.read(spark, folder)
+    return found.select(
+        warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), warc.page_id("refers_to").alias("refers_to"),
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read(spark, sf_dir, "documents", "doc_id", "text"), with_text=False).drop("clean_text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op6_topk": op6_topk,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
+        ), r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5
+    """,
+    "op9_warc": """
+        WITH p AS (
+            SELECT DISTINCT page_id, sha256(coalesce(html, '')) AS payload_digest,
+                   CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes
+            FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
+}
