@@ -11,16 +11,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densika.llm import bpe, packing, quality_rules, topk, warc
-from densika.llm.common import read, shared_folder
+from densika.llm import bpe, langid, packing, quality_rules, topk, toxicity, warc
+from densika.llm.common import held_out, read, shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic")
+    models = toxicity.learn(docs, labels, "doc_id", "text", "toxic", ~held_out("id", 4, 2), toxicity.SAMPLE)
+    return toxicity.score(docs, models).withColumn("held_out", held_out("doc_id", 4, 2))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(WORD_BPE))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.learn(docs, "doc_id", "text", "lang", ~held_out("id", 3, 1))
+    return langid.predict(docs, model).withColumn("held_out", held_out("doc_id", 3, 1))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return topk.top_k(rows, F.col("vec_id") % 50 == 0, "vec_id", "embedding", k=5, scale=256.0)
@@ -45,7 +58,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op5_langid": op5_langid,
     "op6_topk": op6_topk,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
