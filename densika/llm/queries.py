@@ -11,12 +11,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densika.llm import bpe, langid, packing, quality_rules, topk, toxicity, warc
+from densika.llm import bpe, langid, lm, packing, quality_rules, topk, toxicity, warc
 from densika.llm.common import held_out, read, shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model, tail = lm.learn(docs.where(~held_out("doc_id", 5, 1)))
+    return lm.score(docs, model, tail).withColumn("held_out", held_out("doc_id", 5, 1))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     labels = read(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -58,6 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm": op1_lm,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op5_langid": op5_langid,
