@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from densika.llm.common import LOWER, map_batches
 
 MAX_VOCABULARY_BYTES = 64 << 20
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_600_000
 END = "</w>"
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 #: Fixed by the vocabulary file's pre-tokenizer, and checked against it.
@@ -105,7 +105,10 @@ class Encoder(dict):
             self[chunk] = out
             return out
         if len(chunk) > 1 and chunk[-1] in b".,!" and chunk[-2] in ALNUM:  # a word and one mark, which is a word of its own
+            again = chunk[:-1] in self
             out = self[chunk[:-1]] + self[chunk[-1:]]
+            if not again:
+                return out
         else:
             out = self.plain(chunk.decode("utf-8", "replace"))
         self[chunk] = out
