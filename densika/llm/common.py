@@ -12,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from densika.operators.lineage import cut
+
+__all__ = ["LOWER", "cut", "held_out", "lists", "make_importable", "map_batches", "read", "remainder", "shared_folder"]
+
 #: Bytes with A-Z lower-cased; every other byte, so every other code point, stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -46,14 +50,6 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/densika-{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so a lost executor costs no earlier stage."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def map_batches(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, object]]) -> DataFrame:
     """fn gets a dict of Python lists for each Arrow batch and returns a dict of columns in the order of schema.
 

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densika.llm import bpe, langid, lm, packing, quality_rules, topk, toxicity, warc
+from densika.llm import bpe, langid, lm, neardup, packing, quality_rules, topk, toxicity, warc
 from densika.llm.common import held_out, read, shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(WORD_BPE))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=85)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.learn(docs, "doc_id", "text", "lang", ~held_out("id", 3, 1))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm": op1_lm,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op4_neardup": op4_neardup,
     "op5_langid": op5_langid,
     "op6_topk": op6_topk,
     "op8_packing": op8_packing,
