@@ -32,8 +32,7 @@ CANDIDATE_BLOCK = 8192
 #: Pivots are chosen on the driver from so many vectors, the first ones by a hash of their id.
 PIVOTS, PIVOT_SAMPLE = 32, 1024
 #: So many candidates are scored at a time, and so many pairs of rows are bounded at a time.
-BATCH, PAIRS = 256, 1 << 20
-EXACT = float(1 << 52)
+BATCH, PAIRS = 256, 1 << 17
 
 
 def quantised(values: np.ndarray, scale: float) -> np.ndarray:
@@ -57,11 +56,17 @@ def distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
+def exact_kind(x: np.ndarray, q: np.ndarray) -> type:
+    """The smallest type in which all inner products of rows of x and q are exact."""
+    most = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1])
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else object
+
+
 def scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products as integers; by floating point where that is exact."""
-    if np.abs(rows).max(initial=0) * np.abs(query).max(initial=0) * max(1, len(query)) < EXACT:
-        return (rows @ query).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(r, query, strict=True)) for r in rows], np.int64)
+    """Inner products as integers, of vectors whose type is exact for them."""
+    if rows.dtype == object:
+        return np.array([sum(int(a) * int(b) for a, b in zip(r, query, strict=True)) for r in rows], np.int64)
+    return (rows @ query).astype(np.int64)
 
 
 def bounds(q: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -69,10 +74,13 @@ def bounds(q: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     squares = (q**2).sum(1)[:, None] + (x**2).sum(1)[None]
     low = np.zeros_like(squares)
     if len(pivots):
-        dq, dx = distances(q, pivots), distances(x, pivots)
-        slack = 1e-6 * (1 + np.sqrt(squares))  # more than rounding can take off a distance
+        dq, dx = distances(q, pivots), np.ascontiguousarray(distances(x, pivots).T)
+        slack = 1e-6 * (1 + np.sqrt(squares.max()))  # more than rounding can take off a distance
+        apart = np.empty_like(low)
         for p in range(len(pivots)):
-            np.maximum(low, np.abs(dq[:, p, None] - dx[None, :, p]), out=low)
+            np.subtract(dq[:, p, None], dx[p], out=apart)
+            np.abs(apart, out=apart)
+            np.maximum(low, apart, out=low)
         low = np.maximum(low - slack, 0)
     return (squares - low**2) / 2 * (1 + 1e-9) + 1
 
@@ -81,23 +89,33 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, piv
     """The k best of each query among the candidates; x is in ascending order of ids."""
     out = []
     step = max(1, PAIRS // max(1, len(x)))
+    kind = exact_kind(x, q)
+    exact, queries = x.astype(kind), q.astype(kind)
     for first in range(0, len(q), step):
         limit = bounds(q[first : first + step], x, pivots)
-        for own, query, upper in zip(q_ids[first : first + step], q[first : first + step], limit, strict=True):
+        for own, query, upper in zip(q_ids[first : first + step], queries[first : first + step], limit, strict=True):
             upper[ids == own] = -np.inf
-            best: list[tuple[int, int]] = []  # (-score, id)
-            worst = -np.inf
             live = np.argpartition(-upper, BATCH)[:BATCH] if len(x) > BATCH else np.arange(len(x))
-            done = np.zeros(len(x), bool)
-            while len(live):
-                live = live[np.isfinite(upper[live])]
-                found = zip((-scores(x[live], query)).tolist(), ids[live].tolist(), strict=True) if len(live) else ()
-                best = sorted([*best, *found])[:k]
-                done[live] = True
-                worst = -best[-1][0] if len(best) == k else -np.inf
-                rest = np.flatnonzero(~done & (upper >= worst) & np.isfinite(upper))
-                live = rest[np.argsort(-upper[rest], kind="stable")[:BATCH]]
-            out += [(int(own), i, -s) for s, i in best]
+            best = np.zeros((2, 0), np.int64)  # scores and ids
+            size, rest = BATCH, None
+            while len(live := live[upper[live] > -np.inf]):
+                found = np.stack([scores(exact[live], query), ids[live]])
+                if best.shape[1] == k:
+                    found = found[:, found[0] >= best[0, -1]]
+                best = np.concatenate([best, found], 1)
+                best = best[:, np.lexsort((best[1], -best[0]))[:k]]
+                worst = best[0, -1] if best.shape[1] == k else -np.inf
+                if rest is None:  # what the first batch leaves, in the order of the bounds
+                    left = upper >= worst
+                    left[live] = False
+                    rest = np.flatnonzero(left)
+                    rest = rest[np.argsort(-upper[rest])]
+                else:
+                    rest = rest[size:]
+                    size *= 4
+                live = rest[:size]
+                live = live[upper[live] >= worst]
+            out += [(int(own), i, s) for s, i in best.T.tolist()]
     return out
 
 
