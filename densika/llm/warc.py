@@ -92,16 +92,13 @@ def write(pages: DataFrame, folder: str, id_col: str, url_col: str, payload_col:
     payload = F.coalesce(pages[payload_col].cast("binary"), F.lit(b""))
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.length("payload").cast("long")})
-    narrow = rows.select("id", "digest", "size")
+    rows = rows.withColumn("page", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), "digest"))
+    narrow = rows.select("page", "id", "digest", "size")
     first = narrow.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"))
-    own = narrow.distinct().alias("n").join(first.alias("f"), "digest", "left").select("id", "digest", "first").alias("r")
-    same = F.col("p.id").eqNullSafe(F.col("r.id")) & (F.col("p.digest") == F.col("r.digest"))
-    revisit = F.col("r.first").isNotNull() & ~F.col("r.first").eqNullSafe(F.col("r.id"))
-    joined = rows.alias("p").join(own, same).select(
-        "p.id", "p.url", "p.digest", "p.size", F.when(revisit, F.col("r.first")).alias("first"),
-        F.when(revisit, F.lit(b"")).otherwise(F.col("p.payload")).alias("payload"),
-    )
-    page = joined.groupBy("id", "digest").agg(*(F.min(c).alias(c) for c in ("url", "size", "first", "payload")))
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
+    own = narrow.distinct().join(first, "digest", "left").select("page", F.when(revisit, F.col("first")).alias("first"))
+    joined = rows.join(own, "page").withColumn("payload", F.when(F.col("first").isNull(), F.col("payload")).otherwise(F.lit(b"")))
+    page = joined.groupBy("page").agg(*(F.min(c).alias(c) for c in ("id", "url", "digest", "size", "first", "payload")))
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
