@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densika.llm import bpe, langid, lm, neardup, packing, quality_rules, topk, toxicity, warc
+from densika.llm import bpe, langid, lm, neardup, packing, quality_rules, repeats, topk, toxicity, warc
 from densika.llm.common import held_out, read, shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
@@ -49,6 +49,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 50 == 0, "vec_id", "embedding", k=5, scale=256.0)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), length=50)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(WORD_BPE))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_neardup": op4_neardup,
     "op5_langid": op5_langid,
     "op6_topk": op6_topk,
+    "op7_repeats": op7_repeats,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
