@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from densika.operators.lineage import cut
 
-__all__ = ["LOWER", "cut", "held_out", "lists", "make_importable", "map_batches", "read", "remainder", "shared_folder"]
+__all__ = ["LOWER", "cut", "held_out", "keep_rows", "lists", "make_importable", "map_batches", "read", "remainder", "shared_folder"]
 
 #: Bytes with A-Z lower-cased; every other byte, so every other code point, stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -69,6 +69,18 @@ class BatchMap:
                 yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
 
 
+def keep_rows(docs: DataFrame, column: str, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows for whose value in a column keep says yes, with all their columns, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = lists(batch.select([column]))[column]
+                yield batch.filter(pa.array(keep(values), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def lists(batch: pa.RecordBatch) -> dict[str, list]:
     """Python lists of a batch's columns; strings as bytes."""
     out = {}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import LOWER, map_batches
+from densika.llm.common import LOWER, keep_rows, map_batches
 
 BITS = 14
 PER_LANGUAGE, MAX_LANGUAGES, MAX_ROWS = 400, 256, 8192
@@ -129,28 +129,44 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learns: Co
     return fit(totals)
 
 
+def told(model: Model, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, list[str | None], np.ndarray]:
+    """For each text its language, the score, the second choice and whether the two are close."""
+    first, second = [UNDETERMINED] * len(texts), [None] * len(texts)
+    score, close = np.zeros(len(texts)), np.zeros(len(texts), bool)
+    usable = [k for k, t in enumerate(texts) if model.languages and has_letter(t)]
+    for at in range(0, len(usable), 256):
+        some = usable[at : at + 256]
+        loss = model.losses(np.array([trigrams(texts[k]) for k in some], np.float32))
+        share = np.exp(loss.min(1, keepdims=True) - loss)
+        share /= share.sum(1, keepdims=True)
+        order = np.argsort(loss, 1, kind="stable")
+        for k, s, o in zip(some, share, order, strict=True):
+            first[k], score[k] = model.languages[o[0]], s[o[0]]
+            if len(o) > 1:
+                second[k], close[k] = model.languages[o[1]], s[o[0]] - s[o[1]] < AMBIGUOUS
+    return first, score, second, close
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The language of every row, its score, the second choice and whether the two are close."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batch(rows: dict[str, list]) -> dict[str, object]:
-        own, texts = shared.value, rows["text"]
-        first, second = [UNDETERMINED] * len(texts), [None] * len(texts)
-        score, close = np.zeros(len(texts)), np.zeros(len(texts), bool)
-        usable = [k for k, t in enumerate(texts) if own.languages and has_letter(t)]
-        for at in range(0, len(usable), 256):
-            some = usable[at : at + 256]
-            loss = own.losses(np.array([trigrams(texts[k]) for k in some], np.float32))
-            share = np.exp(loss.min(1, keepdims=True) - loss)
-            share /= share.sum(1, keepdims=True)
-            order = np.argsort(loss, 1, kind="stable")
-            for k, s, o in zip(some, share, order, strict=True):
-                first[k], score[k] = own.languages[o[0]], s[o[0]]
-                if len(o) > 1:
-                    second[k], close[k] = own.languages[o[1]], s[o[0]] - s[o[1]] < AMBIGUOUS
+        first, score, second, close = told(shared.value, rows["text"])
         return {
             "doc_id": pa.array(rows["id"], pa.int64()), "lang_pred": pa.array(first, pa.string()), "score": score,
             "runner_up": pa.array(second, pa.string()), "ambiguous": close,
         }
 
     return map_batches(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), SCHEMA, batch)
+
+
+def drop_undetermined(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """docs without the rows whose language can't be told or scores less than that."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list[bytes | None]) -> list[bool]:
+        first, score, *_ = told(shared.value, texts)
+        return [lang != UNDETERMINED and s >= least for lang, s in zip(first, score, strict=True)]
+
+    return keep_rows(docs, text_col, keep)

@@ -30,6 +30,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -214,9 +215,9 @@ class Collector:
         self.ids: list[int] = []
         self.bytes = 0
 
-    def add(self, ids: list, texts: list[bytes | None]) -> None:
+    def add(self, row_keys: list[int], ids: list, texts: list[bytes | None]) -> None:
         base, index, length = len(self.row_keys), self.index, self.length
-        self.row_keys += [row_key(i, t) for i, t in zip(ids, texts, strict=True)]
+        self.row_keys += row_keys
         self.ids += ids_of(ids).tolist()
         for data, h, row, start, a, b in segments(texts, length):
             live = np.flatnonzero(self.shared.has(h))
@@ -262,11 +263,6 @@ class Collector:
         return pa.RecordBatch.from_pydict({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(names, zip(*rows, strict=True), strict=True)})
 
 
-def row_key(own: int | None, text: bytes | None) -> int:
-    """Rows that agree in id and text are the same here."""
-    return xxhash.xxh3_64_intdigest(text or b"", seed=0 if own is None else (own * 2 + 1) % (1 << 64)) - (1 << 63)
-
-
 class Transform:
     """A shard's Burrows-Wheeler transform: for each depth, the super-character before each suffix, in sorted order."""
 
@@ -388,15 +384,17 @@ def row_places(row_keys: np.ndarray) -> np.ndarray:
 
 
 KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and a key in which rows agree that agree in both."""
+    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    return own.withColumn("row_key", F.xxhash64("id", "text"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept_text (what is left of cut characters goes too)."""
+def repeat_spans(texts: DataFrame, length: int) -> DataFrame:
+    """row_key, spans: what to remove from each row of narrowed() that repeats something, as pairs of 64-bit integers."""
     if length % 2 or length < WINDOW + 7 or length > 1 << 16:
         raise ValueError("length must be even and at least 34")
-    spark = docs.sparkSession
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    spark = texts.sparkSession
     buckets = 1
     while buckets < max(16, 4 * texts.rdd.getNumPartitions()):
         buckets *= 2
@@ -413,7 +411,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             columns = lists(batch)
             for at in range(0, batch.num_rows, 512):
-                collector.add(columns["id"][at : at + 512], columns["text"][at : at + 512])
+                some = slice(at, at + 512)
+                collector.add(columns["row_key"][some], columns["id"][some], columns["text"][some])
                 if collector.bytes >= FLUSH:
                     yield collector.flush(task)
                     task += 1
@@ -425,42 +424,66 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     decided = decided.applyInArrow(lambda t: decide(t, length), DECIDED)
     own = blocks.selectExpr("task", "bucket", "CASE WHEN bucket < 0 THEN keys END AS keys", "sizes", "CASE WHEN bucket < 0 THEN least END AS least", "content", "row", "start")
     joined = own.join(decided, ["task", "bucket"], "left").groupBy("task")
-    spans = cut(joined.applyInArrow(lambda t: spans_of(t, length), "row_key long, spans binary").dropDuplicates(["row_key"]))
-    flags = spark.sparkContext.broadcast(row_bitmap(spans))
+    return cut(joined.applyInArrow(lambda t: spans_of(t, length), "row_key long, spans binary").dropDuplicates(["row_key"]))
+
+
+def without(text: bytes, spans: bytes | None) -> tuple[bytes, np.ndarray]:
+    """What the spans leave of a text, and the spans as rows of an array."""
+    found = np.frombuffer(spans or b"", "<i8").reshape(-1, 2)
+    edges = [0, *found.ravel().tolist(), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), found
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    texts = narrowed(docs, id_col, text_col)
+    spans = repeat_spans(texts, length)
+    flags = docs.sparkSession.sparkContext.broadcast(row_bitmap(spans))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = flags.value
         for batch in batches:
             columns = lists(batch)
-            keys = np.array([row_key(i, t) for i, t in zip(columns["id"], columns["text"], strict=True)], np.int64)
-            place = row_places(keys)
+            place = row_places(np.array(columns["row_key"], np.int64))
             flagged = (bits[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
+            own = [t or b"" for t in columns["text"]]
             yield pa.RecordBatch.from_pydict({
-                "row_key": pa.array(keys), "id": pa.array(columns["id"], pa.int64()),
-                "n_bytes": pa.array([len(t or b"") for t in columns["text"]], pa.int64()),
-                "sha": pa.array([None if f else hashlib.sha256(t or b"").hexdigest() for t, f in zip(columns["text"], flagged, strict=True)], pa.string()),
-                "text": pa.array([t if f or with_text else None for t, f in zip(columns["text"], flagged, strict=True)], pa.binary()),
+                "row_key": batch.column("row_key"), "id": batch.column("id"), "n_bytes": pa.array([len(t) for t in own], pa.int64()),
+                "sha": pa.array([None if f else hashlib.sha256(t).hexdigest() for t, f in zip(own, flagged, strict=True)], pa.string()),
+                "text": pa.array([t if f else None for t, f in zip(own, flagged, strict=True)], pa.binary()),
             })
 
-    rows = texts.mapInArrow(split, "row_key long, id long, n_bytes long, sha string, text binary").join(spans, "row_key", "left")
-    schema = RESULT + ", kept_text string" * with_text
-
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                found = np.frombuffer(r["spans"] or b"", "<i8").reshape(-1, 2)
-                text = r["text"]
-                if len(found):
-                    edges = [0, *found.ravel().tolist(), r["n_bytes"]]
-                    text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                sha = hashlib.sha256(text or b"").hexdigest() if len(found) or not r["sha"] else r["sha"]
-                row = (r["id"], r["n_bytes"], int((found[:, 1] - found[:, 0]).sum()), len(found), sha)
-                out.append((*row, (text or b"").decode("utf-8", "ignore")) if with_text else row)
-            fields = [f.split(" ") for f in schema.split(", ")]
-            yield pa.RecordBatch.from_pydict({n: pa.array(c, KINDS[k]) for (n, k), c in zip(fields, zip(*out, strict=True), strict=True)})
-
-    return rows.select("id", "n_bytes", "sha", "text", "spans").mapInArrow(finish, schema)
+                if r["sha"]:
+                    out.append((r["id"], r["n_bytes"], 0, 0, r["sha"]))
+                else:
+                    text, found = without(r["text"], r["spans"])
+                    out.append((r["id"], r["n_bytes"], r["n_bytes"] - len(text), len(found), hashlib.sha256(text).hexdigest()))
+            fields = [f.split(" ") for f in RESULT.split(", ")]
+            columns = zip(*out, strict=True) if out else ([] for _ in fields)
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, KINDS[k]) for (n, k), c in zip(fields, columns, strict=True)})
+
+    rows = texts.mapInArrow(split, "row_key long, id long, n_bytes long, sha string, text binary").join(spans, "row_key", "left")
+    return rows.select("id", "n_bytes", "sha", "text", "spans").mapInArrow(finish, RESULT)
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+    """docs with their columns, the texts without what repeats; bytes of a character that is cut in two go too."""
+    spans = repeat_spans(narrowed(docs, id_col, text_col), length).select(F.col("row_key").alias("span_key"), F.col("spans").alias("span_list"))
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else t if s is None else without(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, found, strict=True)], dtype=object)
+
+    key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
+    joined = docs.join(spans, key == F.col("span_key"), "left")
+    return joined.select(*(left(docs[c], F.col("span_list")).alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def row_bitmap(spans: DataFrame) -> np.ndarray:

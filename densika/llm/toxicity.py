@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import LOWER, cut, map_batches
+from densika.llm.common import LOWER, cut, keep_rows, map_batches
 
 THRESHOLD = 0.3
 EMPTY = 0.01
@@ -213,3 +213,14 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         }
 
     return map_batches(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), SCHEMA, batch)
+
+
+def drop_toxic(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose score reaches the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def keep(texts: list[bytes | None]) -> list[bool]:
+        ratio, n = np.array([shared.value.text(t) for t in texts], np.float64).T
+        return (shared.value.scores(ratio, n) < THRESHOLD).tolist()
+
+    return keep_rows(docs, text_col, keep)
