@@ -39,7 +39,7 @@ MAX_FILTER_BYTES = 96 << 20
 HEAD = 1 << 20
 GROUPS = 1 << 14
 #: Tokens that are counted or scored together, and words that a worker remembers.
-COUNT_TOKENS, SCORE_TOKENS, MEMO_WORDS = 4 << 20, 1 << 18, 700_000
+COUNT_TOKENS, SCORE_TOKENS, MEMO_WORDS = 1 << 20, 1 << 17, 500_000
 END = xxhash.xxh3_64_intdigest(b"\n end")
 START = xxhash.xxh3_64_intdigest(b"\n start")
 U = np.uint64
