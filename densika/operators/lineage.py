@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one only where it isn't set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/densika-checkpoints-{os.getuid()}"
+    return f"{base.rstrip('/')}/densika-{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder (spark.checkpoint.dir), so a lost executor costs no earlier stage."""
+    """df, computed once and kept in the shared folder, so a lost executor costs no earlier stage."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        base = sc.getConf().get("spark.checkpoint.dir") or f"/tmp/densika-checkpoints-{os.getuid()}"
-        sc.setCheckpointDir(f"{base.rstrip('/')}/densika-{uuid.uuid4().hex}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more, rather than when memory is short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
