@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densika.operators.lineage import cut
+from densika.operators.lineage import cut, shared_folder
 
 __all__ = ["LOWER", "cut", "held_out", "keep_rows", "lists", "make_importable", "map_batches", "read", "remainder", "shared_folder"]
 
@@ -41,15 +40,6 @@ def make_importable(spark: SparkSession) -> None:
         sys.path.append(root)
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc.getCheckpointDir() or f"/tmp/densika-checkpoints-{os.getuid()}"
-    return f"{base.rstrip('/')}/densika-{what}-{uuid.uuid4().hex}"
-
-
 def map_batches(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, object]]) -> DataFrame:
     """fn gets a dict of Python lists for each Arrow batch and returns a dict of columns in the order of schema.
 
