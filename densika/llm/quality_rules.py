@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from densika.llm.common import map_batches
@@ -22,11 +23,12 @@ from densika.llm.common import map_batches
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)")
-SEPARATORS = re.compile(r"(?:^|\s)[|>»•·/](?=\s|$)")
+SEPARATORS = frozenset("|>»•·/")
+SMALL, CAPITAL = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
 BOILERPLATE = re.compile(
     r"all rights reserved|copyright|licen[sc]ed under|general public license|privacy policy|terms of (?:use|service)"
     r"|cookies?\b|javascript|sign up|log ?in\b|subscribe|click here|read more|share this",
-    re.IGNORECASE,
+    re.IGNORECASE | re.ASCII,
 )
 #: A line of boilerplate has at most so many words.
 BOILERPLATE_WORDS = 25
@@ -67,13 +69,13 @@ def repeated_words(words: list[str]) -> int:
 def line_failure(line: str, words: list[str]) -> str | None:
     """The rule that a line with words breaks, if any."""
     n = len(words)
-    if len(SEPARATORS.findall(line)) * 3 >= n and n > 1:
+    if n > 1 and sum(w in SEPARATORS for w in words) * 3 >= n:
         return "navigation"
     if n <= BOILERPLATE_WORDS and BOILERPLATE.search(line):
         return "boilerplate"
     if len(SYMBOLS.findall(line)) * 2 >= n:
         return "symbols"
-    if n >= 3 and line.upper() == line and line.lower() != line:
+    if n >= 3 and CAPITAL.search(line) and not SMALL.search(line):
         return "capitals"
     if n >= 4 and 3 * sum(a == b for a, b in zip(words, words[1:], strict=False)) >= n:
         return "stutter"
