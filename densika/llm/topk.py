@@ -13,7 +13,7 @@ Defined results: vectors that are null, empty, or hold null or non-finite compon
 with the candidates of its own length; rows without an id take no part; of rows that share an id and a length, the one
 whose vector comes first in lexicographic order counts, and a query's own id is never its candidate; ties go to the
 smaller id; with fewer than k candidates all are returned; an empty table gives an empty table; only the id and vector
-columns are read. Scores are exact while they fit in 63 bits.
+columns are read. Scores beyond 63 bits are cut to them.
 """
 
 from __future__ import annotations
@@ -65,7 +65,8 @@ def exact_kind(x: np.ndarray, q: np.ndarray) -> type:
 def scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products as integers, of vectors whose type is exact for them."""
     if rows.dtype == object:
-        return np.array([sum(int(a) * int(b) for a, b in zip(r, query, strict=True)) for r in rows], np.int64)
+        exact = (sum(int(a) * int(b) for a, b in zip(r, query, strict=True)) for r in rows)
+        return np.array([max(-(1 << 63), min(s, (1 << 63) - 1)) for s in exact], np.int64)
     return (rows @ query).astype(np.int64)
 
 
@@ -85,7 +86,7 @@ def bounds(q: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return (squares - low**2) / 2 * (1 + 1e-9) + 1
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int, batch: int = BATCH) -> list[tuple[int, int, int]]:
     """The k best of each query among the candidates; x is in ascending order of ids."""
     out = []
     step = max(1, PAIRS // max(1, len(x)))
@@ -95,9 +96,9 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, piv
         limit = bounds(q[first : first + step], x, pivots)
         for own, query, upper in zip(q_ids[first : first + step], queries[first : first + step], limit, strict=True):
             upper[ids == own] = -np.inf
-            live = np.argpartition(-upper, BATCH)[:BATCH] if len(x) > BATCH else np.arange(len(x))
+            live = np.argpartition(-upper, batch)[:batch] if len(x) > batch else np.arange(len(x))
             best = np.zeros((2, 0), np.int64)  # scores and ids
-            size, rest = BATCH, None
+            size, rest = batch, None
             while len(live := live[upper[live] > -np.inf]):
                 found = np.stack([scores(exact[live], query), ids[live]])
                 if best.shape[1] == k:
@@ -136,8 +137,11 @@ def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int64), flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
 
 
-def top_k(df: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int = 5, scale: float = 256.0) -> DataFrame:
-    """query_id, rank, vec_id, score: the k other rows whose inner product with the query's vector is highest."""
+def top_k(df: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int = 5, scale: float = 256.0, batch: int = BATCH) -> DataFrame:
+    """query_id, rank, vec_id, score: the k other rows whose inner product with the query's vector is highest.
+
+    is_query is an expression of df's columns.
+    """
     v = F.col("v")
     rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"), is_query.alias("asks"))
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -169,7 +173,7 @@ def top_k(df: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int
             ids, x = one_per_id(ids, quantised(x, scale))
             q_ids, q = one_per_id(q_ids, quantised(q, scale))
             own = pivots if pivots.shape[1:] == x.shape[1:] else np.zeros((0, x.shape[1]))
-            found = search(q_ids, q, ids, x, own, k)
+            found = search(q_ids, q, ids, x, own, k, batch)
         columns = zip(*found, strict=True) if found else ([], [], [])
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
