@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
-from densika.llm.common import LOWER, map_batches
+from densika.llm.common import LOWER, map_batches, remembered
 
 MAX_VOCABULARY_BYTES = 64 << 20
 MEMO_WORDS = 1_600_000
@@ -33,6 +34,8 @@ END = "</w>"
 ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 #: Fixed by the vocabulary file's pre-tokenizer, and checked against it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Below it, regex and the tokenizers library agree on every character.
+PLAIN = "\u0250"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
 
 
@@ -60,6 +63,7 @@ class Encoder(dict):
         self.alphabet = byte_alphabet()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.find = regex.compile(PATTERN).findall
+        self.rules = Tokenizer.from_str(vocabulary)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.packed = {k: int(k).to_bytes(4, "little") for k in {*self.ids.values(), *self.added.values()}}
         size = max(self.packed) + 1
@@ -67,9 +71,8 @@ class Encoder(dict):
         for s, k in [*self.ids.items(), *self.added.items()]:
             self.strings[k] = s
 
-    def merged(self, word: str) -> list[str]:
-        """The symbols that are left of a word when no merge applies any more."""
-        symbols: list[str | None] = [self.alphabet[b] for b in word.encode()]
+    def merged(self, symbols: list[str]) -> list[str]:
+        """What is left of a word's symbols, a character for each byte, when no merge applies any more."""
         symbols[-1] += END
         n, rank = len(symbols), self.rank
         if n == 1:
@@ -94,8 +97,12 @@ class Encoder(dict):
 
     def plain(self, text: str) -> bytes:
         """The packed ids of a text in which no added token is looked for."""
-        text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        return b"".join(self.packed[self.ids[s]] for word in self.find(text) for s in self.merged(word) if s in self.ids)
+        if text.isascii() or max(text) < PLAIN:
+            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+            words = [[self.alphabet[b] for b in word.encode()] for word in self.find(text)]
+        else:  # which letters there are depends on the version of Unicode, so the file's own rules split the text
+            words = [list(w) for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text)) if w]
+        return b"".join(self.packed[self.ids[s]] for word in words for s in self.merged(word) if s in self.ids)
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= MEMO_WORDS // 2:  # words not met again since the last time are forgotten
@@ -135,9 +142,6 @@ class Encoder(dict):
         return separator.join(map(self.strings.__getitem__, ids))
 
 
-ENCODERS: dict[str, Encoder] = {}
-
-
 class Shared:
     """A vocabulary for workers: broadcast once, made into an encoder once in each worker."""
 
@@ -150,9 +154,7 @@ class Shared:
         self.kind, self.text = kind, spark.sparkContext.broadcast(text)
 
     def get(self) -> Encoder:
-        if self.key not in ENCODERS:
-            ENCODERS[self.key] = self.kind(self.text.value)
-        return ENCODERS[self.key]
+        return remembered(self.key, lambda: self.kind(self.text.value))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

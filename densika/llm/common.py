@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import sys
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +17,11 @@ from pyspark.sql import functions as F
 
 from densika.operators.lineage import cut, shared_folder
 
-__all__ = ["LOWER", "cut", "held_out", "keep_rows", "lists", "make_importable", "map_batches", "read", "remainder", "shared_folder"]
+__all__ = [
+    "LOWER", "cut", "gave_back", "held_out", "keep_rows", "lists", "make_importable", "map_batches", "read", "remainder", "remembered", "shared_folder", "slices",
+]
+
+T = TypeVar("T")
 
 #: Bytes with A-Z lower-cased; every other byte, so every other code point, stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -53,20 +61,46 @@ class BatchMap:
         self.fn, self.columns = fn, columns
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = self.fn(lists(batch))
-                yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_pydict(self.fn(lists(batch)))
+
+
+#: What the operator that runs in a Python worker remembers between tasks. Workers outlive queries, so there is one at a time.
+_HELD: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], T] = dict) -> T:
+    """The worker's memory of that name; those of other operators are given up first."""
+    if name not in _HELD:
+        _HELD.clear()
+        gave_back()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def gave_back() -> None:
+    """Returns freed memory to the system, which an allocator may keep for as long as the worker lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows that aren't empty; freed memory goes back after the last one."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    gave_back()
 
 
 def keep_rows(docs: DataFrame, column: str, keep: Callable[[list], list[bool]]) -> DataFrame:
     """The rows for whose value in a column keep says yes, with all their columns, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                values = lists(batch.select([column]))[column]
-                yield batch.filter(pa.array(keep(values), pa.bool_()))
+        for batch in slices(batches):
+            values = lists(batch.select([column]))[column]
+            yield batch.filter(pa.array(keep(values), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

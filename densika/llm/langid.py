@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import LOWER, keep_rows, map_batches
+from densika.llm.common import LOWER, keep_rows, map_batches, remembered
 
 BITS = 14
 PER_LANGUAGE, MAX_LANGUAGES, MAX_ROWS = 400, 256, 8192
@@ -152,6 +152,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batch(rows: dict[str, list]) -> dict[str, object]:
+        remembered("languages")
         first, score, second, close = told(shared.value, rows["text"])
         return {
             "doc_id": pa.array(rows["id"], pa.int64()), "lang_pred": pa.array(first, pa.string()), "score": score,
@@ -166,6 +167,7 @@ def drop_undetermined(docs: DataFrame, model: Model, text_col: str = "text", lea
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts: list[bytes | None]) -> list[bool]:
+        remembered("languages")
         first, score, *_ = told(shared.value, texts)
         return [lang != UNDETERMINED and s >= least for lang, s in zip(first, score, strict=True)]
 

@@ -24,6 +24,7 @@ and every word is as likely as any; an empty table gives an empty table; only id
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import LOWER, cut, lists
+from densika.llm.common import LOWER, cut, lists, remembered, slices
 
 BITS_PER_ENTRY, PROBES = 10, 4
 MAX_FILTER_BYTES = 96 << 20
@@ -168,8 +169,8 @@ def count_blocks(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = Hashes(), [], 0
-        for batch in batches:
+        number, held, size = remembered("counted words", Hashes), [], 0
+        for batch in slices(batches):
             for data in lists(batch)["text"]:
                 own = tokens(data)
                 flat = np.empty(len(own) + 2, np.uint64)
@@ -193,6 +194,7 @@ def count_bucket(most_bytes: int):
         return np.frombuffer(b"".join(x for x in table[name].to_pylist()), kind)
 
     def run(table: pa.Table) -> pa.Table:
+        remembered("counts")
         words, counts = summed(joined(table, "words", "<u8"), joined(table, "counts", "<u4").astype(np.int64))
         pairs = joined(table, "pairs", "<u8"), joined(table, "pair_counts", "<u4").astype(np.int64), joined(table, "pair_groups", "<u2")
         pairs, pair_counts, groups = summed(*pairs)
@@ -353,11 +355,12 @@ ROWS = "key long, doc_id long, n_tokens long, known long, base double, score dou
 def score(docs: DataFrame, model: Model, tail: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = f"scorer {uuid.uuid4().hex}"
     rows = docs.select(F.monotonically_increasing_id().alias("key"), docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
+        scorer = remembered(name, lambda: Scorer(shared.value))
+        for batch in slices(batches):
             held: list[tuple] = []
             size = 0
             columns = lists(batch)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import LOWER, cut, map_batches
+from densika.llm.common import LOWER, cut, map_batches, remembered
 from densika.operators.components import connected_components
 
 BANDS, BAND_ROWS = 24, 5
@@ -40,7 +40,7 @@ HASHES = BANDS * BAND_ROWS
 MISS, BATCH = 1e-6, 24
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 4 << 20
 BITMAP_BITS = 1 << 24
-MEMO_WORDS = 700_000
+MEMO_WORDS = 500_000
 U = np.uint64
 _random = np.random.default_rng(20240229)
 MULTIPLY = _random.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
@@ -55,9 +55,6 @@ class Words(dict):
         return h
 
 
-WORDS = Words()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64."""
     x = x + U(0x9E3779B97F4A7C15)
@@ -72,7 +69,7 @@ def shingles(data: bytes | None, width: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, U)
-    h = np.fromiter(map(WORDS.__getitem__, words), U, n)
+    h = np.fromiter(map(remembered("shingle words", Words).__getitem__, words), U, n)
     span = min(width, n)
     out = np.full(n - span + 1, span, U)
     for k in range(span):
@@ -96,8 +93,8 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def bitmap_positions(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(U)) % U(BITMAP_BITS)).astype(np.int64)
+def bitmap_positions(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(U)) % U(bits)).astype(np.int64)
 
 
 @cache
@@ -192,27 +189,27 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, PROFILE, batch)
 
 
-def bitmap(ids: DataFrame) -> np.ndarray:
+def bitmap(ids: DataFrame, size: int) -> np.ndarray:
     """A bitmap of fixed size in which every id of the table has its bit."""
 
     def batch(rows: dict[str, list]) -> dict[str, object]:
-        at = np.unique(bitmap_positions(np.array(rows["id"], np.int64)))
+        at = np.unique(bitmap_positions(np.array(rows["id"], np.int64), size))
         return {"word": pa.array(at >> 5), "bits": pa.array(np.int64(1) << (at & 31))}
 
     words = map_batches(ids.select("id"), "word long, bits long", batch).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITMAP_BITS // 32, "<u4")
+    out = np.zeros(size // 32, "<u4")
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype("<u4")
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, width: int, size: int) -> DataFrame:
     """The sets and signatures of the rows whose id the table ids has."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(ids)))
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(ids, size)))
 
     def batch(rows: dict[str, list]) -> dict[str, object]:
         bits = wanted.value
         own = np.array([-1 if i is None else i for i in rows["id"]], np.int64)
-        at = bitmap_positions(own)
+        at = bitmap_positions(own, size)
         keep = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
         out = [(rows["id"][k], s) for k in keep.tolist() if rows["id"][k] is not None and len(s := shingles(rows["text"][k], width))]
         return {
@@ -246,7 +243,7 @@ def blocks(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = MISS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, miss: float = MISS, bitmap_bits: int = BITMAP_BITS
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents whose Jaccard similarity is percent / 100 or more."""
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
@@ -260,10 +257,11 @@ def near_duplicates(
     first = classed.where("id = class").select("id", "n", "keys").dropDuplicates(["id", "n", "keys"])
     members = cut(clusters(first))
     dealt = blocks(members)
-    sets = sets_of(texts, members.select("id").distinct(), width)
+    sets = sets_of(texts, members.select("id").distinct(), width, bitmap_bits)
     grouped = dealt.join(sets, "id").repartition("pivot", "a", "b").groupBy("pivot", "a", "b")
 
     def group(table: pa.Table) -> pa.Table:
+        remembered("clusters")
         # Rows of one id with several texts are one class with several sets: all are compared.
         table = table.sort_by([("side", "ascending"), ("id", "ascending")])
         ids, side = table["id"].to_numpy(), table["side"].to_numpy()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from densika.llm.bpe import Shared, columns
-from densika.llm.common import lists
+from densika.llm.common import lists, slices
 
 POOL_TOKENS = 1 << 20
 TIERS = (512, 1024, 2048, 4096)
@@ -99,7 +99,7 @@ def balanced(sizes: list[int], step_tokens: int) -> list[int]:
 
 def pack(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
-    tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 17, with_ids: bool = False,
+    tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 17, with_ids: bool = False, pool_tokens: int = POOL_TOKENS,
 ) -> DataFrame:
     """A row for each piece, in the order of SCHEMA; with_ids adds the piece's ids."""
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
@@ -129,14 +129,14 @@ def pack(
         base = TaskContext.get().partitionId() << 40
         pool: list[Piece] = []
         tokens = number = sequence = group = 0
-        for batch in batches:
+        for batch in slices(batches):
             columns_ = lists(batch)
             for key, data in zip(columns_["id"], columns_["text"], strict=True):
                 packed = encoder.pack(data or b"") + end
                 n = len(packed) // 4
                 pool.append((n, number, (key, packed, n), 0))
                 number, tokens = number + 1, tokens + n
-                if tokens >= POOL_TOKENS:
+                if tokens >= pool_tokens:
                     full, pool = windows(pool, tiers)
                     yield rows(full, base, sequence, group)
                     sequence, group = sequence + len(full), group + len(full)

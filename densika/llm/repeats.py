@@ -5,8 +5,8 @@ removed. Strings are compared as windows of their texts.
 
 1. Anchors. In each window one of its WINDOW substrings is the anchor, the one with the least hash, so equal windows have
    equal anchors at the same place. Windows in a row with the same anchor make a segment. Anchors are counted by bucket of
-   their hash; a bitmap of fixed size (SHARED_BITS) tells which ones two documents share; a second one those that HOT
-   documents or more share. False positives of either cost time only.
+   their hash; a bitmap of fixed size (SHARED_BITS) tells which ones two documents share; a second one those that many
+   documents (Limits.hot) or more share. False positives of either cost time only.
 2. Segments with a shared anchor are collected, equal ones of a task once, with the smallest id that has them; hot anchors
    are taken apart into windows, each dealt by its own hash, so an anchor that a third of all documents share meets in
    no one task.
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,13 +38,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import cut, lists
+from densika.llm.common import cut, lists, remembered, slices
+from densika.operators.lineage import release
 
 #: Substrings in a window among which the anchor is chosen; their length is ``length`` - WINDOW + 1.
 WINDOW = 27
 SHARED_BITS, HOT_BITS, ROW_BITS = 1 << 28, 1 << 22, 1 << 25
-HOT = 20_000
-CHUNK, FLUSH, SHARD = 2 << 20, 12 << 20, 1 << 16
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Sizes that bound memory; results don't depend on them."""
+
+    hot: int = 20_000  # documents that share an anchor from which it is taken apart
+    chunk: int = 1 << 20  # bytes of text whose anchors are found together
+    flush: int = 8 << 20  # bytes of contents that a task collects before it passes them on
+    shard: int = 1 << 16  # windows of a transform
+
+
+LIMITS = Limits()
 NO_ID = (1 << 63) - 1
 U = np.uint64
 LOW24 = U(0xFFFFFF)
@@ -75,7 +88,7 @@ def anchors(data: bytes, length: int) -> np.ndarray:
     return np.minimum(least[: len(least) - (WINDOW - span)], least[WINDOW - span :])
 
 
-def pieces(texts: list[bytes | None], length: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(texts: list[bytes | None], length: int, chunk: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts one after another in chunks; with each piece's row, start in the text, start in the chunk and windows."""
     held: list[tuple[int, int, bytes]] = []
     size = 0
@@ -86,19 +99,19 @@ def pieces(texts: list[bytes | None], length: int) -> Iterator[tuple[bytes, np.n
         return b"".join(d for _, _, d in held), rows, starts, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes - length + 1
 
     for row, data in enumerate(texts):
-        for at in range(0, max(0, len(data or b"") - length + 1), CHUNK):
-            held.append((row, at, data[at : at + CHUNK + length - 1]))
+        for at in range(0, max(0, len(data or b"") - length + 1), chunk):
+            held.append((row, at, data[at : at + chunk + length - 1]))
             size += len(held[-1][2])
-            if size >= CHUNK:
+            if size >= chunk:
                 yield joined()
                 held, size = [], 0
     if held:
         yield joined()
 
 
-def segments(texts: list[bytes | None], length: int) -> Iterator[tuple]:
+def segments(texts: list[bytes | None], length: int, chunk: int) -> Iterator[tuple]:
     """data, hash, row, start in the text, start and end in data of each segment, chunk by chunk."""
-    for data, rows, starts, offsets, windows in pieces(texts, length):
+    for data, rows, starts, offsets, windows in pieces(texts, length, chunk):
         anchor = anchors(data, length)
         new = np.empty(len(anchor), bool)
         new[0], new[1:] = True, anchor[1:] != anchor[:-1]
@@ -144,10 +157,28 @@ class Bitmap:
         return np.packbits(out, bitorder="little").tobytes()
 
 
-ANCHORS = "bucket int, hashes binary, counts binary"
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, their bytes sorted by significance and compressed, as most high bytes are alike."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    n = len(arrays[0])
+    return n.to_bytes(8, "little") + (pa.compress(b"".join(planes), "zstd", asbytes=True) if n else b"")
+
+
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    n, types = int.from_bytes(data[:8], "little"), [np.dtype(k) for k in kinds]
+    raw = pa.decompress(data[8:], n * sum(t.itemsize for t in types), "zstd", asbytes=True) if n else b""
+    out, at = [], 0
+    for t in types:
+        part = np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
+        out.append(np.ascontiguousarray(part.T).view(t).ravel())
+        at += n * t.itemsize
+    return out
+
 
+ANCHORS = "bucket int, hashes binary"
 
-def count_anchors(length: int, buckets: int):
+
+def count_anchors(length: int, buckets: int, limits: Limits):
     """Distinct anchors of a task by bucket, and in how many documents each is."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -164,17 +195,17 @@ def count_anchors(length: int, buckets: int):
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rest, count = (h // U(buckets)).astype("<u4")[order], np.minimum(count, 65535).astype("<u2")[order]
         live = np.flatnonzero(np.diff(ends))
-        return pa.RecordBatch.from_arrays([
-            pa.array(live, pa.int32()), pa.array([rest[ends[b] : ends[b + 1]].tobytes() for b in live], pa.binary()),
-            pa.array([count[ends[b] : ends[b + 1]].tobytes() for b in live], pa.binary()),
-        ], ["bucket", "hashes", "counts"])
+        # in a bucket hashes ascend, so their differences are small
+        blobs = [pack(np.diff(rest[a:b], prepend=np.uint32(0)).astype("<u4"), count[a:b]) for a, b in zip(ends[live], ends[live + 1], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("anchors")
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             columns = lists(batch)
             ids = ids_of(columns["id"])
-            for _, h, row, *_ in segments(columns["text"], length):
+            for _, h, row, *_ in segments(columns["text"], length, limits.chunk):
                 held.append((h, ids[row]))
                 size += len(h)
                 if size >= 1 << 20:
@@ -186,26 +217,29 @@ def count_anchors(length: int, buckets: int):
     return run
 
 
-def shared_anchors(table: pa.Table, buckets: int) -> pa.Table:
-    rest = np.frombuffer(b"".join(table["hashes"].to_pylist()), "<u4")
-    count = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u2").astype(np.int64)
+def shared_anchors(table: pa.Table, buckets: int, limits: Limits) -> pa.Table:
+    parts = [unpack(x, "<u4", "<u2") for x in table["hashes"].to_pylist()]
+    rest = np.concatenate([np.cumsum(d, dtype=np.uint32) for d, _ in parts])
+    count = np.concatenate([c for _, c in parts]).astype(np.int64)
     order = np.argsort(rest)
     rest, count = rest[order], count[order]
     first = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
     total, rest = np.add.reduceat(count, first), rest[first].astype(U)
     shared = Bitmap.part(rest[total > 1], SHARED_BITS // buckets)
-    hot = Bitmap.part(rest[total >= HOT], HOT_BITS // buckets)
+    hot = Bitmap.part(rest[total >= limits.hot], HOT_BITS // buckets)
     return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "shared": [shared], "hot": [hot]})
 
 
-BLOCKS = "task long, bucket int, keys binary, sizes binary, data binary, least binary, content binary, row binary, start binary"
+#: What a task has in a bucket: contents (rest of the key, size, smallest id), their bytes, and their places (content, row,
+#: start). Bucket -1 has the keys and ids of the task's rows.
+BLOCKS = "task long, bucket int, contents binary, data binary, places binary"
 
 
 class Collector:
     """Segments of some rows with shared anchors: distinct contents and where they are."""
 
-    def __init__(self, length: int, buckets: int, shared: Bitmap, hot: Bitmap):
-        self.length, self.buckets, self.shared, self.hot = length, buckets, shared, hot
+    def __init__(self, length: int, buckets: int, limits: Limits, shared: Bitmap, hot: Bitmap):
+        self.length, self.buckets, self.limits, self.shared, self.hot = length, buckets, limits, shared, hot
         self.clear()
 
     def clear(self) -> None:
@@ -219,7 +253,7 @@ class Collector:
         base, index, length = len(self.row_keys), self.index, self.length
         self.row_keys += row_keys
         self.ids += ids_of(ids).tolist()
-        for data, h, row, start, a, b in segments(texts, length):
+        for data, h, row, start, a, b in segments(texts, length, self.limits.chunk):
             live = np.flatnonzero(self.shared.has(h))
             h, row, start, a, b = h[live], row[live], start[live], a[live], b[live]
             hot = self.hot.has(h)
@@ -251,12 +285,12 @@ class Collector:
         by = np.argsort(bucket[content], kind="stable")
         occurs = np.searchsorted(bucket[content][by], np.arange(self.buckets + 1))
         content, row, start = (x[by].astype("<u4") for x in (place[content], row, start))
-        rows = [(task, -1, np.array(self.row_keys, "<i8").tobytes(), b"", b"", np.array(self.ids, "<i8").tobytes(), b"", b"", b"")]
+        rows = [(task, -1, pack(np.array(self.row_keys, "<i8"), np.array(self.ids, "<i8")), b"", b"")]
+        rest = (keys // U(self.buckets)).astype("<u4")
         for b in np.flatnonzero(np.diff(ends)).tolist():
             own, at = order[ends[b] : ends[b + 1]], slice(occurs[b], occurs[b + 1])
             data = pa.compress(b"".join([texts[k] for k in own.tolist()]), "zstd", asbytes=True)
-            own_rows = (keys[own].tobytes(), sizes[own].tobytes(), data, least[own].tobytes())
-            rows.append((task, b, *own_rows, content[at].tobytes(), row[at].tobytes(), start[at].tobytes()))
+            rows.append((task, b, pack(rest[own], sizes[own], least[own]), data, pack(content[at], row[at], start[at])))
         self.clear()
         names = [f.split(" ") for f in BLOCKS.split(", ")]
         kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -294,7 +328,7 @@ def merged_blocks(shards: list[Transform]) -> tuple[np.ndarray, np.ndarray]:
     return interleave, block
 
 
-def earlier(keys: np.ndarray, sizes: np.ndarray, data: bytes, least: np.ndarray, length: int) -> np.ndarray:
+def earlier(keys: np.ndarray, sizes: np.ndarray, data: bytes, least: np.ndarray, length: int, shard: int) -> np.ndarray:
     """For each of some different segments, the windows (as bits) that a segment with a smaller id has too."""
     out = np.zeros(len(keys), U)
     _, group, members = np.unique(keys, return_inverse=True, return_counts=True)
@@ -307,10 +341,10 @@ def earlier(keys: np.ndarray, sizes: np.ndarray, data: bytes, least: np.ndarray,
     window, owner = np.repeat(start, n) + step, np.repeat(several, n)
     raw = np.frombuffer(data, np.uint8).astype(np.uint16)
     pair = (raw[:-1] << 8) | raw[1:]
-    shards = [Transform(pair, window[at : at + SHARD], length) for at in range(0, len(window), SHARD)]
+    shards = [Transform(pair, window[at : at + shard], length) for at in range(0, len(window), shard)]
     interleave, block = merged_blocks(shards)
     suffix = np.empty(len(window), np.int64)
-    suffix[np.argsort(interleave, kind="stable")] = np.concatenate([s.order + k * SHARD for k, s in enumerate(shards)])
+    suffix[np.argsort(interleave, kind="stable")] = np.concatenate([s.order + k * shard for k, s in enumerate(shards)])
     own = least[owner[suffix]]
     smallest = np.minimum.reduceat(own, np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])))[block]
     hit = suffix[smallest < own]
@@ -318,46 +352,44 @@ def earlier(keys: np.ndarray, sizes: np.ndarray, data: bytes, least: np.ndarray,
     return out
 
 
-DECIDED = "task long, bucket int, first binary, bits binary"
+DECIDED = "task long, bucket int, decisions binary"
 
 
-def decide(table: pa.Table, length: int) -> pa.Table:
+def decide(table: pa.Table, length: int, limits: Limits) -> pa.Table:
     """For each content of each task, the smallest id that has it, and which of its windows smaller ids have."""
-    bucket = table["bucket"][0].as_py()
-    if bucket < 0:
-        return pa.table({n: pa.array([], k) for n, k in (("task", pa.int64()), ("bucket", pa.int32()), ("first", pa.binary()), ("bits", pa.binary()))})
+    remembered("segments")
     index: dict[bytes, int] = {}
-    keys, sizes, owners = [], [], []
-    for k, s, d in zip(table["keys"], table["sizes"], table["data"], strict=True):
-        own, size = np.frombuffer(k.as_buffer(), "<u8"), np.frombuffer(s.as_buffer(), "<u4").astype(np.int64)
+    found, owners = [], []
+    for contents, packed in zip(table["contents"].to_pylist(), table["data"].to_pylist(), strict=True):
+        found.append(unpack(contents, "<u4", "<u4", "<i8"))
+        size = found[-1][1].astype(np.int64)
         ends = np.cumsum(size)
-        text = pa.decompress(d.as_buffer(), int(ends[-1]), "zstd", asbytes=True)
+        text = pa.decompress(packed, int(ends[-1]), "zstd", asbytes=True)
         owners.append(np.array([index.setdefault(text[a:b], len(index)) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]))
-        keys.append(own)
-        sizes.append(size)
     owner, n = np.concatenate(owners), len(index)
-    key, size, first = np.zeros(n, U), np.zeros(n, np.int64), np.full(n, NO_ID, np.int64)
-    key[owner], size[owner] = np.concatenate(keys), np.concatenate(sizes)
-    np.minimum.at(first, owner, np.frombuffer(b"".join(table["least"].to_pylist()), "<i8"))
-    bits = earlier(key, size, b"".join(index), first, length)
+    key, size, first = np.zeros(n, np.uint32), np.zeros(n, np.int64), np.full(n, NO_ID, np.int64)
+    keys, sizes, least = (np.concatenate(x) for x in zip(*found, strict=True))
+    key[owner], size[owner] = keys, sizes
+    np.minimum.at(first, owner, least)
+    bits = earlier(key, size, b"".join(index), first, length, limits.shard)
     return pa.table({
-        "task": table["task"], "bucket": table["bucket"].cast(pa.int32()),
-        "first": pa.array([first[o].tobytes() for o in owners], pa.binary()), "bits": pa.array([bits[o].tobytes() for o in owners], pa.binary()),
+        "task": table["task"], "bucket": table["bucket"].cast(pa.int32()), "decisions": pa.array([pack(first[o], bits[o]) for o in owners], pa.binary()),
     })
 
 
 def spans_of(table: pa.Table, length: int) -> pa.Table:
     """The spans to remove from each row of a task: their starts and ends."""
+    remembered("spans")
     rows = table.to_pylist()
     head = next(r for r in rows if r["bucket"] < 0)
-    row_keys, ids = np.frombuffer(head["keys"], "<i8"), np.frombuffer(head["least"], "<i8")
+    row_keys, ids = unpack(head["contents"], "<i8", "<i8")
     found: list[tuple[np.ndarray, ...]] = []
     for r in rows:
         if r["bucket"] < 0:
             continue
-        content, row, start = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("content", "row", "start"))
-        size = np.frombuffer(r["sizes"], "<u4").astype(np.int64)[content]
-        first, bits = np.frombuffer(r["first"], "<i8")[content], np.frombuffer(r["bits"], "<u8")[content]
+        content, row, start = (x.astype(np.int64) for x in unpack(r["places"], "<u4", "<u4", "<u4"))
+        size = unpack(r["contents"], "<u4", "<u4", "<i8")[1].astype(np.int64)[content]
+        first, bits = (x[content] for x in unpack(r["decisions"], "<i8", "<u8"))
         whole = ids[row] > first
         found.append((row[whole], start[whole], (start + size)[whole]))
         part = np.flatnonzero(~whole & (bits > 0))
@@ -390,7 +422,7 @@ def narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.withColumn("row_key", F.xxhash64("id", "text"))
 
 
-def repeat_spans(texts: DataFrame, length: int) -> DataFrame:
+def repeat_spans(texts: DataFrame, length: int, limits: Limits = LIMITS) -> DataFrame:
     """row_key, spans: what to remove from each row of narrowed() that repeats something, as pairs of 64-bit integers."""
     if length % 2 or length < WINDOW + 7 or length > 1 << 16:
         raise ValueError("length must be even and at least 34")
@@ -398,31 +430,30 @@ def repeat_spans(texts: DataFrame, length: int) -> DataFrame:
     buckets = 1
     while buckets < max(16, 4 * texts.rdd.getNumPartitions()):
         buckets *= 2
-    counted = texts.mapInArrow(count_anchors(length, buckets), ANCHORS).groupBy("bucket")
-    parts = counted.applyInArrow(lambda t: shared_anchors(t, buckets), "bucket int, shared binary, hot binary")
+    counted = texts.mapInArrow(count_anchors(length, buckets, limits), ANCHORS).groupBy("bucket")
+    parts = counted.applyInArrow(lambda t: shared_anchors(t, buckets, limits), "bucket int, shared binary, hot binary")
     shared, hot = [bytes(SHARED_BITS // buckets // 8)] * buckets, [bytes(max(1, HOT_BITS // buckets // 8))] * buckets
     for r in parts.toLocalIterator():  # bitmaps of fixed sizes
         shared[r["bucket"]], hot[r["bucket"]] = bytes(r["shared"]), bytes(r["hot"])
     maps = spark.sparkContext.broadcast((Bitmap(shared, SHARED_BITS // buckets), Bitmap(hot, HOT_BITS // buckets)))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        collector = Collector(length, buckets, *maps.value)
+        collector = Collector(length, buckets, limits, *maps.value)
         task = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        remembered("anchors")
+        for batch in slices(batches, 256):
             columns = lists(batch)
-            for at in range(0, batch.num_rows, 512):
-                some = slice(at, at + 512)
-                collector.add(columns["row_key"][some], columns["id"][some], columns["text"][some])
-                if collector.bytes >= FLUSH:
-                    yield collector.flush(task)
-                    task += 1
+            collector.add(columns["row_key"], columns["id"], columns["text"])
+            if collector.bytes >= limits.flush:
+                yield collector.flush(task)
+                task += 1
         if collector.row_keys:
             yield collector.flush(task)
 
     blocks = cut(texts.mapInArrow(collect, BLOCKS))
-    decided = blocks.where("bucket >= 0").select("task", "bucket", "keys", "sizes", "data", "least").groupBy("bucket")
-    decided = decided.applyInArrow(lambda t: decide(t, length), DECIDED)
-    own = blocks.selectExpr("task", "bucket", "CASE WHEN bucket < 0 THEN keys END AS keys", "sizes", "CASE WHEN bucket < 0 THEN least END AS least", "content", "row", "start")
+    decided = blocks.where("bucket >= 0").select("task", "bucket", "contents", "data").groupBy("bucket")
+    decided = decided.applyInArrow(lambda t: decide(t, length, limits), DECIDED)
+    own = blocks.select("task", "bucket", "contents", "places")
     joined = own.join(decided, ["task", "bucket"], "left").groupBy("task")
     return cut(joined.applyInArrow(lambda t: spans_of(t, length), "row_key long, spans binary").dropDuplicates(["row_key"]))
 
@@ -437,15 +468,17 @@ def without(text: bytes, spans: bytes | None) -> tuple[bytes, np.ndarray]:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, limits: Limits = LIMITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     texts = narrowed(docs, id_col, text_col)
-    spans = repeat_spans(texts, length)
+    spans = repeat_spans(texts, length, limits)
+    release(docs.sparkSession)
     flags = docs.sparkSession.sparkContext.broadcast(row_bitmap(spans))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = flags.value
-        for batch in batches:
+        remembered("spans")
+        for batch in slices(batches):
             columns = lists(batch)
             place = row_places(np.array(columns["row_key"], np.int64))
             flagged = (bits[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
@@ -453,17 +486,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_pydict({
                 "row_key": batch.column("row_key"), "id": batch.column("id"), "n_bytes": pa.array([len(t) for t in own], pa.int64()),
                 "sha": pa.array([None if f else hashlib.sha256(t).hexdigest() for t, f in zip(own, flagged, strict=True)], pa.string()),
-                "text": pa.array([t if f else None for t, f in zip(own, flagged, strict=True)], pa.binary()),
+                "text": pa.array([pa.compress(t, "zstd", asbytes=True) if f else None for t, f in zip(own, flagged, strict=True)], pa.binary()),
             })
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        remembered("spans")
+        for batch in slices(batches):
             out = []
             for r in batch.to_pylist():
                 if r["sha"]:
                     out.append((r["id"], r["n_bytes"], 0, 0, r["sha"]))
                 else:
-                    text, found = without(r["text"], r["spans"])
+                    text = pa.decompress(r["text"], r["n_bytes"], "zstd", asbytes=True) if r["n_bytes"] else b""
+                    text, found = without(text, r["spans"])
                     out.append((r["id"], r["n_bytes"], r["n_bytes"] - len(text), len(found), hashlib.sha256(text).hexdigest()))
             fields = [f.split(" ") for f in RESULT.split(", ")]
             columns = zip(*out, strict=True) if out else ([] for _ in fields)
@@ -476,14 +511,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """docs with their columns, the texts without what repeats; bytes of a character that is cut in two go too."""
     spans = repeat_spans(narrowed(docs, id_col, text_col), length).select(F.col("row_key").alias("span_key"), F.col("spans").alias("span_list"))
+    release(docs.sparkSession)
 
     @F.pandas_udf("string")
     def left(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else t if s is None else without(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, found, strict=True)], dtype=object)
 
     key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    joined = docs.join(spans, key == F.col("span_key"), "left")
-    return joined.select(*(left(docs[c], F.col("span_list")).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    joined = docs.join(spans, key == spans["span_key"], "left")
+    return joined.select(*(left(docs[c], spans["span_list"]).alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def row_bitmap(spans: DataFrame) -> np.ndarray:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import string
+import uuid
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import LOWER, cut, keep_rows, map_batches
+from densika.llm.common import LOWER, cut, keep_rows, map_batches, remembered
 
 THRESHOLD = 0.3
 EMPTY = 0.01
@@ -63,25 +64,22 @@ class Models:
     power: float = 0.5
     slope: float = 0.0
     offset: float = 0.0
-    memo: dict[bytes, float] = field(default_factory=dict, repr=False)
+    name: str = field(default_factory=lambda: f"toxicity {uuid.uuid4().hex}")
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
-
-    def word(self, word: bytes) -> float:
-        if (r := self.memo.get(word)) is None:
+    def word(self, word: bytes, memo: dict[bytes, float]) -> float:
+        if (r := memo.get(word)) is None:
             ratio, context = self.ratio, self.context
             r = sum(x if (x := ratio.get(g)) is not None else context.get(g[:-1], 0.0) for g in grams(word))
             r = math.copysign(max(abs(r) - MARGIN, 0.0), r)
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = r
+            if len(memo) >= MEMO_WORDS:
+                memo.clear()
+            memo[word] = r
         return r
 
     def text(self, data: bytes | None) -> tuple[float, int]:
         """The sum of the words' ratios, and the number of words."""
-        own = words(data)
-        return math.fsum(map(self.word, own)), len(own)
+        own, memo = words(data), remembered(self.name)
+        return math.fsum(self.word(w, memo) for w in own), len(own)
 
     def scores(self, ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
         if not self.slope:
