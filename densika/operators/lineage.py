@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 
@@ -15,15 +14,19 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/densika-{what}-{uuid.uuid4().hex}"
 
 
+#: Spark then deletes an execution's shuffle files as soon as it ends; what is cut is never read from them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so a lost executor costs no earlier stage."""
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that nothing refers to any more, rather than when memory is short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        sc.setCheckpointDir(shared_folder(spark, "checkpoints"))
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)

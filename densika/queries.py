@@ -15,7 +15,7 @@ from densika.functions import geometry
 from densika.operators import dbscan, dense, grid, metrics, neighbors, partitioning
 from densika.operators.components import connected_components
 from densika.operators.lineage import shared_folder
-from densika.operators.ordered import running_sum
+from densika.operators.ordered import ordinal, running_sum
 from densika.plans import estimates
 from densika.sources import points as sources
 from densika.sources import sinks
@@ -460,6 +460,59 @@ def union_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(items.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + F.col("l_suppkey")).alias("b")))
 
 
+@query(
+    _with(EMB_SQL, EMB[0], "box", "dims", "celled", "hist", "cum", "edges", "parts", "band", "pairs", *_labels(EMB[1]), recursive=True)
+    + "SELECT id, cx AS bin FROM labels JOIN celled USING (id) WHERE cluster = 0 AND cx IN (SELECT bin FROM band)"
+)
+def shadow_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise points in the bands around cuts."""
+    pts = sources.from_embeddings(spark, sf_dir)
+    noise = dbscan.cluster(pts, *EMB).where("cluster = 0").select("id")
+    return partitioning.band_points(pts, EMB[0], PARTS).join(noise, "id", "left_semi")
+
+
+@query(
+    _with(EMB_SQL, EMB[0], "box", "dims", "celled", "hist", "cum", "edges", "parts", "band")
+    + "SELECT DISTINCT cx, cy, min_x + CAST(0.02 AS DOUBLE) / 2.0::DOUBLE + cx * CAST(0.02 AS DOUBLE) AS rx,"
+    " min_y + CAST(0.02 AS DOUBLE) / 2.0::DOUBLE + cy * CAST(0.02 AS DOUBLE) AS ry FROM celled, box WHERE cx IN (SELECT bin FROM band)"
+)
+def shadow_reference_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference points of the cells that hold points of the bands."""
+    pts = sources.from_embeddings(spark, sf_dir)
+    bins = F.broadcast(partitioning.band_bins(pts, EMB[0], PARTS).withColumnRenamed("bin", "cx"))  # four for each cut
+    return neighbors.reference_points(pts, EMB[0]).join(bins, "cx", "left_semi")
+
+
+@query(_emb_labels() + "SELECT cluster, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM labels WHERE cluster > 0 GROUP BY cluster")
+def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster's members and bounding box."""
+    found = _cluster(spark, sf_dir).where("cluster > 0").groupBy("cluster")
+    ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",")
+    return found.agg(F.count("*").alias("n"), ids.alias("ids"), *(f(c).alias(f"{c}{f.__name__}") for c in "xy" for f in (F.min, F.max)))
+
+
+@query(_LOCAL_SQL + "SELECT part, count(DISTINCT local) AS n_clusters, max(local) AS most, count(*) AS n_core FROM local JOIN placed USING (id) GROUP BY part")
+def local_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters, largest label and core points of each partition."""
+    local, _ = dbscan.partition_merges(sources.from_embeddings(spark, sf_dir), *EMB, PARTS)
+    return local.groupBy("part").agg(F.count_distinct("local").alias("n_clusters"), F.max("local").alias("most"), F.count("*").alias("n_core"))
+
+
+@query(_with(ITEM_SQL, 1.0, "box", "dims", "celled") + "SELECT DISTINCT cell, row_number() OVER (ORDER BY cell) - 1 AS place FROM (SELECT DISTINCT cell FROM celled)")
+def cell_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that hold points in ascending order, with their places."""
+    found = grid.cells(sources.from_lineitem(spark, sf_dir), 1.0).select("cell")
+    return ordinal(found, "cell", "place").select("cell", (F.col("place") - 1).alias("place"))
+
+
+@query(_emb_labels() + "SELECT row_number() OVER (ORDER BY id) - 1 AS place, cluster FROM labels")
+def labels_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written as text, one line each in the order of ids, and read back."""
+    path = shared_folder(spark, "labels")
+    _cluster(spark, sf_dir).coalesce(1).orderBy("id").select("cluster", "role").write.csv(path)
+    return sources.read_labels(spark, path)
+
+
 # Two clusterings
 
 _TWO = _with(
