@@ -39,7 +39,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densika.llm.common import cut, lists, remembered, slices
-from densika.operators.lineage import release
 
 #: Substrings in a window among which the anchor is chosen; their length is ``length`` - WINDOW + 1.
 WINDOW = 27
@@ -175,6 +174,11 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def part_bits(total: int, buckets: int) -> int:
+    """A bucket's share of a bitmap; buckets are a power of two, and a word each if they are very many."""
+    return max(64, total // buckets)
+
+
 ANCHORS = "bucket int, hashes binary"
 
 
@@ -225,8 +229,8 @@ def shared_anchors(table: pa.Table, buckets: int, limits: Limits) -> pa.Table:
     rest, count = rest[order], count[order]
     first = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
     total, rest = np.add.reduceat(count, first), rest[first].astype(U)
-    shared = Bitmap.part(rest[total > 1], SHARED_BITS // buckets)
-    hot = Bitmap.part(rest[total >= limits.hot], HOT_BITS // buckets)
+    shared = Bitmap.part(rest[total > 1], part_bits(SHARED_BITS, buckets))
+    hot = Bitmap.part(rest[total >= limits.hot], part_bits(HOT_BITS, buckets))
     return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "shared": [shared], "hot": [hot]})
 
 
@@ -432,10 +436,11 @@ def repeat_spans(texts: DataFrame, length: int, limits: Limits = LIMITS) -> Data
         buckets *= 2
     counted = texts.mapInArrow(count_anchors(length, buckets, limits), ANCHORS).groupBy("bucket")
     parts = counted.applyInArrow(lambda t: shared_anchors(t, buckets, limits), "bucket int, shared binary, hot binary")
-    shared, hot = [bytes(SHARED_BITS // buckets // 8)] * buckets, [bytes(max(1, HOT_BITS // buckets // 8))] * buckets
-    for r in parts.toLocalIterator():  # bitmaps of fixed sizes
+    sizes = part_bits(SHARED_BITS, buckets), part_bits(HOT_BITS, buckets)
+    shared, hot = ([bytes(n // 8)] * buckets for n in sizes)
+    for r in cut(parts).toLocalIterator():  # bitmaps of fixed sizes
         shared[r["bucket"]], hot[r["bucket"]] = bytes(r["shared"]), bytes(r["hot"])
-    maps = spark.sparkContext.broadcast((Bitmap(shared, SHARED_BITS // buckets), Bitmap(hot, HOT_BITS // buckets)))
+    maps = spark.sparkContext.broadcast((Bitmap(shared, sizes[0]), Bitmap(hot, sizes[1])))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         collector = Collector(length, buckets, limits, *maps.value)
@@ -472,7 +477,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     texts = narrowed(docs, id_col, text_col)
     spans = repeat_spans(texts, length, limits)
-    release(docs.sparkSession)
     flags = docs.sparkSession.sparkContext.broadcast(row_bitmap(spans))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,7 +515,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """docs with their columns, the texts without what repeats; bytes of a character that is cut in two go too."""
     spans = repeat_spans(narrowed(docs, id_col, text_col), length).select(F.col("row_key").alias("span_key"), F.col("spans").alias("span_list"))
-    release(docs.sparkSession)
 
     @F.pandas_udf("string")
     def left(texts: pd.Series, found: pd.Series) -> pd.Series:
