@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A cell of this side times eps has a diagonal of eps / 2: its points, and those of the eight cells around it, are neighbours.
+# Fixed value: a cell of this side times eps has a diagonal of eps / 2: its points, and those of the eight cells around it, are neighbours.
 DENSE_SIDE = 1 / (2 * math.sqrt(2))
 #: Grids that only prune candidates are a little wider than eps, so rounding puts no neighbour two cells away.
 PRUNING = 1 + 1e-9

@@ -16,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from densika.functions.geometry import PRUNING, within
 from densika.operators.components import connected_components
-from densika.operators.dense import adjacency, dense_cells, occupancy, with_small_cells
+from densika.operators.dense import adjacency, crowding, with_small_cells
 from densika.operators.grid import clean
 from densika.operators.lineage import cut
 from densika.operators.neighbors import neighbor_counts, range_join
@@ -28,20 +29,29 @@ from densika.operators.partitioning import assign
 LOCAL_EDGES = 1 << 18
 
 
-def _far_links(points: DataFrame, linked: DataFrame, eps: float) -> DataFrame:
+def _far_links(celled: DataFrame, linked: DataFrame, eps: float) -> DataFrame:
     """a, b: vertices of dense cells that hold neighbours but don't touch and aren't connected yet.
 
-    Only cells that have such a cell within reach (three cells) take part, found by cells, not points.
+    Pairs of cells are found by cells, up to three apart and each once. A cell's points take part in a pair only where
+    they lie within eps of the other cell's bounding box, so two hot cells side by side compare their rims.
     """
-    span = F.array(*(F.lit(k) for k in range(-3, 4)))
-    own = linked.select("sx", "sy", "vertex", "component")
-    reach = own.select("*", F.explode(span).alias("i")).select("*", F.explode(span).alias("j")).where("greatest(abs(i), abs(j)) > 1")
-    reach = reach.select((F.col("sx") + F.col("i")).alias("sx"), (F.col("sy") + F.col("j")).alias("sy"), F.col("sx").alias("ox"), F.col("sy").alias("oy"), F.col("component").alias("other"))
-    near = own.join(reach, ["sx", "sy"]).where("component <> other").select("sx", "sy", "ox", "oy", "vertex", "component")
-    taking = near.select("sx", "sy").distinct()
-    inside = with_small_cells(points, eps).join(taking, ["sx", "sy"]).join(own, ["sx", "sy"])
-    found = range_join(inside, inside, eps, ["vertex a", "component ca"], ["vertex b", "component cb"])
-    return found.where("ca < cb").select("a", "b").distinct()
+    box = [f"{f}{a}" for a in "xy" for f in ("min", "max")]
+    steps = [(i, j) for i in range(4) for j in range(-3, 4) if (i > 0 or j > 0) and max(i, abs(j)) > 1]
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps))
+    a = linked.select(F.explode(offsets).alias("s"), "sx", "sy", F.col("vertex").alias("va"), F.col("component").alias("ca"), *(F.col(c).alias(f"a_{c}") for c in box))
+    a = a.withColumns({"sx": F.col("sx") + F.col("s.i"), "sy": F.col("sy") + F.col("s.j")})
+    b = linked.select("sx", "sy", F.col("vertex").alias("vb"), F.col("component").alias("cb"), *(F.col(c).alias(f"b_{c}") for c in box))
+    near = cut(a.join(b, ["sx", "sy"]).where("ca <> cb").select("va", "vb", *(f"{t}_{c}" for t in "ab" for c in box)))
+    reach = F.lit(float(eps) * PRUNING)
+
+    def rim(own: str, other: str) -> DataFrame:
+        gaps = [F.greatest(F.col(f"{other}_min{c}") - F.col(c), F.col(c) - F.col(f"{other}_max{c}"), F.lit(0.0)) for c in "xy"]
+        inside = celled.where("least IS NOT NULL").select(F.col("least").alias(f"v{own}"), "x", "y").join(near, f"v{own}")
+        return inside.where((gaps[0] <= reach) & (gaps[1] <= reach)).select("va", "vb", F.col("x").alias(f"x{own}"), F.col("y").alias(f"y{own}"))
+
+    pairs = rim("a", "b").join(rim("b", "a"), ["va", "vb"])
+    pairs = pairs.where(within(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb"), eps))
+    return pairs.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct()
 
 
 def _core(points: DataFrame, eps: float, min_pts: int, dense: bool) -> tuple[DataFrame, DataFrame]:
@@ -50,16 +60,18 @@ def _core(points: DataFrame, eps: float, min_pts: int, dense: bool) -> tuple[Dat
         counts = neighbor_counts(points, eps).where(F.col("n") >= min_pts).select("id", F.col("id").alias("vertex"))
         found = points.join(counts, "id", "left").select("id", "x", "y", "vertex", F.lit(False).alias("dense"))
         return cut(found), None
-    cells = cut(dense_cells(points, eps, min_pts))
-    celled = with_small_cells(points, eps).join(cells.select("sx", "sy", "least"), ["sx", "sy"], "left")
+    small = with_small_cells(points, eps)
+    boxes = [f(c).alias(f"{f.__name__}{c}") for c in "xy" for f in (F.min, F.max)]
+    cells = cut(small.groupBy("sx", "sy").agg(F.count("*").alias("n"), F.min("id").alias("least"), *boxes).where(F.col("n") >= min_pts))
+    celled = small.join(cells.select("sx", "sy", "least"), ["sx", "sy"], "left")
     sparse = celled.where("least IS NULL").select("id", "x", "y")
     core = range_join(sparse, points, eps, ["id"], ["id other"]).groupBy("id").count().where(F.col("count") >= min_pts).select("id", F.col("id").alias("own"))
     found = celled.join(core, "id", "left")
     found = found.select("id", "x", "y", F.coalesce("least", "own").alias("vertex"), F.col("least").isNotNull().alias("dense"))
     touching = cut(adjacency(cells))
     component = connected_components(touching, local_edges=LOCAL_EDGES).withColumnRenamed("id", "least")
-    linked = cells.join(component, "least", "left").select("sx", "sy", F.col("least").alias("vertex"), F.coalesce("component", "least").alias("component"))
-    far = _far_links(points, cut(linked), eps)
+    linked = cells.join(component, "least", "left").withColumn("component", F.coalesce("component", "least")).withColumnRenamed("least", "vertex")
+    far = _far_links(celled, linked, eps)
     return cut(found), touching.unionAll(far)
 
 
@@ -74,8 +86,8 @@ def cluster(
         raise ValueError("eps must be positive and min_pts at least 1")
     points = clean(df, id_col, x_col, y_col)
     if dense_cells == "auto":
-        first = occupancy(points, eps, min_pts).first()
-        dense_cells = bool(first and first["use_dense"])
+        crowded = crowding(points, eps).first()["crowding"]
+        dense_cells = crowded is not None and crowded >= min_pts
     found, links = _core(points, eps, min_pts, bool(dense_cells))
     cored = found.where("vertex IS NOT NULL").select("x", "y", "vertex")
     touched = range_join(found.where("NOT dense"), cored, eps, ["id", "vertex own"], ["vertex"]).where("own IS NULL OR own <> vertex")

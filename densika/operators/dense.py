@@ -9,7 +9,7 @@ from densika.functions.geometry import DENSE_SIDE
 from densika.operators.components import connected_components
 from densika.operators.grid import cells
 
-#: Points a cell, as a share of min_pts, from which dense cells are worth their detection.
+# Fixed value: points a cell, as a share of min_pts, from which dense cells are worth their detection.
 WORTH = 0.25
 
 
@@ -53,6 +53,12 @@ def query_points(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
     return with_small_cells(points, eps).join(dense, ["sx", "sy"], "left_anti")
 
 
+def crowding(points: DataFrame, eps: float) -> DataFrame:
+    """One row: the mean number of points in a point's own cell, which a few hot cells raise as a mean over cells doesn't."""
+    n = F.col("n").cast("double")
+    return cells(points, eps).agg((F.sum(n * n) / F.sum(n)).alias("crowding"))
+
+
 def occupancy(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
     """One row: points, cells with points, points for each of a cell's eight small cells, and whether that is worth dense cells."""
     found = cells(points, eps).agg(F.sum("n").alias("n_points"), F.count("*").alias("n_cells"))

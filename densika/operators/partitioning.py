@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from densika.operators.grid import dimensions, x_cumulative
 from densika.operators.ordered import ordinal
 
+# Fixed value: the share of a partition in which its edge may move forward.
 LOOK_AHEAD = 0.75
 
 

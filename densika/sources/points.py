@@ -41,7 +41,11 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("place"), first.alias("cluster"))
 
 
-def uniform(spark: SparkSession, n: int, seed: int = 12347) -> DataFrame:
+# Fixed value.
+SEED = 12347
+
+
+def uniform(spark: SparkSession, n: int, seed: int = SEED) -> DataFrame:
     """n points with x in [0, 360) and y in [-90, 90)."""
     return spark.range(n).select("id", (F.rand(seed) * 360).alias("x"), (F.rand(seed + 1) * 180 - 90).alias("y"))
 

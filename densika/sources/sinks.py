@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -16,17 +17,21 @@ def append_stats(summary: DataFrame, path: str, **settings: object) -> None:
     summary.select(*given, "n_labels", F.format_string("%.3e", "noise_fraction").alias("noise_fraction")).coalesce(1).write.mode("append").csv(path)
 
 
+# The sizes of clusters that are plotted, the stride of their points, and the window (xmin, xmax, ymin, ymax).
+LEAST, MOST, EVERY, WINDOW = 100, 1_700_000_000, 10, (0, 360, -25, 25)
+
+
 def plot_sample(
-    labels: DataFrame, least: int = 100, most: int = 1_700_000_000, every: int = 10, box: tuple[float, float, float, float] = (0, 360, -25, 25)
+    labels: DataFrame, least: int = LEAST, most: int = MOST, every: int = EVERY, box: tuple[float, float, float, float] = WINDOW
 ) -> DataFrame:
     """id, x, y, cluster: every tenth point, by id, of clusters of a suitable size, within a box; no noise."""
     sizes = labels.where("cluster > 0").groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
     # A cluster may hold most points, so places are counted within blocks of ids and carried over.
     block = F.floor(F.col("id") / F.lit(1 << 16))
     chosen = labels.join(sizes.select("cluster"), "cluster").withColumn("block", block)
-    before = Window.partitionBy("cluster").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = W.partitionBy("cluster").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     starts = chosen.groupBy("cluster", "block").agg(F.count("*").alias("n")).select("cluster", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("cluster", "block").orderBy("id")) + F.col("start") - 1
+    place = F.row_number().over(W.partitionBy("cluster", "block").orderBy("id")) + F.col("start") - 1
     xmin, xmax, ymin, ymax = box
     inside = F.col("x").between(xmin, xmax) & F.col("y").between(ymin, ymax)
     return chosen.join(starts, ["cluster", "block"]).withColumn("place", place).where((F.col("place") % every == 0) & inside).select("id", "x", "y", "cluster")
