@@ -31,14 +31,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import cut, lists, remembered, slices
+from densika.llm.common import cut, gave_back, lists, remembered, slices
 
 #: Substrings in a window among which the anchor is chosen; their length is ``length`` - WINDOW + 1.
 WINDOW = 27
@@ -376,6 +375,7 @@ def decide(table: pa.Table, length: int, limits: Limits) -> pa.Table:
     key[owner], size[owner] = keys, sizes
     np.minimum.at(first, owner, least)
     bits = earlier(key, size, b"".join(index), first, length, limits.shard)
+    gave_back()
     return pa.table({
         "task": table["task"], "bucket": table["bucket"].cast(pa.int32()), "decisions": pa.array([pack(first[o], bits[o]) for o in owners], pa.binary()),
     })
@@ -412,6 +412,7 @@ def spans_of(table: pa.Table, length: int) -> pa.Table:
         at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         flat = np.stack([a, b], 1).astype("<i8")
         keys, spans = row_keys[row[at]], [x.tobytes() for x in np.split(flat, at[1:])]
+    gave_back()
     return pa.table({"row_key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
 
@@ -516,13 +517,21 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with their columns, the texts without what repeats; bytes of a character that is cut in two go too."""
     spans = repeat_spans(narrowed(docs, id_col, text_col), length).select(F.col("row_key").alias("span_key"), F.col("spans").alias("span_list"))
 
-    @F.pandas_udf("string")
-    def left(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else t if s is None else without(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, found, strict=True)], dtype=object)
+    own = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("spans")
+        for batch in slices(batches, 256):
+            texts, found = batch.column(own).to_pylist(), batch.column(len(docs_names)).to_pylist()
+            kept = [t if t is None or s is None else without(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, found, strict=True)]
+            columns = batch.columns[:-1]
+            columns[own] = pa.array(kept, batch.schema.field(own).type)
+            yield pa.RecordBatch.from_arrays(columns, docs_names)
+
+    docs_names = list(docs.columns)
     key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
     joined = docs.join(spans, key == spans["span_key"], "left")
-    return joined.select(*(left(docs[c], spans["span_list"]).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    return joined.select(*(docs[c] for c in docs.columns), spans["span_list"]).mapInArrow(run, docs.schema)
 
 
 def row_bitmap(spans: DataFrame) -> np.ndarray:
