@@ -24,8 +24,10 @@ and every word is as likely as any; an empty table gives an empty table; only id
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ BITS_PER_ENTRY, PROBES = 10, 4
 MAX_FILTER_BYTES = 96 << 20
 HEAD = 1 << 20
 GROUPS = 1 << 14
-#: Tokens that are counted or scored together, and words that a worker remembers.
-COUNT_TOKENS, SCORE_TOKENS, MEMO_WORDS = 1 << 20, 1 << 17, 500_000
+#: Tokens that are counted together, and bytes of text that are scored together.
+COUNT_TOKENS, SCORE_BYTES = 1 << 20, 1 << 19
 END = xxhash.xxh3_64_intdigest(b"\n end")
 START = xxhash.xxh3_64_intdigest(b"\n start")
 U = np.uint64
@@ -72,16 +74,82 @@ def context_group(v: np.ndarray) -> np.ndarray:
     return (mixed(v ^ U(0xA5A5A5A5A5A5A5A5)) % U(GROUPS)).astype(np.uint16)
 
 
-def tokens(data: bytes | None) -> list[bytes]:
-    return (data or b"").translate(LOWER).split()
-
-
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
+IS_WHITE = np.array([WHITE.match(bytes([b])) is not None for b in range(256)])
+_random = np.random.default_rng(20240501)
+#: A random number for each byte; A-Z have those of a-z.
+BYTE = _random.integers(0, 1 << 63, 256, U)[np.frombuffer(LOWER, np.uint8)]
+BASE = 0xD6E8FEB86659FD93
+
+
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, modulo 2^64."""
+    out = []
+    for factor in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(n, factor, U)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def hashes_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and where it begins. A word's bytes are the coefficients of a polynomial."""
+    x = np.frombuffer(data + b" ", np.uint8)
+    white = IS_WHITE[x]
+    inside = np.concatenate([[False], ~white])
+    first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & white)
+    up, down = powers(1 << (len(x) - 1).bit_length())
+    total = np.zeros(len(x) + 1, U)
+    np.cumsum(BYTE[x] * up[: len(x)], out=total[1:])
+    return mixed((total[last] - total[first]) * down[first] + (last - first).astype(U)), first
+
+
+def tokens_of(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words of some texts, START before and END after each text, and where the texts begin in them.
+
+    Texts are joined up to about SCORE_BYTES; longer ones are cut at white space first, never within a word.
+    """
+    held: list[bytes] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in held])])[:-1]
+        h, at = hashes_of(b"\n".join(held))
+        n = np.diff(np.append(np.searchsorted(at, starts), len(h)))
+        return framed(h, n)
+
+    for data in texts:
+        data = data or b""
+        if len(data) > SCORE_BYTES:
+            if held:
+                yield joined()
+                held, size = [], 0
+            parts, at = [], 0
+            while at < len(data):
+                cut_at = WHITE.search(data, min(len(data), at + SCORE_BYTES))
+                end = cut_at.start() if cut_at else len(data)
+                parts.append(hashes_of(data[at:end])[0])
+                at = end
+            h = np.concatenate(parts)
+            yield framed(h, np.array([len(h)]))
+            continue
+        held.append(data)
+        size += len(data)
+        if size >= SCORE_BYTES:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
+def framed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.concatenate([[0], np.cumsum(n + 2)])[:-1]
+    out = np.empty(len(h) + 2 * len(n), U)
+    words = np.ones(len(out), bool)
+    words[first] = words[first + n + 1] = False
+    out[words], out[first], out[first + n + 1] = h, START, END
+    return out, first
 
 
 def summed(hashes: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -96,7 +164,12 @@ def summed(hashes: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[n
 def probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Where an entry's bits begin, and the step between them, before the remainder by its segment's size."""
     g = mixed(keys + U(level * 0x632BE59BD9B4E019 % (1 << 64)))
-    return g, (g >> U(32)) | U(1)
+    return g, mixed(g) | U(1)
+
+
+def place(g: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
+    """A number under size (less than 2^32), by the upper half of g."""
+    return (g >> U(32)) * size >> U(32)
 
 
 def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], most_bytes: int) -> tuple[bytes, int]:
@@ -114,12 +187,12 @@ def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.nd
     for at in range(1, int(level.max(initial=0)) + 1):
         first, step = probes(keys[level >= at], at)
         for j in range(PROBES):
-            bits[(first + U(j) * step) % U(size)] = True
+            bits[place(first + U(j) * step, U(size))] = True
     return np.packbits(bits, bitorder="little").tobytes(), int(floor)
 
 
 class Filter:
-    """Segments one after another; a key's bucket is its remainder by their number."""
+    """Segments, a power of two of them, one after another; a key's bucket is its remainder by their number."""
 
     def __init__(self, segments: list[bytes]):
         sizes = np.array([len(s) for s in segments], np.uint64) * U(8)
@@ -128,7 +201,7 @@ class Filter:
 
     def level(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many levels each key is in, at most so many."""
-        bucket = (keys % U(len(self.size))).astype(np.int64)
+        bucket = (keys & U(len(self.size) - 1)).astype(np.int64)
         out = np.zeros(len(keys), np.int64)
         live, at = np.flatnonzero(most > 0), 1
         while len(live):
@@ -136,7 +209,7 @@ class Filter:
             size, start = self.size[bucket[live]], self.start[bucket[live]]
             ok = np.arange(len(live))
             for j in range(PROBES):
-                where = start[ok] + (first[ok] + U(j) * step[ok]) % size[ok]
+                where = start[ok] + place(first[ok] + U(j) * step[ok], size[ok])
                 ok = ok[(self.bits[where >> U(3)] >> (where & U(7)).astype(np.uint8) & 1).astype(bool)]
             live = live[ok]
             out[live] = at
@@ -169,13 +242,10 @@ def count_blocks(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = remembered("counted words", Hashes), [], 0
+        remembered("counts")
+        held, size = [], 0
         for batch in slices(batches):
-            for data in lists(batch)["text"]:
-                own = tokens(data)
-                flat = np.empty(len(own) + 2, np.uint64)
-                flat[0], flat[-1] = START, END
-                flat[1:-1] = np.fromiter(map(number.__getitem__, own), np.uint64, len(own))
+            for flat, _ in tokens_of(lists(batch)["text"]):
                 held.append(flat)
                 size += len(flat)
                 if size >= COUNT_TOKENS:
@@ -234,7 +304,7 @@ class Model:
 def learn(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model of the texts, and the counts of the words that are not in its head: h long, c long."""
     texts = docs.select(docs[text_col].alias("text"))
-    buckets = max(16, 4 * texts.rdd.getNumPartitions())
+    buckets = 1 << (max(16, 4 * texts.rdd.getNumPartitions()) - 1).bit_length()
     blocks = texts.mapInArrow(count_blocks(buckets), BLOCKS)
     found = cut(blocks.groupBy("bucket").applyInArrow(count_bucket(max_filter_bytes // buckets), BUCKET))
     words = unpacked(found, "h long, c long", h="words", c="counts")
@@ -269,83 +339,85 @@ def learn(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_F
     return model, words.where(F.col("c") < least)
 
 
-class Scorer(dict):
-    """Numbers words and keeps what the model knows about each; one for each worker and model."""
+class Scorer:
+    """A model with its frequent words in a hash table; one for each worker and model."""
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.new: list[int] = [END, START]
-        self.hash = np.zeros(0, np.uint64)
-        self.low, self.up, self.novel = np.zeros((3, 0))
-        self.exact = np.zeros(0, bool)
-        self.learn()
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.hash) + len(self.new)
-        self.new.append(xxhash.xxh3_64_intdigest(word))
-        return number
-
-    def learn(self) -> None:
-        """Looks the new words up, all together."""
-        m, h = self.model, np.array(self.new, np.uint64)
-        low, up = np.zeros((2, len(h)))
-        exact = np.zeros(len(h), bool)
-        if len(m.head):
-            at = np.minimum(np.searchsorted(m.head, h), len(m.head) - 1)
-            exact = m.head[at] == h
-            low[exact] = up[exact] = m.head_counts[at[exact]]
-        rest = np.flatnonzero(~exact)
-        level = m.bits.level(h[rest], np.full(len(rest), len(LEVELS)))
-        low[rest] = np.where(level > 0, LEVELS[level - 1], 0)
-        up[rest] = np.where(level > 0, LEVELS[np.minimum(level, len(LEVELS) - 1)] - 1, 0)
+        slots = 1 << max(4, (2 * len(model.head)).bit_length())
+        self.mask = U(slots - 1)
+        self.slot = np.full(slots, -1, np.int64)
+        left = np.arange(len(model.head))
+        at = mixed(model.head) & self.mask
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = left[free]  # of several that meet in a slot, one stays
+            missed = self.slot[at] != left
+            left, at = left[missed], (at[missed] + U(1)) & self.mask
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """The exact counts of the words of the head, -1 for others."""
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.model.head):
+            return out
+        left, at = np.arange(len(h)), mixed(h) & self.mask
+        while len(left):
+            found = self.slot[at]
+            hit = (found >= 0) & (self.model.head[found] == h[left])
+            out[left[hit]] = self.model.head_counts[found[hit]]
+            on = (found >= 0) & ~hit
+            left, at = left[on], (at[on] + U(1)) & self.mask
+        return out
+
+    def probabilities(self, flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The places of words and ENDs; the model's probability of each, its count, whether that is exact, and P(w).
+
+        Texts are given as START, words and END one after another; begin has the places of START.
+        """
+        m = self.model
+        is_start = np.zeros(len(flat), bool)
+        is_start[begin] = True
+        low = self.counts(flat)
+        exact = low >= 0
+        far = np.flatnonzero(~exact & ~is_start)
+        level = m.bits.level(flat[far], np.full(len(far), len(LEVELS)))
+        low[far] = np.where(level > 0, LEVELS[level - 1], 0)
+        up = low.copy()
+        up[far] = np.where(level > 0, LEVELS[np.minimum(level, len(LEVELS) - 1)] - 1, 0)
         exact |= low == 0  # the filter has no false negatives
-        if not len(self.hash):
-            low[1] = up[1] = m.texts
-        share, total = m.novelty[:, context_group(h)]
+        low[begin] = up[begin] = m.texts
+        share, total = m.novelty[:, context_group(flat)]
         novel = np.where(up > total / 2, share, m.other)
         novel = np.where(up > 0, np.clip(np.maximum(novel, 1 / (1 + up / 5)), 0.02, 0.98), 1.0)
-        for name, x in (("hash", h), ("low", low), ("up", up), ("novel", novel), ("exact", exact)):
-            setattr(self, name, np.concatenate([getattr(self, name), x]))
-        self.new = []
-
-    def batch(self, keys: list, ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
-        if len(self) > MEMO_WORDS:
-            self.reset()
-        n = np.array([len(t) + 1 for t in texts])
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        w = np.zeros(n.sum(), np.int64)
-        for at, t in zip(first, texts, strict=True):
-            w[at : at + len(t)] = np.fromiter(map(self.__getitem__, t), np.int64, len(t))
-        if self.new:
-            self.learn()
-        v = np.concatenate([[1], w[:-1]])
-        v[first] = 1
-        m = self.model
-        low, up, exact = self.low[w], self.up, self.exact[w]
-        p = (low + 0.5) / m.z
-        base = np.where(exact, np.log10(p), 0.0)
-        both = np.flatnonzero((low > 0) & (up[v] > 0))
-        a, b = v[both], w[both]
+
+        w = np.flatnonzero(~is_start)
+        alone = (low[w] + 0.5) / m.z
+        both = np.flatnonzero((low[w] > 0) & (up[w - 1] > 0))
+        b, a = w[both], w[both] - 1
         most = np.searchsorted(LEVELS, np.minimum(up[a], up[b]), "right")
-        level = m.bits.level(pair_hash(self.hash[a], self.hash[b]), most)
+        level = m.bits.level(pair_hash(flat[a], flat[b]), most)
         count = np.where(level > 0, LEVELS[level - 1], 0)
-        p *= self.novel[v]
-        p[both] += (1 - self.novel[a]) * np.minimum(count / up[a], 1.0)
-        row = np.repeat(np.arange(len(n)), n)
-        far = np.flatnonzero(~exact)
-        tail = np.unique(np.stack([row[far], self.hash[w[far]].view(np.int64)]), axis=1, return_counts=True) if len(far) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        ends = np.searchsorted(tail[0][0], np.arange(len(n) + 1)).astype(np.int32)
+        p = alone * novel[w - 1]
+        p[both] += (1 - novel[a]) * np.minimum(count / up[a], 1.0)
+        return w, p, low[w], exact[w], alone
+
+    def batch(self, keys: list, ids: list, flat: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+        """Scores texts as in probabilities()."""
+        w, p, low, own, alone = self.probabilities(flat, begin)
+        first = begin - np.arange(len(begin))  # where texts begin without their STARTs
+        known, base = low > 0, np.where(own, np.log10(alone), 0.0)
+        n = np.diff(np.append(begin, len(flat))) - 1
+        row, other = np.repeat(np.arange(len(n)), n), np.flatnonzero(~own)
+        tail, times = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+        if len(other):
+            tail, times = np.unique(np.stack([row[other], flat[w[other]].view(np.int64)]), axis=1, return_counts=True)
+        ends = np.searchsorted(tail[0], np.arange(len(n) + 1)).astype(np.int32)
         return pa.RecordBatch.from_pydict({
             "key": pa.array(keys, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "n_tokens": n.astype(np.int64),
-            "known": np.add.reduceat((exact & (low > 0)).astype(np.int64), first), "base": np.add.reduceat(base, first),
+            "known": np.add.reduceat((own & known).astype(np.int64), first), "base": np.add.reduceat(base, first),
             "score": np.add.reduceat(np.log10(p), first),
-            "h": pa.ListArray.from_arrays(pa.array(ends), pa.array(tail[0][1])),
-            "n": pa.ListArray.from_arrays(pa.array(ends), pa.array(tail[1].astype(np.int64))),
+            "h": pa.ListArray.from_arrays(pa.array(ends), pa.array(tail[1])),
+            "n": pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int64))),
         })
 
 
@@ -361,17 +433,11 @@ def score(docs: DataFrame, model: Model, tail: DataFrame, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = remembered(name, lambda: Scorer(shared.value))
         for batch in slices(batches):
-            held: list[tuple] = []
-            size = 0
-            columns = lists(batch)
-            for key, own, data in zip(columns["key"], columns["id"], columns["text"], strict=True):
-                held.append((key, own, tokens(data)))
-                size += len(held[-1][2]) + 1
-                if size >= SCORE_TOKENS:
-                    yield scorer.batch(*map(list, zip(*held, strict=True)))
-                    held, size = [], 0
-            if held:
-                yield scorer.batch(*map(list, zip(*held, strict=True)))
+            columns, at = lists(batch), 0
+            for flat, begin in tokens_of(columns["text"]):
+                some = slice(at, at + len(begin))
+                yield scorer.batch(columns["key"][some], columns["id"][some], flat, begin)
+                at += len(begin)
 
     scored = cut(rows.mapInArrow(run, ROWS))
     far = scored.select("key", F.explode(F.arrays_zip("h", "n")).alias("t")).select("key", "t.h", "t.n")

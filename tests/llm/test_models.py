@@ -108,31 +108,32 @@ def test_probabilities_sum_to_one_at_most(spark):
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 30))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model, _ = lm.learn(df)
-    for context in "abcdefgh":
-        scorer = lm.Scorer(model)
-        alone = scorer.batch([0], [0], [[context.encode()]])
-        total = 0.0
-        for w in [*"abcdefgh", "zz"]:
-            both = scorer.batch([0], [0], [[context.encode(), w.encode()]]).column("score")[0].as_py()
-            then_end = scorer.batch([0], [0], [[w.encode()]])
-            del then_end
-            # log P(context) + log P(w | context) + log P(end | w); the last is taken off by probing w as a context
-            end = scorer.batch([0], [0], [[w.encode()]]).column("score")[0].as_py() - first_of(scorer, w)
-            total += 10 ** (both - end - first_of(scorer, context))
-        end_here = alone.column("score")[0].as_py() - first_of(scorer, context)
-        assert total + 10**end_here <= 1 + 1e-6
-
-
-def first_of(scorer, word):
-    """log10 P(word | start)."""
-    m = scorer.model
-    w = scorer[word.encode()]
-    if scorer.new:
-        scorer.learn()
-    level = m.bits.level(lm.pair_hash(scorer.hash[[1]], scorer.hash[[w]]), np.array([len(lm.LEVELS)]))[0] if scorer.low[w] and scorer.up[1] else 0
-    count = lm.LEVELS[level - 1] if level else 0
-    p = scorer.novel[1] * (scorer.low[w] + 0.5) / m.z + ((1 - scorer.novel[1]) * count / scorer.up[1] if scorer.up[1] else 0)
-    return math.log10(p)
+    scorer = lm.Scorer(model)
+
+    def after(context, word):
+        """P(word | context); the end of the text for None."""
+        flat, begin = next(lm.tokens_of([" ".join(x for x in (context, word) if x).encode()]))
+        return scorer.probabilities(flat, begin)[1][int(context is not None)]
+
+    for context in [None, *"abcdefgh", "unseen"]:
+        assert 0.5 < sum(after(context, w) for w in [*"abcdefgh", "zz", None]) <= 1 + 1e-9
+
+
+def test_words_are_hashed_alike_everywhere(monkeypatch):
+    rng = random.Random(0)
+    texts = ["".join(rng.choice("abAB \n\té#") for _ in range(rng.randint(0, 40))).encode() for _ in range(200)] + [None, b"", b"  ", b"x" * 100]
+    seen = {}
+    for size in (1 << 19, 16):
+        monkeypatch.setattr(lm, "SCORE_BYTES", size)
+        row = 0
+        for flat, begin in lm.tokens_of(texts):
+            for at, end in zip(begin, [*begin[1:], len(flat)], strict=True):
+                own = words((texts[row] or b"").decode())
+                row += 1
+                assert flat[at] == lm.START and flat[end - 1] == lm.END and end - at == len(own) + 2
+                assert all(seen.setdefault(w, int(h)) == int(h) for w, h in zip(own, flat[at + 1 : end - 1], strict=True))
+        assert row == len(texts)
+    assert len(set(seen.values())) == len(seen)
 
 
 def toxic_corpus(spark, n=400):
