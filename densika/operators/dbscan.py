@@ -26,7 +26,7 @@ from densika.operators.ordered import ordinal
 from densika.operators.partitioning import assign
 
 #: Up to so many edges, components are found in one task.
-LOCAL_EDGES = 1 << 18
+LOCAL_EDGES = 1 << 21
 
 
 def _far_links(celled: DataFrame, linked: DataFrame, eps: float) -> DataFrame:
