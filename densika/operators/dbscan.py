@@ -75,6 +75,22 @@ def _core(points: DataFrame, eps: float, min_pts: int, dense: bool) -> tuple[Dat
     return cut(found), touching.unionAll(far)
 
 
+def _linked_cells(found: DataFrame, links: DataFrame | None, eps: float) -> tuple[DataFrame, DataFrame | None]:
+    """_core()'s result with one vertex for all core points of a cell whose diagonal is eps, as they are neighbours of one another."""
+    side = F.lit(float(eps) / PRUNING / 2**0.5)
+    placed = found.select("*", *(F.floor(F.col(c) / side).cast("long").alias(f"l{c}") for c in "xy"))
+    core = placed.where("vertex IS NOT NULL").groupBy("lx", "ly").agg(F.min("id").alias("joint"))
+    joined = placed.join(core, ["lx", "ly"], "left")
+    out = cut(joined.select("id", "x", "y", F.when(F.col("vertex").isNotNull(), F.col("joint")).alias("vertex"), "dense"))
+    if links is None:
+        return out, None
+    own = out.select(F.col("id").alias("a"), F.col("vertex").alias("va")), out.select(F.col("id").alias("b"), F.col("vertex").alias("vb"))
+    both = links.join(own[0], "a").join(own[1], "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    inside = joined.where("dense").select(F.col("vertex").alias("a"), F.col("joint").alias("vb")).distinct()
+    spans = inside.join(own[0], "a").select(F.col("va").alias("a"), F.col("vb").alias("b"))
+    return out, both.unionAll(spans).where("a <> b").distinct()
+
+
 def cluster(
     df: DataFrame, eps: float, min_pts: int, id_col: str = "id", x_col: str = "x", y_col: str = "y",
     border: str = "canonical", dense_cells: bool | str = "auto",
@@ -89,9 +105,10 @@ def cluster(
         crowded = crowding(points, eps).first()["crowding"]
         dense_cells = crowded is not None and crowded >= min_pts
     found, links = _core(points, eps, min_pts, bool(dense_cells))
+    found, links = _linked_cells(found, links, eps)
     cored = found.where("vertex IS NOT NULL").select("x", "y", "vertex")
     touched = range_join(found.where("NOT dense"), cored, eps, ["id", "vertex own"], ["vertex"]).where("own IS NULL OR own <> vertex")
-    touched = cut(touched.distinct())
+    touched = cut(touched.select(F.when(F.col("own").isNull(), F.col("id")).alias("id"), "own", "vertex").distinct())
     edges = touched.where("own IS NOT NULL").select(F.col("own").alias("a"), F.col("vertex").alias("b"))
     component = connected_components(edges if links is None else edges.unionAll(links), local_edges=LOCAL_EDGES)
     vertices = found.where("vertex IS NOT NULL").select("vertex").distinct()
