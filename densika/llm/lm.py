@@ -2,7 +2,7 @@
 
 Word and word-pair counts are quantised to the levels 1, 2, 3, 4, 6, 9, ...; an expression that reached a level is in
 the Bloom filter under that level and all below, so probing level after level until one is missing gives its count's
-lower bound. The filter is broadcast. A pair's probability mixes its quantised relative frequency with its last word's:
+lower bound. A pair's probability mixes its quantised relative frequency with its last word's:
 
     P(w | v) = (1 - l(v)) c(v w) / c(v) + l(v) P(w),   P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
@@ -12,7 +12,9 @@ for all others; contexts are told apart by GROUPS hash values.
 
 Scale: tokens are counted in each task before the shuffle, and sorted hashes travel in blocks, one for each bucket of the
 hash space; a bucket makes its segment of the filter, so no key is hot and buckets grow in number with the input. The
-filter takes at most MAX_FILTER_BYTES: each bucket keeps the pairs above the least count with which it fits its share.
+filter holds every word and pair, so its size follows the input. It is broadcast while it takes at most MAX_FILTER_BYTES;
+a larger one stays in its segments: the words and pairs of about COUNT_TOKENS tokens of text at a time go to the segments
+by bucket, and their levels come back. Both ways give the same scores.
 Exact word counts, which the base score needs, are broadcast for at most HEAD words, the most frequent. The filter tells
 which others are new; the rest are looked up by a shuffled join on (row, word) with their frequency in the row.
 Words are known by 64-bit hashes; two among n words agree with a probability of about n^2 / 2^65.
@@ -38,7 +40,10 @@ from pyspark.sql import functions as F
 from densika.llm.common import LOWER, cut, lists, remembered, slices
 
 BITS_PER_ENTRY, PROBES = 10, 4
+#: The largest filter that is broadcast.
 MAX_FILTER_BYTES = 96 << 20
+#: What place() can address in a segment.
+MAX_SEGMENT_BYTES = (1 << 29) - 8
 HEAD = 1 << 20
 GROUPS = 1 << 14
 #: Tokens that are counted together, and bytes of text that are scored together.
@@ -191,6 +196,13 @@ def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.nd
     return np.packbits(bits, bitorder="little").tobytes(), int(floor)
 
 
+def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hashes by bucket, and where each bucket begins and ends in it."""
+    bucket = (hashes & U(buckets - 1)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
 class Filter:
     """Segments, a power of two of them, one after another; a key's bucket is its remainder by their number."""
 
@@ -218,8 +230,18 @@ class Filter:
         return out
 
 
+class Answers:
+    """Levels that the segments gave, by sorted hash; in the place of a filter."""
+
+    def __init__(self, hashes: np.ndarray, levels: np.ndarray):
+        self.hashes, self.levels = hashes, levels
+
+    def level(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
+        return np.minimum(self.levels[np.searchsorted(self.hashes, keys)], most)
+
+
 BLOCKS = "bucket int, words binary, counts binary, pairs binary, pair_counts binary, pair_groups binary"
-BUCKET = "bucket int, words binary, counts binary, bits binary, floor long, groups binary, ones binary, totals binary"
+BUCKET = "bucket int, words binary, counts binary, bits binary, groups binary, ones binary, totals binary"
 
 
 def count_blocks(buckets: int):
@@ -257,7 +279,7 @@ def count_blocks(buckets: int):
     return run
 
 
-def count_bucket(most_bytes: int):
+def count_bucket(most_bytes: int = MAX_SEGMENT_BYTES):
     """Sums a bucket's blocks and makes its segment of the filter."""
 
     def joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
@@ -269,12 +291,14 @@ def count_bucket(most_bytes: int):
         pairs = joined(table, "pairs", "<u8"), joined(table, "pair_counts", "<u4").astype(np.int64), joined(table, "pair_groups", "<u2")
         pairs, pair_counts, groups = summed(*pairs)
         bits, floor = segment((words, counts), (pairs, pair_counts), most_bytes)
+        if floor > 1:
+            raise ValueError("a segment of the filter can't hold its bucket; read the texts in more partitions")
         ones, totals = np.bincount(groups, pair_counts == 1, GROUPS), np.bincount(groups, pair_counts, GROUPS)
         live = np.flatnonzero(totals)
-        row = [table["bucket"][0].as_py(), words.tobytes(), counts.astype("<i8").tobytes(), bits, floor]
+        row = [table["bucket"][0].as_py(), words.tobytes(), counts.astype("<i8").tobytes(), bits]
         row += [live.astype("<i8").tobytes(), ones[live].astype("<i8").tobytes(), totals[live].astype("<i8").tobytes()]
         fields = [f.split(" ") for f in BUCKET.split(", ")]
-        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        kinds = {"int": pa.int32(), "binary": pa.binary()}
         return pa.table({name: pa.array([x], kinds[kind]) for (name, kind), x in zip(fields, row, strict=True)})
 
     return run
@@ -293,20 +317,30 @@ def unpacked(df: DataFrame, schema: str, **columns: str) -> DataFrame:
 
 
 class Model:
-    """What the workers need: the filter, the most frequent words, and how novel pairs are after each context."""
+    """What the workers need: the filter, the most frequent words, and how novel pairs are after each context.
+
+    A filter that is too large to broadcast is None; its segments are a table of bucket and bits, which stays on the driver.
+    """
 
-    def __init__(self, bits: Filter, head: np.ndarray, head_counts: np.ndarray, n: int, v: int, texts: int, novelty: np.ndarray, other: float):
+    def __init__(
+        self, bits: Filter | None, head: np.ndarray, head_counts: np.ndarray, n: int, v: int, texts: int, novelty: np.ndarray, other: float,
+        buckets: int, segments: DataFrame | None = None,
+    ):
+        self.buckets, self.segments = buckets, segments
         self.bits, self.head, self.head_counts = bits, head, head_counts
         self.n, self.v, self.texts, self.novelty, self.other = n, v, texts, novelty, other
         self.z = n + 0.5 * (v + 1)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"segments": None}
+
 
 def learn(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model of the texts, and the counts of the words that are not in its head: h long, c long."""
     texts = docs.select(docs[text_col].alias("text"))
     buckets = 1 << (max(16, 4 * texts.rdd.getNumPartitions()) - 1).bit_length()
     blocks = texts.mapInArrow(count_blocks(buckets), BLOCKS)
-    found = cut(blocks.groupBy("bucket").applyInArrow(count_bucket(max_filter_bytes // buckets), BUCKET))
+    found = cut(blocks.groupBy("bucket").applyInArrow(count_bucket(), BUCKET))
     words = unpacked(found, "h long, c long", h="words", c="counts")
     histogram = words.groupBy(F.floor(F.log2("c")).cast("int").alias("e")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()
     n, v = sum(r["n"] for r in histogram), sum(r["v"] for r in histogram)
@@ -321,9 +355,12 @@ def learn(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_F
     most = words.where(F.col("c") >= least).toArrow()
     h, c = most["h"].to_numpy().view(np.uint64), most["c"].to_numpy()
     order = np.argsort(h)
-    segments = [bytes(8)] * buckets
-    for r in found.select("bucket", "bits").toLocalIterator():
-        segments[r["bucket"]] = bytes(r["bits"])
+    segments, bits = found.select("bucket", "bits"), None
+    if (segments.agg(F.sum(F.length("bits"))).first()[0] or 0) <= max_filter_bytes:
+        own = [bytes(8)] * buckets
+        for r in segments.toLocalIterator():
+            own[r["bucket"]] = bytes(r["bits"])
+        bits = Filter(own)
     rows = unpacked(found, "g long, a long, b long", g="groups", a="ones", b="totals")
     rows = rows.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
     ones, totals = np.zeros(GROUPS), np.zeros(GROUPS)
@@ -335,7 +372,7 @@ def learn(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_F
     own = (largest > totals / 2) & (totals > 0)
     other = ones[~own].sum() / totals[~own].sum() if totals[~own].sum() else 0.95
     novelty = np.where(own, ones / np.maximum(totals, 1), other)
-    model = Model(Filter(segments), h[order], c[order], n, v, end, np.stack([novelty, np.where(own, totals, 0)]), float(other))
+    model = Model(bits, h[order], c[order], n, v, end, np.stack([novelty, np.where(own, totals, 0)]), float(other), buckets, segments)
     return model, words.where(F.col("c") < least)
 
 
@@ -369,18 +406,19 @@ class Scorer:
             left, at = left[on], (at[on] + U(1)) & self.mask
         return out
 
-    def probabilities(self, flat: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    def probabilities(self, flat: np.ndarray, begin: np.ndarray, bits: Answers | None = None) -> tuple[np.ndarray, ...]:
         """The places of words and ENDs; the model's probability of each, its count, whether that is exact, and P(w).
 
         Texts are given as START, words and END one after another; begin has the places of START.
         """
         m = self.model
+        bits = bits or m.bits
         is_start = np.zeros(len(flat), bool)
         is_start[begin] = True
         low = self.counts(flat)
         exact = low >= 0
         far = np.flatnonzero(~exact & ~is_start)
-        level = m.bits.level(flat[far], np.full(len(far), len(LEVELS)))
+        level = bits.level(flat[far], np.full(len(far), len(LEVELS)))
         low[far] = np.where(level > 0, LEVELS[level - 1], 0)
         up = low.copy()
         up[far] = np.where(level > 0, LEVELS[np.minimum(level, len(LEVELS) - 1)] - 1, 0)
@@ -395,15 +433,15 @@ class Scorer:
         both = np.flatnonzero((low[w] > 0) & (up[w - 1] > 0))
         b, a = w[both], w[both] - 1
         most = np.searchsorted(LEVELS, np.minimum(up[a], up[b]), "right")
-        level = m.bits.level(pair_hash(flat[a], flat[b]), most)
+        level = bits.level(pair_hash(flat[a], flat[b]), most)
         count = np.where(level > 0, LEVELS[level - 1], 0)
         p = alone * novel[w - 1]
         p[both] += (1 - novel[a]) * np.minimum(count / up[a], 1.0)
         return w, p, low[w], exact[w], alone
 
-    def batch(self, keys: list, ids: list, flat: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+    def batch(self, keys: list, ids: list, flat: np.ndarray, begin: np.ndarray, bits: Answers | None = None) -> pa.RecordBatch:
         """Scores texts as in probabilities()."""
-        w, p, low, own, alone = self.probabilities(flat, begin)
+        w, p, low, own, alone = self.probabilities(flat, begin, bits)
         first = begin - np.arange(len(begin))  # where texts begin without their STARTs
         known, base = low > 0, np.where(own, np.log10(alone), 0.0)
         n = np.diff(np.append(begin, len(flat))) - 1
@@ -424,6 +462,85 @@ class Scorer:
 ROWS = "key long, doc_id long, n_tokens long, known long, base double, score double, h array<long>, n array<long>"
 
 
+ASKED = "chunk long, bucket int, hashes binary, begin binary, keys array<long>, ids array<long>"
+TOLD = "chunk long, bucket int, levels binary"
+
+
+def questions(flat: np.ndarray) -> np.ndarray:
+    """The words and pairs of some texts, each once, in order."""
+    inside = flat[:-1] != U(END)
+    return np.unique(np.concatenate([flat[flat != U(START)], pair_hash(flat[:-1][inside], flat[1:][inside])]))
+
+
+def ask(buckets: int, tokens: int):
+    """A row for the texts of about so many tokens, with bucket -1, and one for each bucket with what they ask it."""
+
+    def chunk(keys: list, ids: list, flats: list[np.ndarray], begins: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(flats)
+        starts = np.cumsum([0, *map(len, flats)])[:-1]
+        begin = np.concatenate([b + s for b, s in zip(begins, starts, strict=True)])
+        hashes = questions(flat)
+        order, ends = dealt(hashes, buckets)
+        live = np.flatnonzero(np.diff(ends))
+        none = [None] * len(live)
+        return pa.RecordBatch.from_pydict({
+            "chunk": pa.array([keys[0]] * (len(live) + 1), pa.int64()), "bucket": pa.array([-1, *live.tolist()], pa.int32()),
+            "hashes": pa.array([flat.tobytes(), *(hashes[order[ends[b] : ends[b + 1]]].tobytes() for b in live)], pa.binary()),
+            "begin": pa.array([begin.astype("<i8").tobytes(), *none], pa.binary()),
+            "keys": pa.array([keys, *none], pa.list_(pa.int64())), "ids": pa.array([ids, *none], pa.list_(pa.int64())),
+        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("questions")
+        held: tuple[list, list, list, list] = [], [], [], []
+        size = 0
+        for batch in slices(batches):
+            columns, at = lists(batch), 0
+            for flat, begin in tokens_of(columns["text"]):
+                some = slice(at, at + len(begin))
+                at += len(begin)
+                held[0].extend(columns["key"][some])
+                held[1].extend(columns["id"][some])
+                held[2].append(flat)
+                held[3].append(begin)
+                size += len(flat)
+                if size >= tokens:
+                    yield chunk(*held)
+                    held, size = ([], [], [], []), 0
+        if size:
+            yield chunk(*held)
+
+    return run
+
+
+def answer(asked: pa.Table, bits: pa.Table) -> pa.Table:
+    """The levels that a bucket's segment has for what it is asked."""
+    remembered("answers")
+    table = Filter([bits["bits"][0].as_py() if bits.num_rows else bytes(8)])
+    levels = []
+    for x in asked["hashes"]:
+        keys = np.frombuffer(x.as_py(), "<u8")
+        levels.append(table.level(keys, np.full(len(keys), len(LEVELS))).astype(np.uint8).tobytes())
+    return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "levels": pa.array(levels, pa.binary())})
+
+
+def score_told(scorer: Scorer, asked: pa.Table, told: pa.Table, tokens: int) -> pa.Table:
+    """Scores the texts of a chunk by the levels that came back, about so many tokens at a time."""
+    row = asked.to_pylist()[0]
+    flat, begin = np.frombuffer(row["hashes"], "<u8"), np.frombuffer(row["begin"], "<i8")
+    hashes = questions(flat)
+    order, ends = dealt(hashes, scorer.model.buckets)
+    levels = np.zeros(len(hashes), np.int64)
+    for b, x in zip(told["bucket"].to_pylist(), told["levels"].to_pylist(), strict=True):
+        levels[order[ends[b] : ends[b + 1]]] = np.frombuffer(x, np.uint8)
+    bits, out = Answers(hashes, levels), []
+    first = np.flatnonzero(np.diff(begin // tokens, prepend=-1))
+    for a, b in zip(first, [*first[1:], len(begin)], strict=True):
+        end = begin[b] if b < len(begin) else len(flat)
+        out.append(scorer.batch(row["keys"][a:b], row["ids"][a:b], flat[begin[a] : end], begin[a:b] - begin[a], bits))
+    return pa.Table.from_batches(out)
+
+
 def score(docs: DataFrame, model: Model, tail: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -439,7 +556,18 @@ def score(docs: DataFrame, model: Model, tail: DataFrame, id_col: str = "doc_id"
                 yield scorer.batch(columns["key"][some], columns["id"][some], flat, begin)
                 at += len(begin)
 
-    scored = cut(rows.mapInArrow(run, ROWS))
+    tokens = COUNT_TOKENS
+
+    def run_told(asked: pa.Table, told: pa.Table) -> pa.Table:
+        return score_told(remembered(name, lambda: Scorer(shared.value)), asked, told, max(1, tokens // 16))
+
+    if model.bits is None:
+        asked = cut(rows.mapInArrow(ask(model.buckets, tokens), ASKED))
+        told = asked.where("bucket >= 0").select("chunk", "bucket", "hashes").groupBy("bucket")
+        told = told.cogroup(model.segments.groupBy("bucket")).applyInArrow(answer, TOLD)
+        scored = cut(asked.where("bucket < 0").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run_told, ROWS))
+    else:
+        scored = cut(rows.mapInArrow(run, ROWS))
     far = scored.select("key", F.explode(F.arrays_zip("h", "n")).alias("t")).select("key", "t.h", "t.n")
     c = F.coalesce("c", F.lit(0))
     far = far.join(tail, "h", "left").groupBy("key").agg(

@@ -102,6 +102,17 @@ def test_filter_keeps_to_its_size():
     assert len(bits) <= 2000 and floor > 1
 
 
+def test_filter_too_large_to_broadcast_loses_nothing(spark, docs, monkeypatch):
+    """All pairs stay in the filter at any bound, and its segments give the same scores by a join."""
+    monkeypatch.setattr(lm, "COUNT_TOKENS", 1000)
+    found = []
+    for most in (lm.MAX_FILTER_BYTES, 500):
+        model, tail = lm.learn(docs.where(~held_out("doc_id", 5, 1)), max_filter_bytes=most, head=20)
+        rows_ = lm.score(docs, model, tail).collect()
+        found.append(sorted(tuple((x is None, x if isinstance(x, int) else round(x or 0, 9)) for x in r) for r in rows_))
+    assert found[0] == found[1] and len(found[0]) == len(rows()) and model.bits is None
+
+
 def test_probabilities_sum_to_one_at_most(spark):
     """Over all words and one for unseen ones, after any context, with a filter too large for false positives."""
     rng = random.Random(9)
