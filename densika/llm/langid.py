@@ -5,9 +5,9 @@ bit is 1 from the others, by the mean log-odds of a text's trigrams. Decoding ta
 least logistic loss under these margins; the score is its share under exp(-loss), and texts whose two best codewords
 are within AMBIGUOUS of one another are flagged.
 
-Learning reads a bounded sample: at most about PER_LANGUAGE labelled texts for each of the MAX_LANGUAGES most frequent
-languages and MAX_ROWS texts in all, chosen by a hash of their id, each whole; trigrams are counted on the executors and
-each sampled row sends at most 2^BITS counts. Predicting is one pass over the whole texts, without a shuffle.
+Learning reads a sample: about PER_LANGUAGE labelled texts of every language, or all where it has fewer, chosen by a hash of
+their id, each whole; it grows with the number of languages only. Trigrams are counted on the executors, and each batch
+sends at most 2^BITS counts a language. Predicting is one pass over the whole texts, without a shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a null id is passed through; a null
 language is not learned from; rows that share an id are judged one by one; with one learned language every text with a
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from densika.llm.common import LOWER, keep_rows, map_batches, remembered
 
 BITS = 14
-PER_LANGUAGE, MAX_LANGUAGES, MAX_ROWS = 400, 256, 8192
+PER_LANGUAGE = 400
 #: A margin is the mean log-odds of a text's trigrams times SHARPNESS, or less for texts of few trigrams.
 SHARPNESS, FEW = 12.0, 24.0
 AMBIGUOUS = 0.2
@@ -106,13 +106,11 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learns: Co
     """A model from the labelled rows, of those for which learns holds (an expression of the column id)."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.lit(True) if learns is None else learns))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return fit({})
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     most = (1 << 31) - 1
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, PER_LANGUAGE / r["count"]) * most))))
+    share = F.floor(F.least(F.lit(1.0), F.lit(float(PER_LANGUAGE)) / F.col("n")) * F.lit(most))
     draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(most))
-    sample = rows.where(draw <= F.coalesce(share[F.col("lang")], F.lit(-1))).orderBy(draw, "id").limit(MAX_ROWS).select("lang", "text")
+    sample = rows.join(F.broadcast(counts), "lang").where(draw <= share).select("lang", "text").repartition("lang")
 
     def counted(batch: dict[str, list]) -> dict[str, object]:
         found: dict[bytes, np.ndarray] = {}

@@ -218,6 +218,17 @@ def test_languages_are_told(spark, n):
     assert langid.drop_undetermined(docs, model, least=0.0).count() == docs.count()
 
 
+def test_rare_languages_keep_their_sample(spark, monkeypatch):
+    """However many languages there are, and however frequent the others."""
+    often = spark.range(88_000).selectExpr("id", "concat('often', id % 22) AS lang")
+    rare = spark.range(100_000, 104_800).selectExpr("id", "concat('rare', id % 240) AS lang")
+    monkeypatch.setattr(langid, "fit", lambda totals: totals)
+    totals = langid.learn(often.unionAll(rare).withColumn("text", F.lit("abc")), "id", "text", "lang")
+    rows_ = {lang: x.sum() / langid.trigrams(b"abc").sum() for lang, x in totals.items()}
+    assert len(rows_) == 262 and {n for lang, n in rows_.items() if lang.startswith("rare")} == {20}
+    assert all(300 < n < 500 for lang, n in rows_.items() if lang.startswith("often"))
+
+
 @pytest.mark.parametrize("n", [2, 3, 5, 6, 16, 40])
 def test_codewords_differ(n):
     code = langid.codewords(n)
