@@ -45,6 +45,22 @@ def test_queries_without_sql(spark):
     assert engine.QUERIES["synthetic_uniform"](spark, DATA).count() == 10_000
 
 
+def test_components_of_all_lineitem_edges(spark, duck):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in duck.execute("SELECT l_orderkey, l_orderkey + l_suppkey FROM lineitem").fetchall():
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    found = engine.QUERIES["union_find_lineitem"](spark, DATA).collect()
+    assert sorted(map(tuple, found)) == sorted((x, root(x)) for x in parent)
+
+
 def test_entry(spark):
     import __spark_entry__
 
