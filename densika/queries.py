@@ -627,4 +627,6 @@ def synthetic_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(n AS BIGINT) AS part, CAST(n * (n + 1) / 2 AS BIGINT) AS total FROM range(1, 1001) t(n)")
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return running_sum(spark.range(1, 1001).select(F.col("id").alias("part"), F.col("id").alias("n")), "part", "n", "total").select("part", "total")
+    """Keys lie 1,000 apart, so they fill 16 blocks and the sums of earlier ones are carried."""
+    rows = spark.range(1, 1001).select((F.col("id") * 1000).alias("key"), F.col("id").alias("part"), F.col("id").alias("n"))
+    return running_sum(rows, "key", "n", "total").select("part", "total")

@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import densika.queries as engine
+from densika.operators import ordered
 
 ROOT = Path(__file__).resolve().parents[1]
 DATA = "/root/testdata/sf0.001"
@@ -61,6 +62,18 @@ def test_components_of_all_lineitem_edges(spark, duck):
     assert sorted(map(tuple, found)) == sorted((x, root(x)) for x in parent)
 
 
+def test_running_totals_cross_blocks(spark, monkeypatch):
+    blocks = set()
+
+    def seen(df, key, value, out):
+        blocks.update(r[0] // ordered.BLOCK for r in df.select(key).collect())
+        return ordered.running_sum(df, key, value, out)
+
+    monkeypatch.setattr(engine, "running_sum", seen)
+    found = engine.QUERIES["running_totals"](spark, DATA).collect()
+    assert len(blocks) == 16 and sorted(map(tuple, found)) == [(n, n * (n + 1) // 2) for n in range(1, 1001)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
