@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from densika.operators.lineage import cut, shared_folder
 
 __all__ = [
-    "LOWER", "cut", "gave_back", "held_out", "keep_rows", "lists", "make_importable", "map_batches", "read", "remainder", "remembered", "shared_folder", "slices",
+    "LOWER", "cut", "gave_back", "held_out", "keep_rows", "lists", "make_importable", "map_batches", "mixed", "pack", "pack_parts", "read", "remainder", "remembered", "shared_folder", "slices", "unpack",
 ]
 
 T = TypeVar("T")
@@ -27,6 +28,42 @@ T = TypeVar("T")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """splitmix64, one to one."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, their bytes sorted by significance and compressed, as most high bytes are alike."""
+    return pack_parts(np.array([0, len(arrays[0])]), *arrays)[0]
+
+
+def pack_parts(ends: np.ndarray, *arrays: np.ndarray) -> list[bytes]:
+    """pack() of each part of the arrays; ends has where the first begins, and where each ends."""
+    planes = np.empty((sum(a.itemsize for a in arrays), len(arrays[0])), np.uint8)
+    at = 0
+    for a in arrays:
+        planes[at : at + a.itemsize] = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+        at += a.itemsize
+    parts = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+    return [(b - a).to_bytes(8, "little") + (pa.compress(planes[:, a:b].tobytes(), "zstd", asbytes=True) if b > a else b"") for a, b in parts]
+
+
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The arrays that pack() was given, of these types."""
+    n, types = int.from_bytes(data[:8], "little"), [np.dtype(k) for k in kinds]
+    raw = pa.decompress(data[8:], n * sum(t.itemsize for t in types), "zstd", asbytes=True) if n else b""
+    out, at = [], 0
+    for t in types:
+        part = np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
+        out.append(np.ascontiguousarray(part.T).view(t).ravel())
+        at += n * t.itemsize
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table, by Spark's reader."""
     make_importable(spark)

@@ -1,23 +1,24 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 1).
 
-Word and word-pair counts are quantised to the levels 1, 2, 3, 4, 6, 9, ...; an expression that reached a level is in
-the Bloom filter under that level and all below, so probing level after level until one is missing gives its count's
-lower bound. A pair's probability mixes its quantised relative frequency with its last word's:
+Counts of words, pairs and triples, and of how many different words follow a word or a pair, are quantised to the levels 1,
+2, 3, 4, 5, 6, 7, 8, 10, ... (a quarter apart). What reached a level is in the Bloom filter under that level and all below,
+so probing for levels until the highest is found gives a lower bound of its count; the next level is an upper one. The
+model is absolute discounting, interpolated from words over pairs to triples, and takes all its counts from such probes:
 
-    P(w | v) = (1 - l(v)) c(v w) / c(v) + l(v) P(w),   P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    P(w | h) = (max(c(h w) - D, 0) + D t(h) P(w | shorter h)) / c(h),   P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-Counts of pairs are lower bounds and those of contexts upper bounds, so false positives aside the sum over w is at most
-1. l(v) is the share of tokens after v whose pair occurs once (Good-Turing), kept for each frequent context and once
-for all others; contexts are told apart by GROUPS hash values.
+with D = DISCOUNT and t(h) the number of words that follow h. Counts of c(h w) and t(h) are lower bounds and those of contexts
+c(h) upper bounds, so false positives aside the sum over w is at most 1. The base score alone takes exact counts, as it must.
 
 Scale: tokens are counted in each task before the shuffle, and sorted hashes travel in blocks, one for each bucket of the
-hash space; a bucket makes its segment of the filter, so no key is hot and buckets grow in number with the input. The
-filter holds every word and pair, so its size follows the input. It is broadcast while it takes at most MAX_FILTER_BYTES;
-a larger one stays in its segments: the words and pairs of about COUNT_TOKENS tokens of text at a time go to the segments
-by bucket, and their levels come back. Both ways give the same scores.
-Exact word counts, which the base score needs, are broadcast for at most HEAD words, the most frequent. The filter tells
+hash space; a bucket makes its segment of the filter, so no key is hot and buckets grow in number with the input. How
+many words follow a context is summed in a second shuffle of a bucket's distinct pairs and triples. The filter holds
+everything, so its size follows the input. It is broadcast while it takes at most MAX_FILTER_BYTES; a larger one stays in
+its segments: what about COUNT_TOKENS tokens of text at a time need goes to the segments by bucket, and levels come back.
+Both ways give the same scores. Exact word counts are broadcast for at most HEAD words, the most frequent. The filter tells
 which others are new; the rest are looked up by a shuffled join on (row, word) with their frequency in the row.
-Words are known by 64-bit hashes; two among n words agree with a probability of about n^2 / 2^65.
+Words are known by 64-bit hashes; two among n words agree with a probability of about n^2 / 2^65. A pair is known by 36 bits
+of its first word and 28 of its second, a triple by 40 of its first two words and 24 of the third.
 
 Defined results: null and empty texts have one token, the end; a row without an id is learned from and not held out;
 rows that share an id are scored one by one; texts of any length are scored whole; with nothing to learn from N and V are 0
@@ -37,17 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import LOWER, cut, lists, remembered, slices
+from densika.llm.common import LOWER, cut, lists, mixed, pack_parts, remembered, slices, unpack
 
-BITS_PER_ENTRY, PROBES = 10, 4
+#: Bits of the filter for each entry; an entry sets PROBES bits of one 64-bit word.
+BITS_PER_ENTRY, PROBES = 12, 4
 #: The largest filter that is broadcast.
 MAX_FILTER_BYTES = 96 << 20
-#: What place() can address in a segment.
-MAX_SEGMENT_BYTES = (1 << 29) - 8
 HEAD = 1 << 20
-GROUPS = 1 << 14
-#: Tokens that are counted together, and bytes of text that are scored together.
-COUNT_TOKENS, SCORE_BYTES = 1 << 20, 1 << 19
+DISCOUNT = 0.75
+#: Tokens that are counted together, bytes of text that are scored together, and keys that are looked up together.
+COUNT_TOKENS, SCORE_BYTES, LOOKED_UP = 1 << 20, 1 << 19, 1 << 16
 END = xxhash.xxh3_64_intdigest(b"\n end")
 START = xxhash.xxh3_64_intdigest(b"\n start")
 U = np.uint64
@@ -56,27 +56,40 @@ U = np.uint64
 def levels() -> np.ndarray:
     out = [1, 2, 3]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2 if out[-1] > 3 else 4))
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
     return np.array(out, np.int64)
 
 
 LEVELS = levels()
+#: By length of context, 1 or 2: the bits that tell contexts apart, what makes keys of pairs and triples differ, and those of contexts.
+CONTEXT = {1: U((1 << 64) - (1 << 28)), 2: U((1 << 64) - (1 << 24))}
+KIND = {1: U(0x3C6EF372FE94F82B), 2: U(0xA54FF53A5F1D36F1)}
+FOLLOWED = {1: U(0x510E527FADE682D1), 2: U(0x9B05688C2B3E6C1F)}
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """splitmix64."""
-    x = x + U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """What mixed() made x from."""
+    x = x ^ (x >> U(31)) ^ (x >> U(62))
+    x = x * U(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ (x >> U(27)) ^ (x >> U(54))
+    x = x * U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    x = x ^ (x >> U(30)) ^ (x >> U(60))
+    return x - U(0x9E3779B97F4A7C15)
 
 
-def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(v * U(0xD6E8FEB86659FD93) + w)
+def extended(context: np.ndarray, w: np.ndarray, length: int) -> np.ndarray:
+    """Keys of contexts (hashes of words, or keys of pairs) and the words after them."""
+    return mixed(((context & CONTEXT[length]) | (w >> U(36 if length == 1 else 40))) ^ KIND[length])
 
 
-def context_group(v: np.ndarray) -> np.ndarray:
-    return (mixed(v ^ U(0xA5A5A5A5A5A5A5A5)) % U(GROUPS)).astype(np.uint16)
+def followed(context: np.ndarray, length: int) -> np.ndarray:
+    """The key under which it is kept how many words follow a context."""
+    return mixed((context & CONTEXT[length]) ^ FOLLOWED[length])
+
+
+def contexts_of(keys: np.ndarray, length: int) -> np.ndarray:
+    """followed() of the contexts of keys that extended() made."""
+    return followed(unmixed(keys) ^ KIND[length], length)
 
 
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
@@ -157,19 +170,32 @@ def framed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def summed(hashes: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct hashes in order, their counts, and what else belongs to them."""
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-    total = np.add.reduceat(counts[order], first) if len(first) else counts[:0]
-    return hashes[first], total, *(m[order][first] for m in more)
+def run_lengths(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each is there."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
-def probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where an entry's bits begin, and the step between them, before the remainder by its segment's size."""
-    g = mixed(keys + U(level * 0x632BE59BD9B4E019 % (1 << 64)))
-    return g, mixed(g) | U(1)
+@cache
+def masks() -> np.ndarray:
+    """4,096 words of PROBES bits each."""
+    random = np.random.default_rng(20240502)
+    return np.array([sum(1 << int(b) for b in random.choice(64, PROBES, replace=False)) for _ in range(1 << 12)], U)
+
+
+def probes(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """What places an entry in its segment, and the bits that it sets there."""
+    g = mixed(keys ^ np.asarray(level).astype(U) * U(0x632BE59BD9B4E019))
+    return g, masks()[(g & U(4095)).astype(np.int64)]
 
 
 def place(g: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
@@ -177,91 +203,121 @@ def place(g: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
     return (g >> U(32)) * size >> U(32)
 
 
-def segment(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], most_bytes: int) -> tuple[bytes, int]:
-    """One bucket's part of the filter, and the least count of the pairs in it."""
-    most_bits = max(64, most_bytes * 8 // 64 * 64)
-    for floor in LEVELS:
-        kept = pairs[1] >= floor
-        keys = np.concatenate([words[0], pairs[0][kept]])
-        level = np.searchsorted(LEVELS, np.concatenate([words[1], pairs[1][kept]]), "right")
-        size = max(64, -(-int(level.sum()) * BITS_PER_ENTRY // 64) * 64)
-        if size <= most_bits or not kept.any():
-            break
-    size = min(size, most_bits)
-    bits = np.zeros(size, bool)
-    for at in range(1, int(level.max(initial=0)) + 1):
-        first, step = probes(keys[level >= at], at)
-        for j in range(PROBES):
-            bits[place(first + U(j) * step, U(size))] = True
-    return np.packbits(bits, bitorder="little").tobytes(), int(floor)
+def segment(keys: np.ndarray, counts: np.ndarray, known: int = 0, bits_per_entry: int = BITS_PER_ENTRY) -> bytes:
+    """One bucket's part of the filter. Levels up to known are taken for granted and not kept."""
+    level = np.searchsorted(LEVELS, counts, "right")
+    size = max(1, -(-int(np.maximum(level - known, 0).sum()) * bits_per_entry // 64))
+    words = np.zeros(size, U)
+    for at in range(known + 1, int(level.max(initial=0)) + 1):
+        g, bits = probes(keys[level >= at], at)
+        np.bitwise_or.at(words, place(g, U(size)), bits)
+    return words.astype("<u8").tobytes()
 
 
-def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of hashes by bucket, and where each bucket begins and ends in it."""
-    bucket = (hashes & U(buckets - 1)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The upper bits of keys, so sorted keys lie in the order of their buckets; buckets is a power of two above 1."""
+    return (keys >> U(65 - buckets.bit_length())).astype(np.int64)
+
+
+def dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets of sorted keys begin and end."""
+    return np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
 
 
 class Filter:
-    """Segments, a power of two of them, one after another; a key's bucket is its remainder by their number."""
-
-    def __init__(self, segments: list[bytes]):
-        sizes = np.array([len(s) for s in segments], np.uint64) * U(8)
-        self.bits = np.frombuffer(b"".join(segments), np.uint8)
-        self.size, self.start = sizes, np.concatenate([[U(0)], np.cumsum(sizes)[:-1]]).astype(np.uint64)
-
-    def level(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many levels each key is in, at most so many."""
-        bucket = (keys & U(len(self.size) - 1)).astype(np.int64)
-        out = np.zeros(len(keys), np.int64)
-        live, at = np.flatnonzero(most > 0), 1
+    """Segments of counts, then as many of followers, each a power of two of them; a key's upper bits tell its bucket."""
+
+    def __init__(self, segments: list[bytes], buckets: int):
+        self.buckets = buckets
+        self.size = np.array([len(s) // 8 for s in segments], U)
+        self.start = np.concatenate([[U(0)], np.cumsum(self.size)[:-1]]).astype(U)
+        self.words = np.frombuffer(b"".join(segments), "<u8")
+
+    def level(self, keys: np.ndarray, most: np.ndarray, known: int = 0) -> np.ndarray:
+        """The highest level of each key, at most so high: levels are doubled while they are found, then bisected.
+
+        Which levels are probed doesn't depend on most, but where it is reached, probing ends. known is 0 for counts and 1 for
+        followers, which are at least 1.
+        """
+        low = np.minimum(most, known).astype(np.int64)
+        for at in range(0, len(keys), LOOKED_UP):
+            self.fill(low[at : at + LOOKED_UP], keys[at : at + LOOKED_UP], most[at : at + LOOKED_UP], known)
+        return low
+
+    def fill(self, low: np.ndarray, keys: np.ndarray, most: np.ndarray, known: int) -> None:
+        """As level(), of keys that fit in a processor's cache."""
+        live = np.flatnonzero(most > known)
+        bucket = bucket_of(keys[live], self.buckets) if self.buckets > 1 else np.zeros(len(live), np.int64)
+        if known:
+            bucket += self.buckets
+        key, size, start, most = keys[live], self.size[bucket], self.start[bucket], most[live].astype(np.int16)
+        a, b = np.full(len(live), known, np.int16), np.full(len(live), len(LEVELS) + 1, np.int16)  # found, and not found
+        growing = np.ones(len(live), bool)
         while len(live):
-            first, step = probes(keys[live], at)
-            size, start = self.size[bucket[live]], self.start[bucket[live]]
-            ok = np.arange(len(live))
-            for j in range(PROBES):
-                where = start[ok] + place(first[ok] + U(j) * step[ok], size[ok])
-                ok = ok[(self.bits[where >> U(3)] >> (where & U(7)).astype(np.uint8) & 1).astype(bool)]
-            live = live[ok]
-            out[live] = at
-            at += 1
-            live = live[most[live] >= at]
-        return out
+            at = np.where(growing, np.minimum(np.maximum(2 * a, 1), b - 1), (a + b) >> 1)
+            g, bits = probes(key, at)
+            found = (self.words[(start + place(g, size)).astype(np.int64)] & bits) == bits
+            a, b = np.where(found, at, a), np.where(found, b, at)
+            growing &= found
+            on = (b - a > 1) & (a < most)
+            ended = np.flatnonzero(~on)
+            low[live[ended]] = np.minimum(a[ended], most[ended])
+            on = np.flatnonzero(on)
+            live, key, size, start, a, b, most, growing = (x[on] for x in (live, key, size, start, a, b, most, growing))
 
 
 class Answers:
-    """Levels that the segments gave, by sorted hash; in the place of a filter."""
+    """Levels that the segments gave, by sorted key, of counts and of followers; in the place of a filter."""
 
-    def __init__(self, hashes: np.ndarray, levels: np.ndarray):
-        self.hashes, self.levels = hashes, levels
+    def __init__(self, keys: list[np.ndarray], levels: list[np.ndarray]):
+        self.keys, self.levels = keys, levels
 
-    def level(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
-        return np.minimum(self.levels[np.searchsorted(self.hashes, keys)], most)
+    def level(self, keys: np.ndarray, most: np.ndarray, known: int = 0) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(0, np.int64)
+        return np.minimum(self.levels[known][np.searchsorted(self.keys[known], keys)], most)
 
 
-BLOCKS = "bucket int, words binary, counts binary, pairs binary, pair_counts binary, pair_groups binary"
-BUCKET = "bucket int, words binary, counts binary, bits binary, groups binary, ones binary, totals binary"
+BLOCKS = "bucket int, words binary, pairs binary, triples binary"
+FOUND = "bucket int, words binary, counts binary, bits binary, followers binary"
+
+
+def expressions(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some texts and the keys of the pairs and triples that end in them; ends are words, starts aren't."""
+    w = np.flatnonzero(flat != U(START))
+    pairs = extended(flat[w - 1], flat[w], 1)
+    after = np.flatnonzero(flat[w - 1] != U(START))  # the word before is the word at the place before in w
+    return flat[w], pairs, extended(pairs[after - 1], flat[w[after]], 2)
+
+
+def packed(keys: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
+    """For each bucket its sorted keys as differences, which are small, and their counts, less than 2^32 each; None where it has none."""
+    apart = np.diff(keys, prepend=U(0))
+    full = ends[:-1] < ends[1:]
+    apart[ends[:-1][full]] = keys[ends[:-1][full]]
+    return [x if ok else None for x, ok in zip(pack_parts(ends, apart, counts.astype("<u4")), full.tolist(), strict=True)]
+
+
+def unpacked_all(blobs: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [unpack(x, "<u8", "<u4") for x in blobs if x]
+    if not parts:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    return np.concatenate([np.cumsum(d, dtype=U) for d, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.int64)
 
 
 def count_blocks(buckets: int):
-    """Counts tokens and pairs of about COUNT_TOKENS tokens at a time; a row for each bucket that they touch."""
+    """Counts what is in about COUNT_TOKENS tokens at a time; a row for each bucket that it touches."""
 
     def flush(flat: np.ndarray) -> pa.RecordBatch:
-        words, counts = summed(flat[flat != U(START)], np.ones(int((flat != U(START)).sum()), np.int64))
-        v, w = flat[:-1][flat[:-1] != U(END)], flat[1:][flat[:-1] != U(END)]
-        pairs, pair_counts, groups = summed(pair_hash(v, w), np.ones(len(v), np.int64), context_group(v))
-        n = U(buckets)
-        parts = []
-        for columns in ((words, counts.astype("<u4")), (pairs, pair_counts.astype("<u4"), groups)):
-            bucket = (columns[0] % n).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            parts += [[c[order][a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] for c in columns]
-        live = [k for k in range(buckets) if parts[0][k] or parts[2][k]]
-        names = [x.split()[0] for x in BLOCKS.split(", ")]
-        columns = [pa.array([p[k] for k in live], pa.binary()) for p in parts]
-        return pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), *columns], names)
+        columns, live = [], np.zeros(buckets, bool)
+        for keys in expressions(flat):
+            keys, counts = run_lengths(keys)
+            ends = dealt(keys, buckets)
+            live |= np.diff(ends) > 0
+            columns.append(packed(keys, counts, ends))
+        some = np.flatnonzero(live).tolist()
+        arrays = [pa.array(some, pa.int32()), *(pa.array([c[k] for k in some], pa.binary()) for c in columns)]
+        return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered("counts")
@@ -279,31 +335,29 @@ def count_blocks(buckets: int):
     return run
 
 
-def count_bucket(most_bytes: int = MAX_SEGMENT_BYTES):
-    """Sums a bucket's blocks and makes its segment of the filter."""
-
-    def joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
-        return np.frombuffer(b"".join(x for x in table[name].to_pylist()), kind)
+def count_bucket(buckets: int, bits_per_entry: int):
+    """Sums a bucket's blocks and makes its segment of the filter; a row more for each bucket of the contexts in it."""
 
     def run(table: pa.Table) -> pa.Table:
         remembered("counts")
-        words, counts = summed(joined(table, "words", "<u8"), joined(table, "counts", "<u4").astype(np.int64))
-        pairs = joined(table, "pairs", "<u8"), joined(table, "pair_counts", "<u4").astype(np.int64), joined(table, "pair_groups", "<u2")
-        pairs, pair_counts, groups = summed(*pairs)
-        bits, floor = segment((words, counts), (pairs, pair_counts), most_bytes)
-        if floor > 1:
-            raise ValueError("a segment of the filter can't hold its bucket; read the texts in more partitions")
-        ones, totals = np.bincount(groups, pair_counts == 1, GROUPS), np.bincount(groups, pair_counts, GROUPS)
-        live = np.flatnonzero(totals)
-        row = [table["bucket"][0].as_py(), words.tobytes(), counts.astype("<i8").tobytes(), bits]
-        row += [live.astype("<i8").tobytes(), ones[live].astype("<i8").tobytes(), totals[live].astype("<i8").tobytes()]
-        fields = [f.split(" ") for f in BUCKET.split(", ")]
-        kinds = {"int": pa.int32(), "binary": pa.binary()}
-        return pa.table({name: pa.array([x], kinds[kind]) for (name, kind), x in zip(fields, row, strict=True)})
+        (words, counts), pairs, triples = (summed(*unpacked_all(table[c].to_pylist())) for c in ("words", "pairs", "triples"))
+        bits = segment(np.concatenate([words, pairs[0], triples[0]]), np.concatenate([counts, pairs[1], triples[1]]), 0, bits_per_entry)
+        rows = [(table["bucket"][0].as_py(), words.tobytes(), counts.astype("<i8").tobytes(), bits, None)]
+        keys, n = run_lengths(np.concatenate([contexts_of(pairs[0], 1), contexts_of(triples[0], 2)]))
+        rows += [(k, None, None, None, x) for k, x in enumerate(packed(keys, n, dealt(keys, buckets))) if x]
+        fields = zip([x.split()[0] for x in FOUND.split(", ")], [pa.int32()] + [pa.binary()] * 4, zip(*rows, strict=True), strict=True)
+        return pa.table({name: pa.array(column, kind) for name, kind, column in fields})
 
     return run
 
 
+def count_followers(table: pa.Table, bits_per_entry: int) -> pa.Table:
+    """A bucket's segment of followers, and its number, which comes after those of counts."""
+    remembered("counts")
+    bits = segment(*summed(*unpacked_all(table["followers"].to_pylist())), 1, bits_per_entry)
+    return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
+
+
 def unpacked(df: DataFrame, schema: str, **columns: str) -> DataFrame:
     """Rows of numbers from columns of packed 64-bit integers."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -317,33 +371,33 @@ def unpacked(df: DataFrame, schema: str, **columns: str) -> DataFrame:
 
 
 class Model:
-    """What the workers need: the filter, the most frequent words, and how novel pairs are after each context.
+    """What the workers need: the filter, the most frequent words with exact counts, and the numbers of tokens, words and texts.
 
     A filter that is too large to broadcast is None; its segments are a table of bucket and bits, which stays on the driver.
     """
 
-    def __init__(
-        self, bits: Filter | None, head: np.ndarray, head_counts: np.ndarray, n: int, v: int, texts: int, novelty: np.ndarray, other: float,
-        buckets: int, segments: DataFrame | None = None,
-    ):
+    def __init__(self, bits: Filter | None, head: np.ndarray, head_counts: np.ndarray, n: int, v: int, texts: int, buckets: int, segments: DataFrame | None):
         self.buckets, self.segments = buckets, segments
         self.bits, self.head, self.head_counts = bits, head, head_counts
-        self.n, self.v, self.texts, self.novelty, self.other = n, v, texts, novelty, other
+        self.n, self.v, self.texts = n, v, texts
         self.z = n + 0.5 * (v + 1)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"segments": None}
 
 
-def learn(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, head: int = HEAD) -> tuple[Model, DataFrame]:
+def learn(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, head: int = HEAD, bits_per_entry: int = BITS_PER_ENTRY) -> tuple[Model, DataFrame]:
     """The model of the texts, and the counts of the words that are not in its head: h long, c long."""
     texts = docs.select(docs[text_col].alias("text"))
     buckets = 1 << (max(16, 4 * texts.rdd.getNumPartitions()) - 1).bit_length()
     blocks = texts.mapInArrow(count_blocks(buckets), BLOCKS)
-    found = cut(blocks.groupBy("bucket").applyInArrow(count_bucket(), BUCKET))
-    words = unpacked(found, "h long, c long", h="words", c="counts")
-    histogram = words.groupBy(F.floor(F.log2("c")).cast("int").alias("e")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()
-    n, v = sum(r["n"] for r in histogram), sum(r["v"] for r in histogram)
+    found = cut(blocks.groupBy("bucket").applyInArrow(count_bucket(buckets, bits_per_entry), FOUND))
+    counted = found.where("words IS NOT NULL")
+    words = unpacked(counted, "h long, c long", h="words", c="counts")
+    end = F.sum(F.when(F.col("h") == F.lit(END - (1 << 64) if END >> 63 else END), F.col("c"))).alias("end")
+    exponent = F.floor(F.log2("c")).cast("int").alias("e")
+    histogram = words.groupBy(exponent).agg(F.count("*").alias("v"), F.sum("c").alias("n"), end).collect()
+    n, v, ends = (sum(r[x] or 0 for r in histogram) for x in ("n", "v", "end"))
     exponent, taken = 64, 0
     for r in sorted(histogram, key=lambda r: -r["e"]):
         if taken + r["v"] > head:
@@ -355,25 +409,15 @@ def learn(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_F
     most = words.where(F.col("c") >= least).toArrow()
     h, c = most["h"].to_numpy().view(np.uint64), most["c"].to_numpy()
     order = np.argsort(h)
-    segments, bits = found.select("bucket", "bits"), None
+    followers = found.where("followers IS NOT NULL").groupBy("bucket").applyInArrow(lambda t: count_followers(t, bits_per_entry), "bucket int, bits binary")
+    segments = cut(counted.select("bucket", "bits").unionAll(followers.select((F.col("bucket") + buckets).alias("bucket"), "bits")))
+    bits = None
     if (segments.agg(F.sum(F.length("bits"))).first()[0] or 0) <= max_filter_bytes:
-        own = [bytes(8)] * buckets
+        own = [bytes(8)] * (2 * buckets)
         for r in segments.toLocalIterator():
             own[r["bucket"]] = bytes(r["bits"])
-        bits = Filter(own)
-    rows = unpacked(found, "g long, a long, b long", g="groups", a="ones", b="totals")
-    rows = rows.groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
-    ones, totals = np.zeros(GROUPS), np.zeros(GROUPS)
-    for r in rows:
-        ones[r["g"]], totals[r["g"]] = r["a"], r["b"]
-    end = int(c[h == U(END)][0]) if (h == U(END)).any() else 0
-    largest = np.zeros(GROUPS)
-    np.maximum.at(largest, context_group(np.append(h, U(START))), np.append(c, end))
-    own = (largest > totals / 2) & (totals > 0)
-    other = ones[~own].sum() / totals[~own].sum() if totals[~own].sum() else 0.95
-    novelty = np.where(own, ones / np.maximum(totals, 1), other)
-    model = Model(bits, h[order], c[order], n, v, end, np.stack([novelty, np.where(own, totals, 0)]), float(other), buckets, segments)
-    return model, words.where(F.col("c") < least)
+        bits = Filter(own, buckets)
+    return Model(bits, h[order], c[order], n, v, ends, buckets, segments), words.where(F.col("c") < least)
 
 
 class Scorer:
@@ -384,6 +428,8 @@ class Scorer:
         slots = 1 << max(4, (2 * len(model.head)).bit_length())
         self.mask = U(slots - 1)
         self.slot = np.full(slots, -1, np.int64)
+        #: Levels of the words of the head, by probes when they are first met.
+        self.levels = np.full(len(model.head), -1, np.int64)
         left = np.arange(len(model.head))
         at = mixed(model.head) & self.mask
         while len(left):
@@ -392,8 +438,8 @@ class Scorer:
             missed = self.slot[at] != left
             left, at = left[missed], (at[missed] + U(1)) & self.mask
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """The exact counts of the words of the head, -1 for others."""
+    def in_head(self, h: np.ndarray) -> np.ndarray:
+        """The places of words in the head, -1 for others."""
         out = np.full(len(h), -1, np.int64)
         if not len(self.model.head):
             return out
@@ -401,13 +447,26 @@ class Scorer:
         while len(left):
             found = self.slot[at]
             hit = (found >= 0) & (self.model.head[found] == h[left])
-            out[left[hit]] = self.model.head_counts[found[hit]]
+            out[left[hit]] = found[hit]
             on = (found >= 0) & ~hit
             left, at = left[on], (at[on] + U(1)) & self.mask
         return out
 
+    def word_levels(self, h: np.ndarray, head: np.ndarray, bits: Filter | Answers) -> np.ndarray:
+        """Levels of words by probes; those of the head are probed once."""
+        every = len(LEVELS)
+        if isinstance(bits, Answers):
+            return bits.level(h, np.full(len(h), every))
+        out = np.empty(len(h), np.int64)
+        inside = head >= 0
+        new = run_lengths(head[inside][self.levels[head[inside]] < 0])[0]
+        self.levels[new] = bits.level(self.model.head[new], np.full(len(new), every))
+        out[inside] = self.levels[head[inside]]
+        out[~inside] = bits.level(h[~inside], np.full(int((~inside).sum()), every))
+        return out
+
     def probabilities(self, flat: np.ndarray, begin: np.ndarray, bits: Answers | None = None) -> tuple[np.ndarray, ...]:
-        """The places of words and ENDs; the model's probability of each, its count, whether that is exact, and P(w).
+        """The places of words and ENDs; the model's probability of each, its exact count or -1, and whether it is new.
 
         Texts are given as START, words and END one after another; begin has the places of START.
         """
@@ -415,35 +474,48 @@ class Scorer:
         bits = bits or m.bits
         is_start = np.zeros(len(flat), bool)
         is_start[begin] = True
-        low = self.counts(flat)
-        exact = low >= 0
-        far = np.flatnonzero(~exact & ~is_start)
-        level = bits.level(flat[far], np.full(len(far), len(LEVELS)))
-        low[far] = np.where(level > 0, LEVELS[level - 1], 0)
-        up = low.copy()
-        up[far] = np.where(level > 0, LEVELS[np.minimum(level, len(LEVELS) - 1)] - 1, 0)
-        exact |= low == 0  # the filter has no false negatives
-        low[begin] = up[begin] = m.texts
-        share, total = m.novelty[:, context_group(flat)]
-        novel = np.where(up > total / 2, share, m.other)
-        novel = np.where(up > 0, np.clip(np.maximum(novel, 1 / (1 + up / 5)), 0.02, 0.98), 1.0)
-
         w = np.flatnonzero(~is_start)
-        alone = (low[w] + 0.5) / m.z
-        both = np.flatnonzero((low[w] > 0) & (up[w - 1] > 0))
-        b, a = w[both], w[both] - 1
-        most = np.searchsorted(LEVELS, np.minimum(up[a], up[b]), "right")
-        level = bits.level(pair_hash(flat[a], flat[b]), most)
-        count = np.where(level > 0, LEVELS[level - 1], 0)
-        p = alone * novel[w - 1]
-        p[both] += (1 - novel[a]) * np.minimum(count / up[a], 1.0)
-        return w, p, low[w], exact[w], alone
+        head = self.in_head(flat[w])
+        own = self.word_levels(flat[w], head, bits)
+        low, up = np.concatenate([[0], LEVELS]), np.concatenate([[0], LEVELS[1:] - 1, LEVELS[-1:] * 2])
+        p = (low[own] + 0.5) / m.z
+
+        # contexts of one word; those that start a text are counted exactly
+        first = is_start[w - 1]
+        level, most = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
+        level[~first] = own[np.flatnonzero(~first) - 1]
+        level[first] = np.searchsorted(LEVELS, m.texts, "right")
+        most[:] = up[level]
+        most[first] = m.texts
+        pairs = extended(flat[w - 1], flat[w], 1)
+        pair = self.extend(p, bits, flat[w - 1], pairs, level, most, own, 1)
+        # contexts of two words
+        some = np.flatnonzero(~first)
+        q = p[some]
+        level = pair[some - 1]
+        self.extend(q, bits, pairs[some - 1], extended(pairs[some - 1], flat[w[some]], 2), level, up[level], pair[some], 2)
+        p[some] = q
+        return w, p, np.where(head >= 0, m.head_counts[head] if len(m.head) else -1, -1), own == 0
+
+    @staticmethod
+    def extend(p: np.ndarray, bits: Filter | Answers, contexts: np.ndarray, keys: np.ndarray, level: np.ndarray, most: np.ndarray, bound: np.ndarray, length: int) -> np.ndarray:
+        """Makes p the probabilities after contexts that are one word longer, where these are known; returns the levels of keys.
+
+        level and most are a context's level and largest count; what is looked for has no higher level than the context and bound.
+        """
+        low = np.concatenate([[0], LEVELS])
+        out = bits.level(keys, np.minimum(level, bound))
+        live = np.flatnonzero(level > 0)
+        kinds = low[np.maximum(bits.level(followed(contexts[live], length), level[live], 1), 1)]
+        p[live] = (np.maximum(low[out[live]] - DISCOUNT, 0) + DISCOUNT * kinds * p[live]) / most[live]
+        return out
 
     def batch(self, keys: list, ids: list, flat: np.ndarray, begin: np.ndarray, bits: Answers | None = None) -> pa.RecordBatch:
         """Scores texts as in probabilities()."""
-        w, p, low, own, alone = self.probabilities(flat, begin, bits)
+        w, p, count, new = self.probabilities(flat, begin, bits)
         first = begin - np.arange(len(begin))  # where texts begin without their STARTs
-        known, base = low > 0, np.where(own, np.log10(alone), 0.0)
+        own = (count >= 0) | new  # the filter has no false negatives
+        base = np.where(own, np.log10((np.maximum(count, 0) + 0.5) / self.model.z), 0.0)
         n = np.diff(np.append(begin, len(flat))) - 1
         row, other = np.repeat(np.arange(len(n)), n), np.flatnonzero(~own)
         tail, times = np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
@@ -452,7 +524,7 @@ class Scorer:
         ends = np.searchsorted(tail[0], np.arange(len(n) + 1)).astype(np.int32)
         return pa.RecordBatch.from_pydict({
             "key": pa.array(keys, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "n_tokens": n.astype(np.int64),
-            "known": np.add.reduceat((own & known).astype(np.int64), first), "base": np.add.reduceat(base, first),
+            "known": np.add.reduceat((own & ~new).astype(np.int64), first), "base": np.add.reduceat(base, first),
             "score": np.add.reduceat(np.log10(p), first),
             "h": pa.ListArray.from_arrays(pa.array(ends), pa.array(tail[1])),
             "n": pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int64))),
@@ -466,10 +538,10 @@ ASKED = "chunk long, bucket int, hashes binary, begin binary, keys array<long>,
 TOLD = "chunk long, bucket int, levels binary"
 
 
-def questions(flat: np.ndarray) -> np.ndarray:
-    """The words and pairs of some texts, each once, in order."""
-    inside = flat[:-1] != U(END)
-    return np.unique(np.concatenate([flat[flat != U(START)], pair_hash(flat[:-1][inside], flat[1:][inside])]))
+def questions(flat: np.ndarray) -> list[np.ndarray]:
+    """What some texts need, each once, in order: keys of counts, and keys of followers."""
+    words, pairs, triples = expressions(flat)
+    return [run_lengths(np.concatenate(x))[0] for x in ((words, pairs, triples), (followed(flat, 1), followed(pairs, 2)))]
 
 
 def ask(buckets: int, tokens: int):
@@ -479,13 +551,14 @@ def ask(buckets: int, tokens: int):
         flat = np.concatenate(flats)
         starts = np.cumsum([0, *map(len, flats)])[:-1]
         begin = np.concatenate([b + s for b, s in zip(begins, starts, strict=True)])
-        hashes = questions(flat)
-        order, ends = dealt(hashes, buckets)
-        live = np.flatnonzero(np.diff(ends))
-        none = [None] * len(live)
+        asked = []
+        for kind, wanted in enumerate(questions(flat)):
+            ends = dealt(wanted, buckets)
+            asked += [(kind * buckets + b, wanted[ends[b] : ends[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(ends)).tolist()]
+        none = [None] * len(asked)
         return pa.RecordBatch.from_pydict({
-            "chunk": pa.array([keys[0]] * (len(live) + 1), pa.int64()), "bucket": pa.array([-1, *live.tolist()], pa.int32()),
-            "hashes": pa.array([flat.tobytes(), *(hashes[order[ends[b] : ends[b + 1]]].tobytes() for b in live)], pa.binary()),
+            "chunk": pa.array([keys[0]] * (len(asked) + 1), pa.int64()), "bucket": pa.array([-1, *(b for b, _ in asked)], pa.int32()),
+            "hashes": pa.array([flat.tobytes(), *(x for _, x in asked)], pa.binary()),
             "begin": pa.array([begin.astype("<i8").tobytes(), *none], pa.binary()),
             "keys": pa.array([keys, *none], pa.list_(pa.int64())), "ids": pa.array([ids, *none], pa.list_(pa.int64())),
         })
@@ -513,14 +586,15 @@ def ask(buckets: int, tokens: int):
     return run
 
 
-def answer(asked: pa.Table, bits: pa.Table) -> pa.Table:
+def answer(asked: pa.Table, bits: pa.Table, buckets: int) -> pa.Table:
     """The levels that a bucket's segment has for what it is asked."""
     remembered("answers")
-    table = Filter([bits["bits"][0].as_py() if bits.num_rows else bytes(8)])
+    known = int(asked.num_rows > 0 and asked["bucket"][0].as_py() >= buckets)
+    table = Filter([bits["bits"][0].as_py() if bits.num_rows else bytes(8)] * (1 + known), 1)
     levels = []
     for x in asked["hashes"]:
         keys = np.frombuffer(x.as_py(), "<u8")
-        levels.append(table.level(keys, np.full(len(keys), len(LEVELS))).astype(np.uint8).tobytes())
+        levels.append(table.level(keys, np.full(len(keys), len(LEVELS)), known).astype(np.uint8).tobytes())
     return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "levels": pa.array(levels, pa.binary())})
 
 
@@ -528,12 +602,10 @@ def score_told(scorer: Scorer, asked: pa.Table, told: pa.Table, tokens: int) ->
     """Scores the texts of a chunk by the levels that came back, about so many tokens at a time."""
     row = asked.to_pylist()[0]
     flat, begin = np.frombuffer(row["hashes"], "<u8"), np.frombuffer(row["begin"], "<i8")
-    hashes = questions(flat)
-    order, ends = dealt(hashes, scorer.model.buckets)
-    levels = np.zeros(len(hashes), np.int64)
-    for b, x in zip(told["bucket"].to_pylist(), told["levels"].to_pylist(), strict=True):
-        levels[order[ends[b] : ends[b + 1]]] = np.frombuffer(x, np.uint8)
-    bits, out = Answers(hashes, levels), []
+    back = dict(zip(told["bucket"].to_pylist(), told["levels"].to_pylist(), strict=True))
+    wanted, buckets = questions(flat), scorer.model.buckets
+    levels = [b"".join(back.get(kind * buckets + b, b"") for b in range(buckets)) for kind in range(2)]
+    bits, out = Answers(wanted, [np.frombuffer(x, np.uint8).astype(np.int64) for x in levels]), []
     first = np.flatnonzero(np.diff(begin // tokens, prepend=-1))
     for a, b in zip(first, [*first[1:], len(begin)], strict=True):
         end = begin[b] if b < len(begin) else len(flat)
@@ -556,15 +628,15 @@ def score(docs: DataFrame, model: Model, tail: DataFrame, id_col: str = "doc_id"
                 yield scorer.batch(columns["key"][some], columns["id"][some], flat, begin)
                 at += len(begin)
 
-    tokens = COUNT_TOKENS
+    tokens, buckets = COUNT_TOKENS, model.buckets
 
     def run_told(asked: pa.Table, told: pa.Table) -> pa.Table:
         return score_told(remembered(name, lambda: Scorer(shared.value)), asked, told, max(1, tokens // 16))
 
     if model.bits is None:
-        asked = cut(rows.mapInArrow(ask(model.buckets, tokens), ASKED))
+        asked = cut(rows.mapInArrow(ask(buckets, tokens), ASKED))
         told = asked.where("bucket >= 0").select("chunk", "bucket", "hashes").groupBy("bucket")
-        told = told.cogroup(model.segments.groupBy("bucket")).applyInArrow(answer, TOLD)
+        told = told.cogroup(model.segments.groupBy("bucket")).applyInArrow(lambda a, b: answer(a, b, buckets), TOLD)
         scored = cut(asked.where("bucket < 0").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run_told, ROWS))
     else:
         scored = cut(rows.mapInArrow(run, ROWS))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import LOWER, cut, map_batches, remembered
+from densika.llm.common import LOWER, cut, map_batches, mixed, remembered
 from densika.operators.components import connected_components
 
 BANDS, BAND_ROWS = 24, 5
@@ -55,14 +55,6 @@ class Words(dict):
         return h
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """splitmix64."""
-    x = x + U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 def shingles(data: bytes | None, width: int) -> np.ndarray:
     """The sorted hashes of a text's distinct shingles."""
     words = (data or b"").translate(LOWER).split()

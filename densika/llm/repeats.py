@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import cut, gave_back, lists, remembered, slices
+from densika.llm.common import cut, gave_back, lists, mixed, pack, remembered, slices, unpack
 
 #: Substrings in a window among which the anchor is chosen; their length is ``length`` - WINDOW + 1.
 WINDOW = 27
@@ -60,14 +60,6 @@ U = np.uint64
 LOW24 = U(0xFFFFFF)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """splitmix64."""
-    x = x + U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 def anchors(data: bytes, length: int) -> np.ndarray:
     """For each window, its anchor's 40-bit hash and place (24 bits). data is shorter than 16 MB."""
     k = length - WINDOW + 1
@@ -155,24 +147,6 @@ class Bitmap:
         return np.packbits(out, bitorder="little").tobytes()
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, their bytes sorted by significance and compressed, as most high bytes are alike."""
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
-    n = len(arrays[0])
-    return n.to_bytes(8, "little") + (pa.compress(b"".join(planes), "zstd", asbytes=True) if n else b"")
-
-
-def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    n, types = int.from_bytes(data[:8], "little"), [np.dtype(k) for k in kinds]
-    raw = pa.decompress(data[8:], n * sum(t.itemsize for t in types), "zstd", asbytes=True) if n else b""
-    out, at = [], 0
-    for t in types:
-        part = np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
-        out.append(np.ascontiguousarray(part.T).view(t).ravel())
-        at += n * t.itemsize
-    return out
-
-
 def part_bits(total: int, buckets: int) -> int:
     """A bucket's share of a bitmap; buckets are a power of two, and a word each if they are very many."""
     return max(64, total // buckets)

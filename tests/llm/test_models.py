@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from densika.llm import langid, lm, toxicity
-from densika.llm.common import held_out
+from densika.llm.common import held_out, mixed
 from tests.llm.conftest import prose, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,29 +77,94 @@ def test_context_helps_on_held_out_texts(spark):
 
 def test_filter_has_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 1 << 63, 20_000, np.uint64))
+    keys = np.sort(np.unique(rng.integers(0, 1 << 64, 20_000, np.uint64)))
     counts = rng.geometric(0.3, len(keys)).astype(np.int64) ** 2
-    bucket = keys % np.uint64(16)
-    parts = []
-    for b in range(16):
-        own = bucket == b
-        bits, floor = lm.segment((keys[own][:100], counts[own][:100]), (keys[own][100:], counts[own][100:]), 1 << 20)
-        assert floor == 1
-        parts.append(bits)
-    table = lm.Filter(parts)
+    ends = lm.dealt(keys, 16)
+    table = lm.Filter([lm.segment(keys[a:b], counts[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)] * 2, 16)
     most = np.full(len(keys), len(lm.LEVELS))
-    level = table.level(keys, most)
-    true = np.searchsorted(lm.LEVELS, counts, "right")
-    assert (level >= true).all() and (level > true).mean() < 0.03
-    other = rng.integers(1 << 63, (1 << 64) - 1, 20_000, np.uint64)
-    assert (table.level(other, np.full(len(other), len(lm.LEVELS))) > 0).mean() < 0.03
-
-
-def test_filter_keeps_to_its_size():
-    rng = np.random.default_rng(1)
-    keys, counts = rng.integers(0, 1 << 63, 5000, np.uint64), rng.geometric(0.2, 5000).astype(np.int64)
-    bits, floor = lm.segment((keys[:0], counts[:0]), (keys, counts), 2000)
-    assert len(bits) <= 2000 and floor > 1
+    level, true = table.level(keys, most), np.searchsorted(lm.LEVELS, counts, "right")
+    assert (level >= true).all() and (level > true).mean() < 0.06
+    other = rng.integers(0, 1 << 64, 20_000, np.uint64)
+    assert (table.level(other, most[:1].repeat(20_000)) > 0).mean() < 0.03
+    assert (table.level(keys, np.minimum(true, 2)) == np.minimum(true, 2)).all()
+
+
+def test_keys_tell_their_contexts():
+    u, v, w = np.random.default_rng(1).integers(0, 1 << 64, (3, 1000), np.uint64)
+    assert (lm.unmixed(mixed(u)) == u).all()
+    pairs = lm.extended(u, v, 1)
+    assert (lm.contexts_of(pairs, 1) == lm.followed(u, 1)).all()
+    assert (lm.contexts_of(lm.extended(pairs, w, 2), 2) == lm.followed(pairs, 2)).all()
+
+
+def plain_model(texts):
+    """The model of lm without hashes and filter: P(w | the two tokens before), counts quantised as there."""
+    counts, after = Counter(), {}
+    for text in texts:
+        own = ["<start>", *words(text), "<end>"]
+        for n in (1, 2, 3):
+            for k in range(n - 1, len(own)):
+                if n > 1 or k:
+                    counts[tuple(own[k - n + 1 : k + 1])] += 1
+                    after.setdefault(tuple(own[k - n + 1 : k]), set()).add(own[k])
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), len(after.get((), ()))
+    counts["<start>",] = exact = len(texts)
+
+    def low(c):
+        return max((int(x) for x in lm.LEVELS if x <= c), default=0)
+
+    def high(c):
+        return min(int(x) for x in lm.LEVELS if x > c) - 1
+
+    def p(h, w):
+        if not h:
+            return (low(counts[w,]) + 0.5) / (n + 0.5 * (v + 1))
+        rest = p(h[1:], w)
+        if not counts[h]:
+            return rest
+        most = exact if h == ("<start>",) else high(counts[h])
+        return (max(low(counts[*h, w]) - lm.DISCOUNT, 0) + lm.DISCOUNT * low(len(after[h])) * rest) / most
+
+    def score(text):
+        own = ["<start>", *words(text), "<end>"]
+        return sum(math.log10(p(tuple(own[max(0, k - 2) : k]), own[k])) for k in range(1, len(own)))
+
+    return p, score
+
+
+@pytest.mark.parametrize("most", [lm.MAX_FILTER_BYTES, 500])
+def test_scores_are_those_of_the_plain_model(spark, most):
+    """With a filter too large for false positives; broadcast, and joined."""
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(0, 60), 30) for _ in range(80)]
+    learned, df = texts[:50] + texts[:5], spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, tail = lm.learn(spark.createDataFrame([(x,) for x in learned], "text string"), max_filter_bytes=most, head=20, bits_per_entry=4096)
+    assert (model.bits is None) == (most == 500)
+    plain = plain_model(learned)[1]
+    for r in lm.score(df, model, tail).collect():
+        assert r["score"] == pytest.approx(plain(texts[r["doc_id"]]), abs=1e-9)
+
+
+def test_plain_model_sums_to_one_at_most():
+    rng = random.Random(3)
+    learned = [prose(rng, rng.randint(0, 60), 30) for _ in range(50)]
+    p, _ = plain_model(learned)
+    every = sorted({w for t in learned for w in words(t)}) + ["<end>"]
+    for h in [(), ("<start>",), *((w,) for w in every[:-1]), *(tuple(words(t)[:2]) for t in learned), ("<start>", "new"), ("new", every[0])]:
+        assert 0.3 < sum(p(h, w) for w in [*every, "unseen"]) <= 1 + 1e-9
+
+
+def test_levels_of_any_filter_size_tell_known_from_new(spark):
+    """A filter of few bits has more false positives, which raise counts; nothing that was counted is lost."""
+    rng = random.Random(6)
+    texts = [prose(rng, 80, 200) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for bits in (4, 12, 256):
+        model, tail = lm.learn(df, bits_per_entry=bits)
+        found[bits] = sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), r["score"] / r["n_tokens"]) for r in lm.score(df, model, tail).collect())
+    assert [x[:3] for x in found[4]] == [x[:3] for x in found[12]] == [x[:3] for x in found[256]]
+    assert all(abs(x[3] - y[3]) < 0.1 for x, y in zip(found[12], found[256], strict=True))
 
 
 def test_filter_too_large_to_broadcast_loses_nothing(spark, docs, monkeypatch):
@@ -114,20 +179,20 @@ def test_filter_too_large_to_broadcast_loses_nothing(spark, docs, monkeypatch):
 
 
 def test_probabilities_sum_to_one_at_most(spark):
-    """Over all words and one for unseen ones, after any context, with a filter too large for false positives."""
+    """Over all words and one for unseen ones, after any context: false positives of a small filter add a few hundredths."""
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 30))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model, _ = lm.learn(df)
-    scorer = lm.Scorer(model)
+    for bits, over in ((4096, 1e-9), (lm.BITS_PER_ENTRY, 0.1)):
+        scorer = lm.Scorer(lm.learn(df, bits_per_entry=bits)[0])
 
-    def after(context, word):
-        """P(word | context); the end of the text for None."""
-        flat, begin = next(lm.tokens_of([" ".join(x for x in (context, word) if x).encode()]))
-        return scorer.probabilities(flat, begin)[1][int(context is not None)]
+        def after(context, word, scorer=scorer):
+            """P(word | context); the end of the text for None."""
+            flat, begin = next(lm.tokens_of([" ".join(x for x in (*context, word) if x).encode()]))
+            return scorer.probabilities(flat, begin)[1][len(context)]
 
-    for context in [None, *"abcdefgh", "unseen"]:
-        assert 0.5 < sum(after(context, w) for w in [*"abcdefgh", "zz", None]) <= 1 + 1e-9
+        for context in [(), *"abcdefgh", ("unseen",), *("ab", "cd", "gg", "aa"), ("a", "unseen")]:
+            assert 0.2 < sum(after(tuple(context), w) for w in [*"abcdefgh", "zz", None]) <= 1 + over
 
 
 def test_words_are_hashed_alike_everywhere(monkeypatch):
