@@ -1,24 +1,24 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 1).
 
-Counts of words, pairs and triples, and of how many different words follow a word or a pair, are quantised to the levels 1,
-2, 3, 4, 5, 6, 7, 8, 10, ... (a quarter apart). What reached a level is in the Bloom filter under that level and all below,
-so probing for levels until the highest is found gives a lower bound of its count; the next level is an upper one. The
-model is absolute discounting, interpolated from words over pairs to triples, and takes all its counts from such probes:
+Counts of words and pairs, and of how many different words follow a word, are quantised to the levels 1, 2, 3, ..., 20, 22, 24,
+... (a tenth apart). What reached a level is in the Bloom filter under that level and all below, so probing for levels until
+the highest is found gives a lower bound of its count; the next level is an upper one. The model is absolute discounting,
+interpolated from pairs to words, and takes all its counts from such probes:
 
-    P(w | h) = (max(c(h w) - D, 0) + D t(h) P(w | shorter h)) / c(h),   P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    P(w | v) = (max(c(v w) - D, 0) + D t(v) P(w)) / c(v),   P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-with D = DISCOUNT and t(h) the number of words that follow h. Counts of c(h w) and t(h) are lower bounds and those of contexts
-c(h) upper bounds, so false positives aside the sum over w is at most 1. The base score alone takes exact counts, as it must.
+with D = DISCOUNT and t(v) the number of words that follow v. c(v w) and t(v) are lower bounds and the context's count c(v) is
+an upper one, so false positives aside (one key in a hundred) the sum over w is at most 1. The base score alone takes exact counts, as it must.
 
 Scale: tokens are counted in each task before the shuffle, and sorted hashes travel in blocks, one for each bucket of the
 hash space; a bucket makes its segment of the filter, so no key is hot and buckets grow in number with the input. How
-many words follow a context is summed in a second shuffle of a bucket's distinct pairs and triples. The filter holds
-everything, so its size follows the input. It is broadcast while it takes at most MAX_FILTER_BYTES; a larger one stays in
-its segments: what about COUNT_TOKENS tokens of text at a time need goes to the segments by bucket, and levels come back.
+many words follow another is summed in a second shuffle of a bucket's distinct pairs. The filter holds everything, so its
+size follows the input. It is broadcast while it takes at most MAX_FILTER_BYTES; a larger one stays in its segments: the
+distinct words and pairs of about COUNT_TOKENS tokens of text at a time go to the segments by bucket, and levels come back.
 Both ways give the same scores. Exact word counts are broadcast for at most HEAD words, the most frequent. The filter tells
 which others are new; the rest are looked up by a shuffled join on (row, word) with their frequency in the row.
 Words are known by 64-bit hashes; two among n words agree with a probability of about n^2 / 2^65. A pair is known by 36 bits
-of its first word and 28 of its second, a triple by 40 of its first two words and 24 of the third.
+of its first word and 28 of its second; the filter takes 41 bits of a hash beside those that tell its bucket.
 
 Defined results: null and empty texts have one token, the end; a row without an id is learned from and not held out;
 rows that share an id are scored one by one; texts of any length are scored whole; with nothing to learn from N and V are 0
@@ -38,16 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densika.llm.common import LOWER, cut, lists, mixed, pack_parts, remembered, slices, unpack
+from densika.llm.common import LOWER, cut, lists, mixed, pack, pack_parts, remembered, slices, unpack
 
 #: Bits of the filter for each entry; an entry sets PROBES bits of one 64-bit word.
 BITS_PER_ENTRY, PROBES = 12, 4
 #: The largest filter that is broadcast.
-MAX_FILTER_BYTES = 96 << 20
+MAX_FILTER_BYTES = 16 << 20
 HEAD = 1 << 20
-DISCOUNT = 0.75
+DISCOUNT = 0.85
 #: Tokens that are counted together, bytes of text that are scored together, and keys that are looked up together.
-COUNT_TOKENS, SCORE_BYTES, LOOKED_UP = 1 << 20, 1 << 19, 1 << 16
+COUNT_TOKENS, SCORE_BYTES, LOOKED_UP = 1 << 21, 1 << 19, 1 << 16
 END = xxhash.xxh3_64_intdigest(b"\n end")
 START = xxhash.xxh3_64_intdigest(b"\n start")
 U = np.uint64
@@ -56,15 +56,13 @@ U = np.uint64
 def levels() -> np.ndarray:
     out = [1, 2, 3]
     while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+        out.append(max(out[-1] + 1, out[-1] * 11 // 10))
     return np.array(out, np.int64)
 
 
 LEVELS = levels()
-#: By length of context, 1 or 2: the bits that tell contexts apart, what makes keys of pairs and triples differ, and those of contexts.
-CONTEXT = {1: U((1 << 64) - (1 << 28)), 2: U((1 << 64) - (1 << 24))}
-KIND = {1: U(0x3C6EF372FE94F82B), 2: U(0xA54FF53A5F1D36F1)}
-FOLLOWED = {1: U(0x510E527FADE682D1), 2: U(0x9B05688C2B3E6C1F)}
+#: The bits of a word's hash that its pairs are known by, and what makes keys of followers differ from those of words.
+CONTEXT, FOLLOWED = U((1 << 64) - (1 << 28)), U(0x510E527FADE682D1)
 
 
 def unmixed(x: np.ndarray) -> np.ndarray:
@@ -77,19 +75,20 @@ def unmixed(x: np.ndarray) -> np.ndarray:
     return x - U(0x9E3779B97F4A7C15)
 
 
-def extended(context: np.ndarray, w: np.ndarray, length: int) -> np.ndarray:
-    """Keys of contexts (hashes of words, or keys of pairs) and the words after them."""
-    return mixed(((context & CONTEXT[length]) | (w >> U(36 if length == 1 else 40))) ^ KIND[length])
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of words and the words after them."""
+    return mixed((v & CONTEXT) | (w >> U(36)))
 
 
-def followed(context: np.ndarray, length: int) -> np.ndarray:
-    """The key under which it is kept how many words follow a context."""
-    return mixed((context & CONTEXT[length]) ^ FOLLOWED[length])
+def contexts_of(pairs: np.ndarray) -> np.ndarray:
+    """What pair_keys() took of the first words."""
+    return unmixed(pairs) & CONTEXT
 
 
-def contexts_of(keys: np.ndarray, length: int) -> np.ndarray:
-    """followed() of the contexts of keys that extended() made."""
-    return followed(unmixed(keys) ^ KIND[length], length)
+def probed(keys: np.ndarray, buckets: int, known: int) -> np.ndarray:
+    """What the filter knows a key by: 41 bits beside those that tell its bucket, or the key of a word's followers."""
+    unused = U(max(0, 24 - buckets.bit_length()))
+    return mixed((keys & CONTEXT) ^ FOLLOWED) if known else keys >> unused << unused
 
 
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
@@ -203,8 +202,9 @@ def place(g: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
     return (g >> U(32)) * size >> U(32)
 
 
-def segment(keys: np.ndarray, counts: np.ndarray, known: int = 0, bits_per_entry: int = BITS_PER_ENTRY) -> bytes:
+def segment(keys: np.ndarray, counts: np.ndarray, buckets: int, known: int = 0, bits_per_entry: int = BITS_PER_ENTRY) -> bytes:
     """One bucket's part of the filter. Levels up to known are taken for granted and not kept."""
+    keys = probed(keys, buckets, known)
     level = np.searchsorted(LEVELS, counts, "right")
     size = max(1, -(-int(np.maximum(level - known, 0).sum()) * bits_per_entry // 64))
     words = np.zeros(size, U)
@@ -225,10 +225,13 @@ def dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Filter:
-    """Segments of counts, then as many of followers, each a power of two of them; a key's upper bits tell its bucket."""
+    """Segments of counts, then as many of followers, a power of two of each; a key's upper bits tell its bucket.
+
+    A filter of one bucket's segments has that bucket only.
+    """
 
     def __init__(self, segments: list[bytes], buckets: int):
-        self.buckets = buckets
+        self.buckets, self.alone = buckets, len(segments) == 2
         self.size = np.array([len(s) // 8 for s in segments], U)
         self.start = np.concatenate([[U(0)], np.cumsum(self.size)[:-1]]).astype(U)
         self.words = np.frombuffer(b"".join(segments), "<u8")
@@ -247,10 +250,8 @@ class Filter:
     def fill(self, low: np.ndarray, keys: np.ndarray, most: np.ndarray, known: int) -> None:
         """As level(), of keys that fit in a processor's cache."""
         live = np.flatnonzero(most > known)
-        bucket = bucket_of(keys[live], self.buckets) if self.buckets > 1 else np.zeros(len(live), np.int64)
-        if known:
-            bucket += self.buckets
-        key, size, start, most = keys[live], self.size[bucket], self.start[bucket], most[live].astype(np.int16)
+        bucket = np.full(len(live), known) if self.alone else bucket_of(keys[live], self.buckets) + known * self.buckets
+        key, size, start, most = probed(keys[live], self.buckets, known), self.size[bucket], self.start[bucket], most[live].astype(np.int16)
         a, b = np.full(len(live), known, np.int16), np.full(len(live), len(LEVELS) + 1, np.int16)  # found, and not found
         growing = np.ones(len(live), bool)
         while len(live):
@@ -267,27 +268,26 @@ class Filter:
 
 
 class Answers:
-    """Levels that the segments gave, by sorted key, of counts and of followers; in the place of a filter."""
+    """Levels that the segments gave, by sorted key: of words, pairs and followers of words; in the place of a filter."""
 
-    def __init__(self, keys: list[np.ndarray], levels: list[np.ndarray]):
-        self.keys, self.levels = keys, levels
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, levels: list[np.ndarray]):
+        self.words, self.pairs, self.levels = words, pairs, levels
 
-    def level(self, keys: np.ndarray, most: np.ndarray, known: int = 0) -> np.ndarray:
+    def level(self, keys: np.ndarray, most: np.ndarray, known: int = 0, pairs: bool = False) -> np.ndarray:
         if not len(keys):
             return np.zeros(0, np.int64)
-        return np.minimum(self.levels[known][np.searchsorted(self.keys[known], keys)], most)
+        return np.minimum(self.levels[2 if known else int(pairs)][np.searchsorted(self.pairs if pairs else self.words, keys)], most)
 
 
-BLOCKS = "bucket int, words binary, pairs binary, triples binary"
+BLOCKS = "bucket int, words binary, pairs binary"
 FOUND = "bucket int, words binary, counts binary, bits binary, followers binary"
+SEGMENTS = "bucket int, words binary, counts binary, bits binary, follower_bits binary"
 
 
-def expressions(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of some texts and the keys of the pairs and triples that end in them; ends are words, starts aren't."""
+def expressions(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some texts and the keys of the pairs that end in them; ends are words, starts aren't."""
     w = np.flatnonzero(flat != U(START))
-    pairs = extended(flat[w - 1], flat[w], 1)
-    after = np.flatnonzero(flat[w - 1] != U(START))  # the word before is the word at the place before in w
-    return flat[w], pairs, extended(pairs[after - 1], flat[w[after]], 2)
+    return flat[w], pair_keys(flat[w - 1], flat[w])
 
 
 def packed(keys: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
@@ -336,14 +336,14 @@ def count_blocks(buckets: int):
 
 
 def count_bucket(buckets: int, bits_per_entry: int):
-    """Sums a bucket's blocks and makes its segment of the filter; a row more for each bucket of the contexts in it."""
+    """Sums a bucket's blocks and makes its segment of the filter; a row more for each bucket of the first words of its pairs."""
 
     def run(table: pa.Table) -> pa.Table:
         remembered("counts")
-        (words, counts), pairs, triples = (summed(*unpacked_all(table[c].to_pylist())) for c in ("words", "pairs", "triples"))
-        bits = segment(np.concatenate([words, pairs[0], triples[0]]), np.concatenate([counts, pairs[1], triples[1]]), 0, bits_per_entry)
+        (words, counts), (pairs, times) = (summed(*unpacked_all(table[c].to_pylist())) for c in ("words", "pairs"))
+        bits = segment(np.concatenate([words, pairs]), np.concatenate([counts, times]), buckets, 0, bits_per_entry)
         rows = [(table["bucket"][0].as_py(), words.tobytes(), counts.astype("<i8").tobytes(), bits, None)]
-        keys, n = run_lengths(np.concatenate([contexts_of(pairs[0], 1), contexts_of(triples[0], 2)]))
+        keys, n = run_lengths(contexts_of(pairs))
         rows += [(k, None, None, None, x) for k, x in enumerate(packed(keys, n, dealt(keys, buckets))) if x]
         fields = zip([x.split()[0] for x in FOUND.split(", ")], [pa.int32()] + [pa.binary()] * 4, zip(*rows, strict=True), strict=True)
         return pa.table({name: pa.array(column, kind) for name, kind, column in fields})
@@ -351,11 +351,14 @@ def count_bucket(buckets: int, bits_per_entry: int):
     return run
 
 
-def count_followers(table: pa.Table, bits_per_entry: int) -> pa.Table:
-    """A bucket's segment of followers, and its number, which comes after those of counts."""
+def count_followers(table: pa.Table, buckets: int, bits_per_entry: int) -> pa.Table:
+    """A bucket's row with its segment of followers, from the row of count_bucket() and the contexts that came to it."""
     remembered("counts")
-    bits = segment(*summed(*unpacked_all(table["followers"].to_pylist())), 1, bits_per_entry)
-    return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
+    bits = segment(*summed(*unpacked_all(table["followers"].to_pylist())), buckets, 1, bits_per_entry)
+    own = [next((x for x in table[c].to_pylist() if x is not None), b"") for c in ("words", "counts", "bits")]
+    row = [table["bucket"][0].as_py(), *own[:2], own[2] or bytes(8), bits]
+    fields = zip([x.split()[0] for x in SEGMENTS.split(", ")], [pa.int32()] + [pa.binary()] * 4, row, strict=True)
+    return pa.table({name: pa.array([x], kind) for name, kind, x in fields})
 
 
 def unpacked(df: DataFrame, schema: str, **columns: str) -> DataFrame:
@@ -373,7 +376,7 @@ def unpacked(df: DataFrame, schema: str, **columns: str) -> DataFrame:
 class Model:
     """What the workers need: the filter, the most frequent words with exact counts, and the numbers of tokens, words and texts.
 
-    A filter that is too large to broadcast is None; its segments are a table of bucket and bits, which stays on the driver.
+    A filter that is too large to broadcast is None; its segments are a table by bucket, which stays on the driver.
     """
 
     def __init__(self, bits: Filter | None, head: np.ndarray, head_counts: np.ndarray, n: int, v: int, texts: int, buckets: int, segments: DataFrame | None):
@@ -391,9 +394,9 @@ def learn(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_F
     texts = docs.select(docs[text_col].alias("text"))
     buckets = 1 << (max(16, 4 * texts.rdd.getNumPartitions()) - 1).bit_length()
     blocks = texts.mapInArrow(count_blocks(buckets), BLOCKS)
-    found = cut(blocks.groupBy("bucket").applyInArrow(count_bucket(buckets, bits_per_entry), FOUND))
-    counted = found.where("words IS NOT NULL")
-    words = unpacked(counted, "h long, c long", h="words", c="counts")
+    counted = blocks.groupBy("bucket").applyInArrow(count_bucket(buckets, bits_per_entry), FOUND).groupBy("bucket")
+    found = cut(counted.applyInArrow(lambda t: count_followers(t, buckets, bits_per_entry), SEGMENTS))
+    words = unpacked(found, "h long, c long", h="words", c="counts")
     end = F.sum(F.when(F.col("h") == F.lit(END - (1 << 64) if END >> 63 else END), F.col("c"))).alias("end")
     exponent = F.floor(F.log2("c")).cast("int").alias("e")
     histogram = words.groupBy(exponent).agg(F.count("*").alias("v"), F.sum("c").alias("n"), end).collect()
@@ -409,13 +412,11 @@ def learn(docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_F
     most = words.where(F.col("c") >= least).toArrow()
     h, c = most["h"].to_numpy().view(np.uint64), most["c"].to_numpy()
     order = np.argsort(h)
-    followers = found.where("followers IS NOT NULL").groupBy("bucket").applyInArrow(lambda t: count_followers(t, bits_per_entry), "bucket int, bits binary")
-    segments = cut(counted.select("bucket", "bits").unionAll(followers.select((F.col("bucket") + buckets).alias("bucket"), "bits")))
-    bits = None
-    if (segments.agg(F.sum(F.length("bits"))).first()[0] or 0) <= max_filter_bytes:
+    segments, bits = found.select("bucket", "bits", "follower_bits"), None
+    if (segments.agg(F.sum(F.length("bits") + F.length("follower_bits"))).first()[0] or 0) <= max_filter_bytes:
         own = [bytes(8)] * (2 * buckets)
         for r in segments.toLocalIterator():
-            own[r["bucket"]] = bytes(r["bits"])
+            own[r["bucket"]], own[buckets + r["bucket"]] = bytes(r["bits"]), bytes(r["follower_bits"])
         bits = Filter(own, buckets)
     return Model(bits, h[order], c[order], n, v, ends, buckets, segments), words.where(F.col("c") < least)
 
@@ -480,35 +481,18 @@ class Scorer:
         low, up = np.concatenate([[0], LEVELS]), np.concatenate([[0], LEVELS[1:] - 1, LEVELS[-1:] * 2])
         p = (low[own] + 0.5) / m.z
 
-        # contexts of one word; those that start a text are counted exactly
+        # the words before; starts of texts are counted exactly
         first = is_start[w - 1]
-        level, most = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
+        level = np.empty(len(w), np.int64)
         level[~first] = own[np.flatnonzero(~first) - 1]
         level[first] = np.searchsorted(LEVELS, m.texts, "right")
-        most[:] = up[level]
-        most[first] = m.texts
-        pairs = extended(flat[w - 1], flat[w], 1)
-        pair = self.extend(p, bits, flat[w - 1], pairs, level, most, own, 1)
-        # contexts of two words
-        some = np.flatnonzero(~first)
-        q = p[some]
-        level = pair[some - 1]
-        self.extend(q, bits, pairs[some - 1], extended(pairs[some - 1], flat[w[some]], 2), level, up[level], pair[some], 2)
-        p[some] = q
-        return w, p, np.where(head >= 0, m.head_counts[head] if len(m.head) else -1, -1), own == 0
-
-    @staticmethod
-    def extend(p: np.ndarray, bits: Filter | Answers, contexts: np.ndarray, keys: np.ndarray, level: np.ndarray, most: np.ndarray, bound: np.ndarray, length: int) -> np.ndarray:
-        """Makes p the probabilities after contexts that are one word longer, where these are known; returns the levels of keys.
-
-        level and most are a context's level and largest count; what is looked for has no higher level than the context and bound.
-        """
-        low = np.concatenate([[0], LEVELS])
-        out = bits.level(keys, np.minimum(level, bound))
         live = np.flatnonzero(level > 0)
-        kinds = low[np.maximum(bits.level(followed(contexts[live], length), level[live], 1), 1)]
-        p[live] = (np.maximum(low[out[live]] - DISCOUNT, 0) + DISCOUNT * kinds * p[live]) / most[live]
-        return out
+        v, level = flat[w[live] - 1], level[live]
+        pairs, most = pair_keys(v, flat[w[live]]), np.minimum(level, own[live])
+        both = low[bits.level(pairs, most, pairs=True) if isinstance(bits, Answers) else bits.level(pairs, most)]
+        kinds = low[np.maximum(bits.level(v, level, 1), 1)]
+        p[live] = (np.maximum(both - DISCOUNT, 0) + DISCOUNT * kinds * p[live]) / np.where(first[live], m.texts, up[level])
+        return w, p, np.where(head >= 0, m.head_counts[head] if len(m.head) else -1, -1), own == 0
 
     def batch(self, keys: list, ids: list, flat: np.ndarray, begin: np.ndarray, bits: Answers | None = None) -> pa.RecordBatch:
         """Scores texts as in probabilities()."""
@@ -534,34 +518,22 @@ class Scorer:
 ROWS = "key long, doc_id long, n_tokens long, known long, base double, score double, h array<long>, n array<long>"
 
 
-ASKED = "chunk long, bucket int, hashes binary, begin binary, keys array<long>, ids array<long>"
-TOLD = "chunk long, bucket int, levels binary"
-
+TEXTS = "chunk long, tokens binary, words binary, begin binary, keys array<long>, ids array<long>"
+ASKED = "chunk long, bucket int, words binary, pairs binary"
+TOLD = "chunk long, bucket int, levels binary, sizes array<long>"
 
-def questions(flat: np.ndarray) -> list[np.ndarray]:
-    """What some texts need, each once, in order: keys of counts, and keys of followers."""
-    words, pairs, triples = expressions(flat)
-    return [run_lengths(np.concatenate(x))[0] for x in ((words, pairs, triples), (followed(flat, 1), followed(pairs, 2)))]
 
-
-def ask(buckets: int, tokens: int):
-    """A row for the texts of about so many tokens, with bucket -1, and one for each bucket with what they ask it."""
+def chunks(tokens: int):
+    """A row for the texts of about so many tokens: which of its words each token is."""
 
     def chunk(keys: list, ids: list, flats: list[np.ndarray], begins: list[np.ndarray]) -> pa.RecordBatch:
         flat = np.concatenate(flats)
         starts = np.cumsum([0, *map(len, flats)])[:-1]
         begin = np.concatenate([b + s for b, s in zip(begins, starts, strict=True)])
-        asked = []
-        for kind, wanted in enumerate(questions(flat)):
-            ends = dealt(wanted, buckets)
-            asked += [(kind * buckets + b, wanted[ends[b] : ends[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(ends)).tolist()]
-        none = [None] * len(asked)
-        return pa.RecordBatch.from_pydict({
-            "chunk": pa.array([keys[0]] * (len(asked) + 1), pa.int64()), "bucket": pa.array([-1, *(b for b, _ in asked)], pa.int32()),
-            "hashes": pa.array([flat.tobytes(), *(x for _, x in asked)], pa.binary()),
-            "begin": pa.array([begin.astype("<i8").tobytes(), *none], pa.binary()),
-            "keys": pa.array([keys, *none], pa.list_(pa.int64())), "ids": pa.array([ids, *none], pa.list_(pa.int64())),
-        })
+        words = run_lengths(flat)[0]
+        row = keys[0], pack(np.searchsorted(words, flat).astype("<u4")), pack(np.diff(words, prepend=U(0))), pack(begin.astype("<u4")), keys, ids
+        kinds = pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], [x.split()[0] for x in TEXTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered("questions")
@@ -586,26 +558,57 @@ def ask(buckets: int, tokens: int):
     return run
 
 
+def unchunked(tokens: bytes, words: bytes, begin: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as START, words and END one after another, and the places of START."""
+    return np.cumsum(unpack(words, "<u8")[0], dtype=U)[unpack(tokens, "<u4")[0]], unpack(begin, "<u4")[0].astype(np.int64)
+
+
+def questions(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that some texts need, starts too, and the pairs; each once, in order."""
+    return run_lengths(flat)[0], run_lengths(expressions(flat)[1])[0]
+
+
+def ask(buckets: int):
+    """A row for each bucket that a chunk's words and pairs lie in, with what the filter knows them by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("questions")
+        for batch in batches:
+            for chunk, *texts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "tokens", "words", "begin")), strict=True):
+                asked = []
+                for keys in questions(unchunked(*texts)[0]):
+                    asked.append(packed(probed(keys, buckets, 0), np.zeros(len(keys), np.int64), dealt(keys, buckets)))
+                live = [b for b in range(buckets) if asked[0][b] or asked[1][b]]
+                columns = [pa.array([chunk] * len(live), pa.int64()), pa.array(live, pa.int32())]
+                columns += [pa.array([x[b] for b in live], pa.binary()) for x in asked]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ASKED.split(", ")])
+
+    return run
+
+
 def answer(asked: pa.Table, bits: pa.Table, buckets: int) -> pa.Table:
-    """The levels that a bucket's segment has for what it is asked."""
+    """The levels that a bucket's segments have for the words and pairs that it is asked, and for the followers of the words."""
     remembered("answers")
-    known = int(asked.num_rows > 0 and asked["bucket"][0].as_py() >= buckets)
-    table = Filter([bits["bits"][0].as_py() if bits.num_rows else bytes(8)] * (1 + known), 1)
-    levels = []
-    for x in asked["hashes"]:
-        keys = np.frombuffer(x.as_py(), "<u8")
-        levels.append(table.level(keys, np.full(len(keys), len(LEVELS)), known).astype(np.uint8).tobytes())
-    return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "levels": pa.array(levels, pa.binary())})
+    table = Filter([bits["bits"][0].as_py(), bits["follower_bits"][0].as_py()] if bits.num_rows else [bytes(8)] * 2, buckets)
+    levels, sizes, most = [], [], len(LEVELS)
+    for blobs in zip(asked["words"].to_pylist(), asked["pairs"].to_pylist(), strict=True):
+        words, pairs = (unpacked_all([x])[0] for x in blobs)
+        found = [table.level(x, np.full(len(x), most), known) for x, known in ((words, 0), (pairs, 0), (words, 1))]
+        levels.append(pack(np.concatenate(found).astype("<u2")))
+        sizes.append([len(words), len(pairs)])
+    return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "levels": pa.array(levels, pa.binary()), "sizes": pa.array(sizes, pa.list_(pa.int64()))})
 
 
-def score_told(scorer: Scorer, asked: pa.Table, told: pa.Table, tokens: int) -> pa.Table:
+def score_told(scorer: Scorer, texts: pa.Table, told: pa.Table, tokens: int) -> pa.Table:
     """Scores the texts of a chunk by the levels that came back, about so many tokens at a time."""
-    row = asked.to_pylist()[0]
-    flat, begin = np.frombuffer(row["hashes"], "<u8"), np.frombuffer(row["begin"], "<i8")
-    back = dict(zip(told["bucket"].to_pylist(), told["levels"].to_pylist(), strict=True))
-    wanted, buckets = questions(flat), scorer.model.buckets
-    levels = [b"".join(back.get(kind * buckets + b, b"") for b in range(buckets)) for kind in range(2)]
-    bits, out = Answers(wanted, [np.frombuffer(x, np.uint8).astype(np.int64) for x in levels]), []
+    row = texts.to_pylist()[0]
+    flat, begin = unchunked(row["tokens"], row["words"], row["begin"])
+    levels: list[list[np.ndarray]] = [[], [], []]
+    for r in sorted(told.select(["bucket", "levels", "sizes"]).to_pylist(), key=lambda r: r["bucket"]):
+        found, (words, pairs) = unpack(r["levels"], "<u2")[0].astype(np.int64), r["sizes"]
+        for k, x in enumerate(np.split(found, [words, words + pairs])):
+            levels[k].append(x)
+    bits, out = Answers(*questions(flat), [np.concatenate(x) for x in levels]), []
     first = np.flatnonzero(np.diff(begin // tokens, prepend=-1))
     for a, b in zip(first, [*first[1:], len(begin)], strict=True):
         end = begin[b] if b < len(begin) else len(flat)
@@ -630,14 +633,14 @@ def score(docs: DataFrame, model: Model, tail: DataFrame, id_col: str = "doc_id"
 
     tokens, buckets = COUNT_TOKENS, model.buckets
 
-    def run_told(asked: pa.Table, told: pa.Table) -> pa.Table:
-        return score_told(remembered(name, lambda: Scorer(shared.value)), asked, told, max(1, tokens // 16))
+    def run_told(texts: pa.Table, told: pa.Table) -> pa.Table:
+        return score_told(remembered(name, lambda: Scorer(shared.value)), texts, told, max(1, tokens // 16))
 
     if model.bits is None:
-        asked = cut(rows.mapInArrow(ask(buckets, tokens), ASKED))
-        told = asked.where("bucket >= 0").select("chunk", "bucket", "hashes").groupBy("bucket")
-        told = told.cogroup(model.segments.groupBy("bucket")).applyInArrow(lambda a, b: answer(a, b, buckets), TOLD)
-        scored = cut(asked.where("bucket < 0").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run_told, ROWS))
+        texts = cut(rows.mapInArrow(chunks(tokens), TEXTS))
+        asked = texts.select("chunk", "tokens", "words", "begin").mapInArrow(ask(buckets), ASKED).groupBy("bucket")
+        told = cut(asked.cogroup(model.segments.groupBy("bucket")).applyInArrow(lambda a, b: answer(a, b, buckets), TOLD))
+        scored = cut(texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run_told, ROWS))
     else:
         scored = cut(rows.mapInArrow(run, ROWS))
     far = scored.select("key", F.explode(F.arrays_zip("h", "n")).alias("t")).select("key", "t.h", "t.n")
