@@ -11,8 +11,9 @@ executor loses nothing. Which page comes first is found on narrow rows (id, dige
 shuffle; payloads are shuffled once, by page id and digest, so a payload that a third of all pages have meets in no one
 task. Only segments are shuffled when reading; a group holds one page.
 
-Defined results: a null payload is empty; rows that agree in page id and payload are one page; rows that share an id but
-not a payload are pages of their own; a null id comes after all others; payloads shorter than REVISIT_BYTES are never
+Defined results: a null payload is empty; every row is a record, also where rows agree in all columns. Records of rows that
+agree in page id and payload are of the same type and have numbers in their names; a revisit then names what they have in
+common. Rows that share an id but not a payload are pages of their own; a null id comes after all others; payloads shorter than REVISIT_BYTES are never
 revisited; pages of any length are segmented; an empty table gives an empty table; columns other than id, url and
 payload are not read.
 """
@@ -96,16 +97,18 @@ def write(pages: DataFrame, folder: str, id_col: str, url_col: str, payload_col:
     narrow = rows.select("page", "id", "digest", "size")
     first = narrow.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"))
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
-    own = narrow.distinct().join(first, "digest", "left").select("page", F.when(revisit, F.col("first")).alias("first"))
+    own = narrow.groupBy("page", "id", "digest").agg(F.count("*").alias("times")).join(first, "digest", "left")
+    own = own.select("page", "times", F.when(revisit, F.col("first")).alias("first"))
     joined = rows.join(own, "page").withColumn("payload", F.when(F.col("first").isNull(), F.col("payload")).otherwise(F.lit(b"")))
-    page = joined.groupBy("page").agg(*(F.min(c).alias(c) for c in ("id", "url", "digest", "size", "first", "payload")))
+    number = F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))
+    page = joined.withColumn("number", F.when(F.col("times") > 1, number).otherwise(""))
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 to = None if r["first"] is None else f"urn:page:{r['first']}:{r['digest']}"
-                out += records(f"urn:page:{r['id']}:{r['digest']}", r["url"] or "", r["payload"], r["digest"], r["size"], to, segment_bytes)
+                out += records(f"urn:page:{r['id']}:{r['digest']}{r['number']}", r["url"] or "", r["payload"], r["digest"], r["size"], to, segment_bytes)
             yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
 
     text = page.mapInArrow(rendered, "record binary").select(F.col("record").cast("string"))
