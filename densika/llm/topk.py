@@ -1,9 +1,12 @@
 """Exact top-k search by inner product with pivot elimination (operator 6).
 
-Vectors become integers, floor(scale * x). A few vectors that lie far apart are pivots; the distances from every vector
-to all pivots are computed once per block. By the triangle inequality |d(q, p) - d(x, p)| is at most d(q, x) for every
-pivot p, and <q, x> = (|q|^2 + |x|^2 - d(q, x)^2) / 2, so the largest of these differences bounds the score from above.
-Candidates are scored in the order of their bounds until no bound left reaches the k-th best score: the result is exact.
+Vectors become integers, floor(scale * x). A few vectors that lie far apart are pivots; the distances from every vector of a
+block to all pivots are a table that is computed once. By the triangle inequality |d(q, p) - d(x, p)| is at most d(q, x) for
+every pivot p, and <q, x> = (|q|^2 + |x|^2 - d(q, x)^2) / 2, so the largest of these differences bounds the score from above.
+Candidates lie in batches of neighbours, sorted by nearest pivot and distance from it; a batch's bound takes the least
+difference that its range of distances from a pivot allows. Each query scores its batches in the order of their bounds, in
+rounds of 1, 2, 4, ... batches, until no bound left reaches its k-th best score: the result is exact. All queries of a round
+that want the same batch are one matrix product.
 
 Queries and candidates are dealt into blocks of bounded size by a hash of their id; each pair of a query block and a
 candidate block is one group, searched in memory, and gives k rows a query. The queries are a stated set, so the work is
@@ -31,8 +34,8 @@ QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 8192
 #: Pivots are chosen on the driver from so many vectors, the first ones by a hash of their id.
 PIVOTS, PIVOT_SAMPLE = 32, 1024
-#: So many candidates are scored at a time, and so many pairs of rows are bounded at a time.
-BATCH, PAIRS = 256, 1 << 17
+#: Candidates of a batch, and how many scores are held before the best are chosen.
+BATCH, HELD = 128, 1 << 20
 
 
 def quantised(values: np.ndarray, scale: float) -> np.ndarray:
@@ -62,61 +65,95 @@ def exact_kind(x: np.ndarray, q: np.ndarray) -> type:
     return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else object
 
 
-def scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products as integers, of vectors whose type is exact for them."""
-    if rows.dtype == object:
-        exact = (sum(int(a) * int(b) for a, b in zip(r, query, strict=True)) for r in rows)
-        return np.array([max(-(1 << 63), min(s, (1 << 63) - 1)) for s in exact], np.int64)
-    return (rows @ query).astype(np.int64)
+    found = queries @ rows.T
+    return found.clip(-(1 << 63), (1 << 63) - 1).astype(np.int64) if rows.dtype == object else found.astype(np.int64)
 
 
-def bounds(q: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Upper bounds of all scores between the rows of q and those of x."""
-    squares = (q**2).sum(1)[:, None] + (x**2).sum(1)[None]
+def as_exact(x: np.ndarray, kind: type) -> np.ndarray:
+    """Whole numbers in that type; object for Python's integers."""
+    return np.array([[int(v) for v in row] for row in x], object).reshape(x.shape) if kind is object else x.astype(kind)
+
+
+def neighbours(table: np.ndarray, batch: int) -> list[np.ndarray]:
+    """Batches of rows, sorted by their nearest pivot and the distance from it; table has the distances from all pivots."""
+    if table.shape[1]:
+        near = table.argmin(1)
+        order = np.lexsort((table[np.arange(len(table)), near], near))
+    else:
+        order = np.arange(len(table))
+    return [order[at : at + batch] for at in range(0, len(order), batch)]
+
+
+def bounds(q: np.ndarray, x: np.ndarray, pivots: np.ndarray, batches: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    """Upper bounds of the scores between each row of q and each batch of x."""
+    squares = (q**2).sum(1)[:, None] + np.array([(x[b] ** 2).sum(1).max() for b in batches])[None]
     low = np.zeros_like(squares)
     if len(pivots):
-        dq, dx = distances(q, pivots), np.ascontiguousarray(distances(x, pivots).T)
-        slack = 1e-6 * (1 + np.sqrt(squares.max()))  # more than rounding can take off a distance
-        apart = np.empty_like(low)
+        dq = distances(q, pivots)
+        least, most = (np.array([f(table[b], 0) for b in batches]) for f in (np.min, np.max))
         for p in range(len(pivots)):
-            np.subtract(dq[:, p, None], dx[p], out=apart)
-            np.abs(apart, out=apart)
-            np.maximum(low, apart, out=low)
-        low = np.maximum(low - slack, 0)
-    return (squares - low**2) / 2 * (1 + 1e-9) + 1
+            own = dq[:, p, None]
+            np.maximum(low, np.maximum(least[None, :, p] - own, own - most[None, :, p]), out=low)
+        low = np.maximum(low - 1e-6 * (1 + np.sqrt(squares.max())), 0)  # more than rounding can take off a distance
+    return (squares - low**2) / 2 + 1e-9 * squares + 1
+
+
+def best_of(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each query among rows of query, score and id."""
+    query, score, ids = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((ids, -score, query)) if score.min(initial=0) > -(1 << 63) else np.lexsort((ids, ~score, query))
+    query, score, ids = query[order], score[order], ids[order]
+    start = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+    rank = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+    return query[rank < k], score[rank < k], ids[rank < k]
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int, batch: int = BATCH) -> list[tuple[int, int, int]]:
-    """The k best of each query among the candidates; x is in ascending order of ids."""
-    out = []
-    step = max(1, PAIRS // max(1, len(x)))
+def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int, batch: int = BATCH) -> list[tuple[int, int, int, int]]:
+    """The k best of each query among the candidates, with the number of candidates that were scored for it."""
     kind = exact_kind(x, q)
-    exact, queries = x.astype(kind), q.astype(kind)
-    for first in range(0, len(q), step):
-        limit = bounds(q[first : first + step], x, pivots)
-        for own, query, upper in zip(q_ids[first : first + step], queries[first : first + step], limit, strict=True):
-            upper[ids == own] = -np.inf
-            live = np.argpartition(-upper, batch)[:batch] if len(x) > batch else np.arange(len(x))
-            best = np.zeros((2, 0), np.int64)  # scores and ids
-            size, rest = batch, None
-            while len(live := live[upper[live] > -np.inf]):
-                found = np.stack([scores(exact[live], query), ids[live]])
-                if best.shape[1] == k:
-                    found = found[:, found[0] >= best[0, -1]]
-                best = np.concatenate([best, found], 1)
-                best = best[:, np.lexsort((best[1], -best[0]))[:k]]
-                worst = best[0, -1] if best.shape[1] == k else -np.inf
-                if rest is None:  # what the first batch leaves, in the order of the bounds
-                    left = upper >= worst
-                    left[live] = False
-                    rest = np.flatnonzero(left)
-                    rest = rest[np.argsort(-upper[rest])]
-                else:
-                    rest = rest[size:]
-                    size *= 4
-                live = rest[:size]
-                live = live[upper[live] >= worst]
-            out += [(int(own), i, s) for s, i in best.T.tolist()]
+    exact, queries = as_exact(x, kind), as_exact(q, kind)
+    table = distances(x, pivots) if len(pivots) else np.zeros((len(x), 0))
+    batches = neighbours(table, batch)
+    upper = bounds(q, x, pivots, batches, table)
+    order = np.argsort(-upper, axis=1, kind="stable")
+    sizes = np.array([len(b) for b in batches])
+    worst, scored = np.full(len(q), -np.inf), np.zeros(len(q), np.int64)
+    best = (np.zeros(0, np.int64),) * 3
+    first, size = 0, 1
+    while first < len(batches):
+        asked = order[:, first : first + size]
+        row, column = np.nonzero(np.take_along_axis(upper, asked, 1) >= worst[:, None])
+        if not len(row):
+            break
+        wanted = asked[row, column]
+        by = np.argsort(wanted, kind="stable")
+        row, wanted = row[by], wanted[by]
+        held, n = [best], 0
+        for own in np.split(row, np.flatnonzero(np.diff(wanted)) + 1):
+            b = wanted[n]
+            n += len(own)
+            own = own[upper[own, b] >= worst[own]]  # what was found in this round may do
+            found = scores(queries[own], exact[batches[b]])
+            scored[own] += sizes[b]
+            i, j = np.nonzero((found >= worst[own][:, None]) & (q_ids[own][:, None] != ids[batches[b]][None]))
+            held.append((own[i], found[i, j], ids[batches[b]][j]))
+            if sum(len(h[0]) for h in held) > HELD:
+                held = [best := best_of(held, k)]
+                worst = worst_of(best, len(q), k)
+        best = best_of(held, k)
+        worst = worst_of(best, len(q), k)
+        first, size = first + size, 2 * size
+    return [(int(q_ids[a]), int(i), int(s), int(scored[a])) for a, s, i in zip(*best, strict=True)]
+
+
+def worst_of(best: tuple[np.ndarray, ...], n: int, k: int) -> np.ndarray:
+    """The k-th best score of each of n queries, as far as they have k."""
+    out = np.full(n, -np.inf)
+    full = np.bincount(best[0], minlength=n) == k
+    ends = np.cumsum(np.bincount(best[0], minlength=n)) - 1
+    out[full] = best[1][ends[full]]
     return out
 
 
@@ -137,10 +174,10 @@ def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int64), flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
 
 
-def top_k(df: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int = 5, scale: float = 256.0, batch: int = BATCH) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int = 5, scale: float = 256.0, batch: int = BATCH, with_scored: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the k other rows whose inner product with the query's vector is highest.
 
-    is_query is an expression of df's columns.
+    is_query is an expression of df's columns. with_scored adds how many candidates of the row's block were scored for the query.
     """
     v = F.col("v")
     rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -168,19 +205,19 @@ def top_k(df: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int
         asks = table["asks"]
         ids, x = matrix(table.filter(pc.invert(asks)))
         q_ids, q = matrix(table.filter(asks))
-        found: list[tuple[int, int, int]] = []
+        found: list[tuple[int, ...]] = []
         if len(ids) and len(q_ids):
             ids, x = one_per_id(ids, quantised(x, scale))
             q_ids, q = one_per_id(q_ids, quantised(q, scale))
             own = pivots if pivots.shape[1:] == x.shape[1:] else np.zeros((0, x.shape[1]))
             found = search(q_ids, q, ids, x, own, k, batch)
-        columns = zip(*found, strict=True) if found else ([], [], [])
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+        columns = zip(*found, strict=True) if found else ([], [], [], [])
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score", "scored"])
 
-    found = both.groupBy("a", "b", "width").applyInArrow(group, "query_id long, vec_id long, score long")
+    found = both.groupBy("a", "b", "width").applyInArrow(group, "query_id long, vec_id long, score long, scored long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score", *(["scored"] if with_scored else []))
 
 
 def brute_force(rows: Iterator[tuple[int, list[float]]], queries: set[int], k: int = 5, scale: float = 256.0) -> set[tuple[int, int, int, int]]:
