@@ -94,7 +94,7 @@ def test_links_leave_as_a_forest():
     common = rng.integers(0, 1 << 63, 200, np.uint64)
     sets = [np.unique(np.append(common, rng.integers(0, 1 << 63, 5, np.uint64))) for _ in range(100)]
     signs = np.stack([neardup.signature(s) for s in sets])
-    found = neardup.links(np.arange(100), sets, signs, np.zeros(100, np.int32), 85, 1e-6)
+    found = neardup.links(np.arange(100), sets, signs, np.zeros(100, np.int32), np.arange(100), 85, 1e-6)
     assert len(found) == 99
 
 
