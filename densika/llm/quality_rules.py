@@ -1,7 +1,8 @@
 """Line-first cleaning of documents by rules (operator 10).
 
-Every line of a text is judged on its own: by its punctuation, as navigation, as boilerplate, by symbols, capitals,
-stuttering words and as a repeat of an earlier line. Lines that fail are removed; a document that loses more than
+Every line of a text is judged on its own: whether it ends as a sentence does, as navigation, as boilerplate (legal and
+site phrases in the four languages of the corpus, and marks that no language needs), by symbols, capitals, stuttering words and
+as a repeat of an earlier line. Lines that fail are removed; a document that loses more than
 ``max_lost`` of its words is rejected. Nothing is shuffled: the operator is one pass over the texts.
 
 Defined results: a null or empty text has no words, so it is base_failed and rejected; a null id is passed through; rows
@@ -11,6 +12,7 @@ the id and text columns are read, so others may have any name.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -22,20 +24,23 @@ from densika.llm.common import map_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)")
+SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$")
 SEPARATORS = frozenset("|>»•·/")
 SMALL, CAPITAL = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
-BOILERPLATE = re.compile(
-    r"all rights reserved|copyright|licen[sc]ed under|general public license|privacy policy|terms of (?:use|service)"
-    r"|cookies?\b|javascript|sign up|log ?in\b|subscribe|click here|read more|share this",
-    re.IGNORECASE | re.ASCII,
-)
+PHRASES = {
+    "en": r"all rights reserved|copyright|licen[sc]ed under|general public license|privacy policy|terms of (?:use|service)|sign up|log ?in(?:[^a-z]|$)|subscribe|click here|read more|share this",
+    "de": r"alle rechte vorbehalten|urheberrecht|lizenziert unter|datenschutzerkl|nutzungsbedingungen|impressum|anmelden|abonnieren|hier klicken|weiterlesen|mehr lesen",
+    "es": r"todos los derechos reservados|bajo (?:la )?licencia|aviso legal|privacidad|condiciones de uso|suscr[ií]b|haga clic|haz clic|leer m[aá]s|iniciar sesi[oó]n",
+    "fr": r"tous droits r[eé]serv[eé]s|sous licence|mentions l[eé]gales|confidentialit[eé]|conditions d'utilisation|s'abonner|cliquez ici|lire la suite|se connecter",
+    "": r"cookies?(?:[^a-z]|$)|javascript|©|®|https?://|www\.|[a-z0-9._-]+@[a-z0-9-]+\.[a-z]",
+}
+BOILERPLATE = re.compile("|".join(PHRASES.values()), re.IGNORECASE)
 #: A line of boilerplate has at most so many words.
 BOILERPLATE_WORDS = 25
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " base_failed boolean, kept boolean, n_lines_removed long, n_words_removed long, clean_text string"
+    " base_failed boolean, kept boolean, n_lines_removed long, n_words_removed long, clean_sha256 string, clean_text string"
 )
 
 
@@ -106,7 +111,9 @@ def judge(text: str, max_lost: float) -> tuple:
     n, repeats = len(words), repeated_words(words)
     failed = n < 50 or 100 * repeats > 50 * n
     good = not failed and lost <= max_lost * n
-    return n, sum(map(len, words)), len(SYMBOLS.findall(text)), dups, repeats, failed, good, removed, lost, "\n".join(kept)
+    clean = "\n".join(kept)
+    sha = hashlib.sha256(clean.encode()).hexdigest()
+    return n, sum(map(len, words)), len(SYMBOLS.findall(text)), dups, repeats, failed, good, removed, lost, sha, clean
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = 0.5, with_text: bool = True) -> DataFrame:
@@ -116,8 +123,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     def batch(rows: dict[str, list]) -> dict[str, object]:
         out = [judge(t.decode("utf-8", "replace") if t else "", max_lost) for t in rows["text"]]
         columns = [pa.array(rows["id"], pa.int64())]
-        for k, kind in enumerate([pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.string()]):
-            columns.append(pa.array([x[k] for x in out] if k < 9 or with_text else [None] * len(out), kind))
+        for k, kind in enumerate([pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.string()] * 2):
+            columns.append(pa.array([x[k] for x in out] if k < 10 or with_text else [None] * len(out), kind))
         return dict(zip(names, columns, strict=True))
 
     return map_batches(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), SCHEMA, batch)

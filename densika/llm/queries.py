@@ -5,6 +5,7 @@ Each takes (spark, sf_dir), gives its operator the whole table and derives the c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -84,6 +85,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
+
+def _quoted(pattern: re.Pattern) -> str:
+    return pattern.pattern.replace("'", "''")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
@@ -144,7 +150,7 @@ SQL: dict[str, str] = {
     """,
     "op9_warc": """
         WITH p AS (
-            SELECT DISTINCT page_id, sha256(coalesce(html, '')) AS payload_digest,
+            SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
                    CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes
             FROM pages
         ), f AS (
@@ -166,13 +172,13 @@ SQL: dict[str, str] = {
         x AS (SELECT k, i, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS ws FROM l),
         y AS (SELECT *, len(ws) AS n, row_number() OVER (PARTITION BY k, l ORDER BY i) > 1 AS dup FROM x WHERE len(ws) > 0),
         z AS (
-            SELECT k, n, dup, dup
+            SELECT k, i, n, dup, dup
                 OR (n > 1 AND 3 * len(list_filter(ws, lambda q: q IN ('|', '>', '»', '•', '·', '/'))) >= n)
-                OR (n <= {quality_rules.BOILERPLATE_WORDS} AND regexp_matches(l, '(?i){quality_rules.BOILERPLATE.pattern}'))
+                OR (n <= {quality_rules.BOILERPLATE_WORDS} AND regexp_matches(l, '(?i){_quoted(quality_rules.BOILERPLATE)}'))
                 OR 2 * len(regexp_extract_all(l, '[#*$%&|<>]')) >= n
                 OR (n >= 3 AND regexp_matches(l, '\p{{Lu}}') AND NOT regexp_matches(l, '\p{{Ll}}'))
                 OR (n >= 4 AND 3 * len(list_filter(range(1, n), lambda j: ws[j] = ws[j + 1])) >= n)
-                OR NOT regexp_matches(l, '{quality_rules.SENTENCE_END.pattern.replace("'", "''")}') AS bad
+                OR NOT regexp_matches(l, '{_quoted(quality_rules.SENTENCE_END)}') AS bad
             FROM y
         ),
         b AS (
@@ -180,12 +186,16 @@ SQL: dict[str, str] = {
                    CAST(coalesce(sum(n) FILTER (bad), 0) AS BIGINT) AS n_words_removed
             FROM z GROUP BY k
         ),
+        cleaned AS (
+            SELECT x.k, sha256(coalesce(string_agg(x.l, chr(10) ORDER BY x.i) FILTER (NOT coalesce(z.bad, false)), '')) AS clean_sha256
+            FROM x LEFT JOIN z ON z.k = x.k AND z.i = x.i GROUP BY x.k
+        ),
         a AS (
-            SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+            SELECT doc_id, clean_sha256, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
                    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
                    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines_removed, 0) AS n_lines_removed,
                    coalesce(n_words_removed, 0) AS n_words_removed
-            FROM d LEFT JOIN n USING (k) LEFT JOIN b USING (k)
+            FROM d LEFT JOIN n USING (k) LEFT JOIN b USING (k) LEFT JOIN cleaned USING (k)
         )
         SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_words_removed <= n_words AS kept

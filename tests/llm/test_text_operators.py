@@ -175,7 +175,10 @@ def test_line_rules():
     assert rule("BUY NOW!! TODAY ONLY!!") == "capitals"
     assert rule("sting sting sting sting sting now.") == "stutter"
     assert rule("no end of a sentence here") == "punctuation"
-    assert rule("A plain sentence, with words. And one more") is None
+    assert rule("Home. Products Cart Login") == "punctuation"
+    for line in ("Alle Rechte vorbehalten.", "Todos los derechos reservados.", "Tous droits réservés.", "© 2020 Somebody Inc.", "See www.somewhere.org."):
+        assert rule(line) == "boilerplate"
+    assert rule("A plain sentence, with words. And one more!\" ") is None
 
 
 def test_clean_documents_stay_and_junk_goes():
@@ -185,7 +188,7 @@ def test_clean_documents_stay_and_junk_goes():
     assert quality_rules.judge(clean, 0.5)[6] is True
     assert quality_rules.judge(junk, 0.5)[6] is False
     judged = quality_rules.judge(clean + "\nCopyright 2020 all rights reserved.", 0.5)
-    assert judged[6] and judged[9] == clean
+    assert judged[6] and judged[10] == clean and judged[9] == hashlib.sha256(clean.encode()).hexdigest()
 
 
 def test_nothing_is_shuffled(docs):
