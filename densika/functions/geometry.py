@@ -29,6 +29,11 @@ def cell_index(value: Column, origin: Column | float, side: float) -> Column:
     return F.floor((value - origin) / F.lit(float(side))).cast("long")
 
 
+def cells_of(side: float) -> list[Column]:
+    """cx, cy of a grid of that side with its origin at 0."""
+    return [F.floor(F.col(a) / F.lit(float(side))).cast("long").alias(f"c{a}") for a in "xy"]
+
+
 def linear_cell(cx: Column, cy: Column, n_x: Column) -> Column:
     """One number for a cell; x runs fastest."""
     return cx + cy * n_x

@@ -24,6 +24,7 @@ from densika.operators.lineage import cut
 from densika.operators.neighbors import neighbor_counts, range_join
 from densika.operators.ordered import ordinal
 from densika.operators.partitioning import assign
+from densika.plans.estimates import shuffle_partitions
 
 #: Up to so many edges, components are found in one task.
 LOCAL_EDGES = 1 << 21
@@ -54,25 +55,25 @@ def _far_links(celled: DataFrame, linked: DataFrame, eps: float) -> DataFrame:
     return pairs.select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct()
 
 
-def _core(points: DataFrame, eps: float, min_pts: int, dense: bool) -> tuple[DataFrame, DataFrame]:
+def _core(points: DataFrame, eps: float, min_pts: int, dense: bool, partitions: int | None) -> tuple[DataFrame, DataFrame]:
     """Points with is_core and vertex (null unless core), and the links among vertices that need no probe."""
     if not dense:
-        counts = neighbor_counts(points, eps).where(F.col("n") >= min_pts).select("id", F.col("id").alias("vertex"))
+        counts = neighbor_counts(points, eps, partitions).where(F.col("n") >= min_pts).select("id", F.col("id").alias("vertex"))
         found = points.join(counts, "id", "left").select("id", "x", "y", "vertex", F.lit(False).alias("dense"))
-        return cut(found), None
+        return cut(found, "core points"), None
     small = with_small_cells(points, eps)
     boxes = [f(c).alias(f"{f.__name__}{c}") for c in "xy" for f in (F.min, F.max)]
-    cells = cut(small.groupBy("sx", "sy").agg(F.count("*").alias("n"), F.min("id").alias("least"), *boxes).where(F.col("n") >= min_pts))
+    cells = cut(small.groupBy("sx", "sy").agg(F.count("*").alias("n"), F.min("id").alias("least"), *boxes).where(F.col("n") >= min_pts), "dense cells")
     celled = small.join(cells.select("sx", "sy", "least"), ["sx", "sy"], "left")
     sparse = celled.where("least IS NULL").select("id", "x", "y")
-    core = range_join(sparse, points, eps, ["id"], ["id other"]).groupBy("id").count().where(F.col("count") >= min_pts).select("id", F.col("id").alias("own"))
+    core = range_join(sparse, points, eps, ["id"], ["id other"], partitions).groupBy("id").count().where(F.col("count") >= min_pts).select("id", F.col("id").alias("own"))
     found = celled.join(core, "id", "left")
     found = found.select("id", "x", "y", F.coalesce("least", "own").alias("vertex"), F.col("least").isNotNull().alias("dense"))
     touching = cut(adjacency(cells))
     component = connected_components(touching, local_edges=LOCAL_EDGES).withColumnRenamed("id", "least")
     linked = cells.join(component, "least", "left").withColumn("component", F.coalesce("component", "least")).withColumnRenamed("least", "vertex")
     far = _far_links(celled, linked, eps)
-    return cut(found), touching.unionAll(far)
+    return cut(found, "core points"), touching.unionAll(far)
 
 
 def _linked_cells(found: DataFrame, links: DataFrame | None, eps: float) -> tuple[DataFrame, DataFrame | None]:
@@ -81,7 +82,7 @@ def _linked_cells(found: DataFrame, links: DataFrame | None, eps: float) -> tupl
     placed = found.select("*", *(F.floor(F.col(c) / side).cast("long").alias(f"l{c}") for c in "xy"))
     core = placed.where("vertex IS NOT NULL").groupBy("lx", "ly").agg(F.min("id").alias("joint"))
     joined = placed.join(core, ["lx", "ly"], "left")
-    out = cut(joined.select("id", "x", "y", F.when(F.col("vertex").isNotNull(), F.col("joint")).alias("vertex"), "dense"))
+    out = cut(joined.select("id", "x", "y", F.when(F.col("vertex").isNotNull(), F.col("joint")).alias("vertex"), "dense"), "vertices")
     if links is None:
         return out, None
     own = out.select(F.col("id").alias("a"), F.col("vertex").alias("va")), out.select(F.col("id").alias("b"), F.col("vertex").alias("vb"))
@@ -93,28 +94,33 @@ def _linked_cells(found: DataFrame, links: DataFrame | None, eps: float) -> tupl
 
 def cluster(
     df: DataFrame, eps: float, min_pts: int, id_col: str = "id", x_col: str = "x", y_col: str = "y",
-    border: str = "canonical", dense_cells: bool | str = "auto",
+    border: str = "canonical", dense_cells: bool | str = "auto", partitions: int | str | None = None,
 ) -> DataFrame:
-    """id, x, y, cluster, is_core, role (core, border or noise). Rows with a null or NaN are dropped; ids are distinct."""
+    """id, x, y, cluster, is_core, role (core, border or noise). Rows with a null or NaN are dropped; ids are distinct.
+
+    partitions sets their number for range joins; "auto" takes it from a sample's neighbours, and at least the session's.
+    """
     if border not in ("canonical", "scan"):
         raise ValueError("border is canonical or scan")
     if eps <= 0 or min_pts < 1:
         raise ValueError("eps must be positive and min_pts at least 1")
     points = clean(df, id_col, x_col, y_col)
+    if partitions == "auto":
+        partitions = shuffle_partitions(points, eps, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if dense_cells == "auto":
         crowded = crowding(points, eps).first()["crowding"]
         dense_cells = crowded is not None and crowded >= min_pts
-    found, links = _core(points, eps, min_pts, bool(dense_cells))
+    found, links = _core(points, eps, min_pts, bool(dense_cells), partitions)
     found, links = _linked_cells(found, links, eps)
     cored = found.where("vertex IS NOT NULL").select("x", "y", "vertex")
-    touched = range_join(found.where("NOT dense"), cored, eps, ["id", "vertex own"], ["vertex"]).where("own IS NULL OR own <> vertex")
-    touched = cut(touched.select(F.when(F.col("own").isNull(), F.col("id")).alias("id"), "own", "vertex").distinct())
+    touched = range_join(found.where("NOT dense"), cored, eps, ["id", "vertex own"], ["vertex"], partitions).where("own IS NULL OR own <> vertex")
+    touched = cut(touched.select(F.when(F.col("own").isNull(), F.col("id")).alias("id"), "own", "vertex").distinct(), "touched vertices")
     edges = touched.where("own IS NOT NULL").select(F.col("own").alias("a"), F.col("vertex").alias("b"))
     component = connected_components(edges if links is None else edges.unionAll(links), local_edges=LOCAL_EDGES)
     vertices = found.where("vertex IS NOT NULL").select("vertex").distinct()
     seeds = vertices.join(component.withColumnRenamed("id", "vertex"), "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("seed"))
     numbers = ordinal(seeds.select("seed").distinct(), "seed", "cluster")
-    seeds = cut(seeds.join(numbers, "seed").select("vertex", "seed", F.col("cluster").cast("int").alias("cluster")))
+    seeds = cut(seeds.join(numbers, "seed").select("vertex", "seed", F.col("cluster").cast("int").alias("cluster")), "numbered vertices")
     joins = touched.where("own IS NULL").select("id", "vertex").join(seeds, "vertex")
     if border == "scan":
         joins = joins.where("seed < id")

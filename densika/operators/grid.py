@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densika.functions.geometry import cell_index, linear_cell
@@ -43,8 +43,9 @@ def cells(points: DataFrame, eps: float) -> DataFrame:
 
 
 def cell_members(points: DataFrame, eps: float) -> DataFrame:
-    """Cells with the sorted ids of their points."""
-    return with_cells(points, eps).groupBy("cx", "cy").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+    """cx, cy, place, id: the points of each cell in the order of their ids, a row for each."""
+    place = F.row_number().over(Window.partitionBy("cx", "cy").orderBy("id"))
+    return with_cells(points, eps).select("cx", "cy", place.cast("long").alias("place"), "id")
 
 
 def x_histogram(points: DataFrame, eps: float) -> DataFrame:

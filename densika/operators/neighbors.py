@@ -7,30 +7,38 @@ are hot. Nothing is broadcast unless the planner finds a side small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from densika.functions.geometry import PRUNING, distance, in_box
+from densika.functions.geometry import PRUNING, cells_of, distance, in_box
 from densika.operators.grid import with_cells
 
 
-def _cell(side: float) -> list[F.Column]:
-    return [F.floor(F.col(a) / F.lit(side)).cast("long").alias(f"c{a}") for a in "xy"]
-
-
 def _around(probes: DataFrame, side: float) -> DataFrame:
     """Each probe once for its cell and each of the eight around it."""
     steps = F.array(*(F.lit(k).cast("long") for k in (-1, 0, 1)))
-    own = probes.select("*", *_cell(side))
+    own = probes.select("*", *cells_of(side))
     own = own.select("*", F.explode(steps).alias("_sx"))
     own = own.select("*", F.explode(steps).alias("_sy"))
     return own.withColumns({"cx": F.col("cx") + F.col("_sx"), "cy": F.col("cy") + F.col("_sy")}).drop("_sx", "_sy")
 
 
-def range_join(probes: DataFrame, points: DataFrame, radius: float, probe_cols: list[str], point_cols: list[str]) -> DataFrame:
-    """All pairs of a probe and a point (both with x and y) at a distance of radius or less, with the named columns."""
+#: Points that pairs_brute() takes at most.
+BRUTE_POINTS = 50_000
+
+
+def range_join(
+    probes: DataFrame, points: DataFrame, radius: float, probe_cols: list[str], point_cols: list[str], partitions: int | None = None, indexed: bool = False
+) -> DataFrame:
+    """All pairs of a probe and a point (both with x and y) at a distance of radius or less, with the named columns.
+
+    partitions sets their number for the join; indexed points have cx, cy of sinks.save_index() and aren't shuffled.
+    """
     side = radius * PRUNING
-    a, b = _around(probes, side).alias("a"), points.select("*", *_cell(side)).alias("b")
+    a, b = _around(probes, side), points if indexed else points.select("*", *cells_of(side))
+    if partitions:
+        a, b = a.repartition(partitions, "cx", "cy"), b.repartition(partitions, "cx", "cy")
+    a, b = a.alias("a"), b.alias("b")
     same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
     near = distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")) <= F.lit(float(radius))
     return a.join(b, same & near).select(*(F.col(f"a.{c.split(' ')[0]}").alias(c.split(" ")[-1]) for c in probe_cols), *(F.col(f"b.{c.split(' ')[0]}").alias(c.split(" ")[-1]) for c in point_cols))
@@ -42,19 +50,22 @@ def pairs(points: DataFrame, eps: float) -> DataFrame:
 
 
 def pairs_brute(points: DataFrame, eps: float) -> DataFrame:
-    """The same by comparing all pairs; a check for small inputs."""
+    """The same by comparing all pairs; a check for small inputs, which fails beyond BRUTE_POINTS."""
+    if points.limit(BRUTE_POINTS + 1).count() > BRUTE_POINTS:
+        raise ValueError(f"more than {BRUTE_POINTS} points; take pairs()")
     a, b = points.alias("a"), points.alias("b")
     near = distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")) <= F.lit(float(eps))
     return a.crossJoin(b).where(near).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
 
 
-def neighbor_counts(points: DataFrame, eps: float) -> DataFrame:
-    return pairs(points, eps).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+def neighbor_counts(points: DataFrame, eps: float, partitions: int | None = None) -> DataFrame:
+    return range_join(points, points, eps, ["id"], ["id dst"], partitions).groupBy("id").agg(F.count("*").alias("n"))
 
 
 def neighbor_lists(points: DataFrame, eps: float) -> DataFrame:
-    """Sorted neighbour ids; a row is as long as the neighbourhood, so counts or pairs are for dense data."""
-    return pairs(points, eps).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("dst")).alias("nbrs"))
+    """id, place, nbr: each point's neighbours in the order of their ids, a row for each."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    return pairs(points, eps).select(F.col("src").alias("id"), place.cast("long").alias("place"), F.col("dst").alias("nbr"))
 
 
 def core_points(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
@@ -64,7 +75,7 @@ def core_points(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
 def window_counts(probes: DataFrame, points: DataFrame, eps: float) -> DataFrame:
     """For each probe, the points in the closed square of half-width eps around it, and those of them within eps."""
     side, e = eps * PRUNING, F.lit(float(eps))
-    a, b = _around(probes, side).alias("a"), points.select("*", *_cell(side)).alias("b")
+    a, b = _around(probes, side).alias("a"), points.select("*", *cells_of(side)).alias("b")
     ax, ay, bx, by = (F.col(c) for c in ("a.x", "a.y", "b.x", "b.y"))
     same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
     joined = a.join(b, same & in_box(bx, by, ax - e, ax + e, ay - e, ay + e))
@@ -88,6 +99,11 @@ def reference_neighbors(points: DataFrame, eps: float) -> DataFrame:
     return range_join(probes, points, 1.5 * eps, ["ref_x cx", "ref_y cy"], ["id"])
 
 
+def indexed_counts(points: DataFrame, index: DataFrame, eps: float) -> DataFrame:
+    """neighbor_counts() of probes among the points of a saved index, of which only the probes are shuffled."""
+    return range_join(points, index, eps, ["id"], ["id dst"], indexed=True).groupBy("id").agg(F.count("*").alias("n"))
+
+
 def sampled_pair_count(points: DataFrame, eps: float, every: int) -> DataFrame:
     """One row: neighbours of every k-th point by id, and the estimate for all."""
     some = points.where(F.pmod("id", F.lit(every)) == 0)

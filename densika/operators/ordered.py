@@ -1,34 +1,41 @@
-"""Running sums and ordinals over integer keys without one task that sees all rows.
+"""Running sums and ordinals in the order of some columns, without one task that sees all rows.
 
-Keys are dealt into blocks of a fixed range. Only the blocks' sums (one row for each block) go through a window without
-partitions; within a block the window is partitioned by it.
+Rows are cut into ranges of the columns, which Spark samples, so any keys will do, dense or sparse. A window runs within each
+range. What comes before a range is the sum of the ranges before it: one figure for each range (and group).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 16
+from densika.operators.lineage import cut
 
 
-def _blocks(df: DataFrame, key: str, value: F.Column, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    dealt = df.withColumn("_block", F.floor(F.col(key) / BLOCK)).withColumn("_value", value)
-    sums = dealt.groupBy(*by, "_block").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    return dealt, starts
+def _carried(ranged: DataFrame, by: list[str]) -> DataFrame:
+    """_range, by and _start: the sum of _value in the ranges before."""
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_value").alias("_sum"))
+    if by:
+        before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        return sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    total, out = 0, []
+    for r in sorted(sums.collect()):  # a row for each range, of which there are as many as shuffle partitions
+        out.append((r["_range"], total))
+        total += r["_sum"] or 0
+    kind = sums.schema["_sum"].dataType.simpleString()
+    return F.broadcast(ranged.sparkSession.createDataFrame(out, f"_range int, _start {kind}"))
 
 
-def running_sum(df: DataFrame, key: str, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """df with the sum of a column over all rows up to each row's key, itself included. Keys are distinct integers."""
-    by = list(by)
-    dealt, starts = _blocks(df, key, F.col(value), by)
-    own = Window.partitionBy(*by, "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.join(starts, [*by, "_block"]).withColumn(out, F.col("_start") + F.sum("_value").over(own))
-    return summed.drop("_block", "_value", "_start")
+def running_sum(df: DataFrame, keys: str | list[str], value: str | Column, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the sum of a column over all rows up to each row's keys, itself included. Keys tell rows apart."""
+    keys, by = [keys] if isinstance(keys, str) else list(keys), list(by)
+    value = F.col(value) if isinstance(value, str) else value
+    ranged = cut(df.withColumn("_value", value).repartitionByRange(*by, *keys)).withColumn("_range", F.spark_partition_id())
+    own = Window.partitionBy(*by, "_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.join(_carried(ranged, by), [*by, "_range"]).withColumn(out, F.col("_start") + F.sum("_value").over(own))
+    return summed.select(*df.columns, out)
 
 
-def ordinal(df: DataFrame, key: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """df with each row's 1-based place in the order of an integer key."""
-    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), key, "_one", out, by).drop("_one")
+def ordinal(df: DataFrame, keys: str | list[str], out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with each row's 1-based place in the order of some columns."""
+    return running_sum(df, keys, F.lit(1).cast("long"), out, by)

@@ -5,6 +5,7 @@ Points come from the test tables: embeddings (eps 0.02, 4 points), events (eps 1
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 from densika.functions import geometry
 from densika.operators import dbscan, dense, grid, metrics, neighbors, partitioning
 from densika.operators.components import connected_components
-from densika.operators.lineage import shared_folder
+from densika.operators.lineage import cut, shared_folder, traced
 from densika.operators.ordered import ordinal, running_sum
 from densika.plans import estimates
 from densika.sources import points as sources
 from densika.sources import sinks
+from densika.streaming import points as streaming
 
 EMB = (0.02, 4)
 WIDE = (0.03, 4)
@@ -133,10 +135,9 @@ def nonempty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.cells(sources.from_lineitem(spark, sf_dir), 1.0)
 
 
-@query(_with(EMB_SQL, EMB[0], "box", "dims", "celled") + "SELECT cx, cy, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM celled GROUP BY ALL")
+@query(_with(EMB_SQL, EMB[0], "box", "dims", "celled") + "SELECT cx, cy, row_number() OVER (PARTITION BY cx, cy ORDER BY id) AS place, id FROM celled")
 def cell_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = grid.cell_members(sources.from_embeddings(spark, sf_dir), EMB[0])
-    return found.select("cx", "cy", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    return grid.cell_members(sources.from_embeddings(spark, sf_dir), EMB[0])
 
 
 @query(_with(ITEM_SQL, 1.0, "box", "dims", "celled") + "SELECT count(DISTINCT cx) AS used_x, count(DISTINCT cy) AS used_y FROM celled")
@@ -275,10 +276,9 @@ def neighbor_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.neighbor_counts(sources.from_events(spark, sf_dir), EVENTS[0])
 
 
-@query(_with(CUST_SQL, CUST[0], "pairs") + "SELECT src AS id, count(*) AS n, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS nbrs FROM pairs GROUP BY src")
+@query(_with(CUST_SQL, CUST[0], "pairs") + "SELECT src AS id, row_number() OVER (PARTITION BY src ORDER BY dst) AS place, dst AS nbr FROM pairs")
 def neighbor_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neighbors.neighbor_lists(sources.from_customers(spark, sf_dir), CUST[0])
-    return found.select("id", "n", F.array_join(F.col("nbrs").cast("array<string>"), ",").alias("nbrs"))
+    return neighbors.neighbor_lists(sources.from_customers(spark, sf_dir), CUST[0])
 
 
 @query(_with(EVENTS_SQL, EVENTS[0], "pairs") + "SELECT count(*) AS n_pairs FROM pairs")
@@ -338,6 +338,28 @@ def estimate_pairs_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.sampled_pair_count(sources.from_embeddings(spark, sf_dir), EMB[0], 10)
 
 
+@query(
+    _with(EMB_SQL, EMB[0], "pairs", "step AS (SELECT count(*) AS n, CASE WHEN count(*) <= 2000000 THEN 100 ELSE CAST(ceil(count(*) / 40000.0) AS INTEGER) END AS step FROM pts)",
+          "s AS (SELECT count(*) AS sampled FROM pairs, step WHERE src % step.step = 0)")
+    + """SELECT n AS n_points, step, sampled, sampled * step AS estimate, CAST(ceil(sampled * step * 2.25::DOUBLE) AS BIGINT) AS of_references,
+    CAST(ceil(sampled * step * 1.25::DOUBLE) AS BIGINT) AS planned FROM s, step"""
+)
+def pair_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What shuffle_partitions() plans by."""
+    return estimates.pair_estimate(sources.from_embeddings(spark, sf_dir), EMB[0])
+
+
+@query(_with(EVENTS_SQL, EVENTS[0], "pairs") + "SELECT src AS id, count(*) AS n FROM pairs GROUP BY src")
+def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """neighbor_count by a table of points that is bucketed by cell, saved and loaded again."""
+    pts, table = sources.from_events(spark, sf_dir), f"points_{uuid.uuid4().hex}"
+    sinks.save_index(pts, table, EVENTS[0], buckets=8)
+    try:
+        return cut(neighbors.indexed_counts(pts, sinks.load_index(spark, table, EVENTS[0]), EVENTS[0]))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 # Clustering
 
 
@@ -449,17 +471,6 @@ def cluster_id_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.offsets(placed.select("part", (F.col("id") % 17).alias("cluster")))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_orderkey + l_suppkey AS b FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0),
-    sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    reach AS (SELECT a AS root, a AS id FROM sym UNION SELECT r.root, l.b FROM reach r JOIN sym l ON l.a = r.id AND l.b > r.root)
-    SELECT id, min(root) AS component FROM reach GROUP BY id"""
-)
-def union_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1 AND l_orderkey % 3 = 0")
-    return connected_components(items.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + F.col("l_suppkey")).alias("b")))
-
-
 @query(
     """WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_orderkey + l_suppkey AS b FROM lineitem),
     sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -467,8 +478,8 @@ def union_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION SELECT s.b, min(c.component) FROM cc c JOIN sym s ON s.a = c.id JOIN recurring.cc t ON t.id = s.b AND c.component < t.component GROUP BY s.b)
     SELECT id, component FROM cc"""
 )
-def union_find_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all lineitem edges; union_find has those of a third of the orders' first lines."""
+def union_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the edges that all line items make."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return connected_components(items.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + F.col("l_suppkey")).alias("b")))
 
@@ -496,12 +507,15 @@ def shadow_reference_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.reference_points(pts, EMB[0]).join(bins, "cx", "left_semi")
 
 
-@query(_emb_labels() + "SELECT cluster, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM labels WHERE cluster > 0 GROUP BY cluster")
+@query(
+    _emb_labels("boxes AS (SELECT cluster, count(*) AS n, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM labels WHERE cluster > 0 GROUP BY cluster)")
+    + "SELECT boxes.*, id FROM labels JOIN boxes USING (cluster)"
+)
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each cluster's members and bounding box."""
-    found = _cluster(spark, sf_dir).where("cluster > 0").groupBy("cluster")
-    ids = F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",")
-    return found.agg(F.count("*").alias("n"), ids.alias("ids"), *(f(c).alias(f"{c}{f.__name__}") for c in "xy" for f in (F.min, F.max)))
+    """Each cluster's members, a row for each, with the cluster's size and bounding box."""
+    found = cut(_cluster(spark, sf_dir).where("cluster > 0"))
+    boxes = found.groupBy("cluster").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}{f.__name__}") for c in "xy" for f in (F.min, F.max)))
+    return found.select("cluster", "id").join(boxes, "cluster")
 
 
 @query(_LOCAL_SQL + "SELECT part, count(DISTINCT local) AS n_clusters, max(local) AS most, count(*) AS n_core FROM local JOIN placed USING (id) GROUP BY part")
@@ -522,7 +536,7 @@ def cell_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels written as text, one line each in the order of ids, and read back."""
     path = shared_folder(spark, "labels")
-    _cluster(spark, sf_dir).coalesce(1).orderBy("id").select("cluster", "role").write.csv(path)
+    _cluster(spark, sf_dir).orderBy("id").select("cluster", "role").write.csv(path)
     return sources.read_labels(spark, path)
 
 
@@ -573,15 +587,23 @@ def dim_variance_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimates.variance_order(sources.from_events(spark, sf_dir), 100).withColumn("variance", F.round("variance", 6))
 
 
-@query(_with(CUST_SQL, 1.0) + "SELECT id, CAST(ceil(x / 180.0::DOUBLE * 180.0::DOUBLE) AS BIGINT) AS bin_x, CAST(ceil(y / 360.0::DOUBLE * 360.0::DOUBLE) AS BIGINT) AS bin_y FROM pts")
+@query(
+    _with(CUST_SQL, 1.0, "b AS (SELECT id, CAST(ceil(x / 180.0::DOUBLE * 180.0::DOUBLE) AS BIGINT) AS bin_x, CAST(ceil(y / 360.0::DOUBLE * 360.0::DOUBLE) AS BIGINT) AS bin_y FROM pts)")
+    + "SELECT *, row_number() OVER (ORDER BY bin_x, bin_y, id) AS place FROM b"
+)
 def degree_bin_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     bx, by = geometry.degree_bins(F.col("x"), F.col("y"))
-    return sources.from_customers(spark, sf_dir).select("id", bx.alias("bin_x"), by.alias("bin_y")).orderBy("bin_x", "bin_y")
+    found = sources.from_customers(spark, sf_dir).select("id", bx.alias("bin_x"), by.alias("bin_y"))
+    return ordinal(found, ["bin_x", "bin_y", "id"], "place")
 
 
-@query(_with(CUST_SQL, 1.0) + "SELECT id, CAST(trunc(x) AS BIGINT) AS key_x, CAST(trunc(y) AS BIGINT) AS key_y FROM pts")
+@query(
+    _with(CUST_SQL, 1.0, "k AS (SELECT id, CAST(trunc(x) AS BIGINT) AS key_x, CAST(trunc(y) AS BIGINT) AS key_y FROM pts)")
+    + "SELECT *, row_number() OVER (ORDER BY key_x, key_y, id) AS place FROM k"
+)
 def truncated_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.from_customers(spark, sf_dir).select("id", F.col("x").cast("long").alias("key_x"), F.col("y").cast("long").alias("key_y")).orderBy("key_x", "key_y", "id")
+    found = sources.from_customers(spark, sf_dir).select("id", F.col("x").cast("long").alias("key_x"), F.col("y").cast("long").alias("key_y"))
+    return ordinal(found, ["key_x", "key_y", "id"], "place")
 
 
 @query(_with(EMB_SQL, 0.2, "box", "dims", "celled") + "SELECT cx, cy, id, row_number() OVER (PARTITION BY cx, cy ORDER BY x, id) AS place FROM celled")
@@ -603,30 +625,73 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(CUST_SQL, 1.0) + "SELECT row_number() OVER (ORDER BY id) - 1 AS id, x, y FROM pts")
 def csv_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points written as text, one file in the order of ids, and read back."""
+    """Points written as text in the order of ids, and read back."""
     path = shared_folder(spark, "points")
-    sources.from_customers(spark, sf_dir).coalesce(1).orderBy("id").select("x", "y").write.csv(path)
+    sources.from_customers(spark, sf_dir).orderBy("id").select("x", "y").write.csv(path)
     return sources.read_csv(spark, path)
 
 
 @query(
-    """SELECT 'embeddings' AS dataset, '0.02' AS eps, '4' AS min_pts, n_labels, printf('%.3e', noise_fraction) AS noise_fraction FROM ("""
+    """SELECT true AS timed, 'embeddings' AS dataset, '0.02' AS eps, '4' AS min_pts, 'auto' AS dense_cells, true AS parted, n_labels, printf('%.3e', noise_fraction) AS noise_fraction FROM ("""
     + _emb_labels() + _SUMMARY + ")"
 )
 def stats_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line of figures that a run appends, read back."""
     path = f"{shared_folder(spark, 'stats')}/{uuid.uuid4().hex}"
-    sinks.append_stats(metrics.summary(_cluster(spark, sf_dir)), path, dataset="embeddings", eps=EMB[0], min_pts=EMB[1])
-    return spark.read.schema("dataset string, eps string, min_pts string, n_labels long, noise_fraction string").csv(path)
+    began = time.perf_counter()
+    summary = cut(metrics.summary(_cluster(spark, sf_dir)))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sinks.append_stats(summary, path, time.perf_counter() - began, partitions, dataset="embeddings", eps=EMB[0], min_pts=EMB[1], dense_cells="auto")
+    line = spark.read.schema("seconds double, dataset string, eps string, min_pts string, dense_cells string, partitions int, n_labels long, noise_fraction string").csv(path)
+    timed, parted = (F.col("seconds") > 0).alias("timed"), (F.col("partitions") > 0).alias("parted")
+    return line.select(timed, "dataset", "eps", "min_pts", "dense_cells", parted, "n_labels", "noise_fraction")
 
 
 @query()
+def stage_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of a clustering, with seconds and rows."""
+    with traced() as steps:
+        _cluster(spark, sf_dir)
+    return spark.createDataFrame([(n, s.what, s.seconds, s.rows) for n, s in enumerate(steps, 1)], "place int, what string, seconds double, n_rows long")
+
+
+@query("SELECT 10000 AS n, 10000 AS ids, true AS inside, true AS spread")
 def synthetic_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.uniform(spark, 10_000)
+    """Generated points: how many, whether all lie in the box, and whether each tenth of both axes has its share."""
+    pts = sources.uniform(spark, 10_000)
+    inside = F.min((F.col("x") >= 0) & (F.col("x") < 360) & (F.col("y") >= -90) & (F.col("y") < 90)).alias("inside")
+    tenths = [F.count_if((F.col("x") >= 36 * k) & (F.col("x") < 36 * (k + 1))) for k in range(10)]
+    tenths += [F.count_if((F.col("y") >= 18 * k - 90) & (F.col("y") < 18 * k - 72)) for k in range(10)]
+    spread = (F.least(*tenths).between(800, 1200) & F.greatest(*tenths).between(800, 1200)).alias("spread")
+    return pts.agg(F.count("*").cast("int").alias("n"), F.count_distinct("id").cast("int").alias("ids"), inside, spread)
 
 
-@query("SELECT CAST(n AS BIGINT) AS part, CAST(n * (n + 1) / 2 AS BIGINT) AS total FROM range(1, 1001) t(n)")
+@query("SELECT o_orderkey AS key, CAST(sum(o_custkey) OVER (ORDER BY o_orderkey) AS BIGINT) AS total FROM orders")
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys lie 1,000 apart, so they fill 16 blocks and the sums of earlier ones are carried."""
-    rows = spark.range(1, 1001).select((F.col("id") * 1000).alias("key"), F.col("id").alias("part"), F.col("id").alias("n"))
-    return running_sum(rows, "key", "n", "total").select("part", "total")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("long").alias("n"))
+    return running_sum(rows, "key", "n", "total").select("key", "total")
+
+
+@query(
+    _with(EVENTS_SQL, 1.0, "sampled AS (SELECT x, y FROM pts WHERE id % 100 = 0)", "turned AS (SELECT var_pop(y) > var_pop(x) AS t FROM sampled)")
+    + "SELECT id, CASE WHEN t THEN y ELSE x END AS d1, CASE WHEN t THEN x ELSE y END AS d2 FROM pts, turned"
+)
+def dims_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estimates.permuted(sources.from_events(spark, sf_dir), 100)
+
+
+@query(
+    _emb_labels("arrivals AS (SELECT id, x + 0.01::DOUBLE AS x, y FROM pts)")
+    + """SELECT a.id, a.x, a.y, CAST(coalesce(min(l.cluster), 0) AS INTEGER) AS cluster FROM arrivals a LEFT JOIN labels l ON l.is_core
+    AND sqrt((a.x - l.x) * (a.x - l.x) + (a.y - l.y) * (a.y - l.y)) <= 0.02 GROUP BY a.id, a.x, a.y"""
+)
+def label_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that arrive in a stream after a clustering, a little to the right of those that were clustered."""
+    folder = shared_folder(spark, "arrivals")
+    pts = sources.from_embeddings(spark, sf_dir)
+    labels = cut(dbscan.cluster(pts, *EMB))
+    moved = pts.select("id", (F.col("x") + F.lit(0.01)).alias("x"), "y", F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    moved.repartition(4).write.parquet(f"{folder}/in")
+    stream = streaming.read_points(spark, f"{folder}/in", files_a_batch=2)
+    streaming.label_arrivals(stream, labels, EMB[0], f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id long, x double, y double, cluster int").parquet(f"{folder}/out").select("id", "x", "y", "cluster")

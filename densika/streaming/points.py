@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-from densika.functions.geometry import PRUNING, distance
+from densika.operators.neighbors import range_join
 
 POINT = "id long, x double, y double, ts timestamp"
 
@@ -21,21 +22,21 @@ def cell_counts(stream: DataFrame, side: float, window: str = "1 hour", late: st
     return stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("window"), *cells).agg(F.count("*").alias("n"))
 
 
-def label_arrivals(stream: DataFrame, labels: DataFrame, eps: float) -> DataFrame:
-    """id, x, y, cluster of each arrival: the smallest cluster that has a core point within eps, or 0.
+def label_batch(arrivals: DataFrame, labels: DataFrame, eps: float) -> DataFrame:
+    """id, x, y, cluster of each arrival: the smallest cluster that has a core point within eps, or 0. Ids are distinct."""
+    core = labels.where("is_core").select("x", "y", "cluster")
+    found = range_join(arrivals, core, eps, ["id"], ["cluster"]).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    return arrivals.select("id", "x", "y").join(found, "id", "left").select("id", "x", "y", F.coalesce("cluster", F.lit(0)).cast("int").alias("cluster"))
 
-    A stream-static equi-join on cells: a cell's row holds the core points of the nine cells around it, smallest cluster
-    first, and an arrival meets one row, so nothing is aggregated and the stream stays in append mode. eps should be such
-    that nine cells' core points fit in a row; cluster() takes denser data.
+
+def label_arrivals(stream: DataFrame, labels: DataFrame, eps: float, folder: str, checkpoint: str) -> DataStreamWriter:
+    """A query, to be started, that writes label_batch() of each micro-batch to a folder.
+
+    A batch is joined as a table is, so however many core points lie around an arrival, no row holds them. A batch that is
+    run again after a failure replaces what it had written.
     """
-    side = F.lit(eps * PRUNING)
-    steps = F.array(*(F.lit(k).cast("long") for k in (-1, 0, 1)))
-    core = labels.where("is_core").select(F.col("x").alias("px"), F.col("y").alias("py"), "cluster", F.explode(steps).alias("i"))
-    core = core.select("*", F.explode(steps).alias("j")).select(
-        "px", "py", "cluster", (F.floor(F.col("px") / side) + F.col("i")).cast("long").alias("cx"), (F.floor(F.col("py") / side) + F.col("j")).cast("long").alias("cy")
-    )
-    held = core.groupBy("cx", "cy").agg(F.array_sort(F.collect_set(F.struct("cluster", "px", "py"))).alias("cores"))
-    own = stream.withColumns({"cx": F.floor(F.col("x") / side).cast("long"), "cy": F.floor(F.col("y") / side).cast("long")})
-    joined = own.join(held, ["cx", "cy"], "left")
-    near = F.filter("cores", lambda c: distance(F.col("x"), F.col("y"), c["px"], c["py"]) <= F.lit(float(eps)))
-    return joined.select("id", "x", "y", F.coalesce(F.get(F.transform(near, lambda c: c["cluster"]), F.lit(0)), F.lit(0)).cast("int").alias("cluster"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        label_batch(batch, labels, eps).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

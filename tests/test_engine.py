@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from densika.operators import dbscan, dense, grid, metrics, neighbors, partitioning
 from densika.operators.components import connected_components
+from densika.operators.lineage import shared_folder, traced
 from densika.operators.ordered import ordinal, running_sum
 from densika.plans import estimates
 from densika.sources import points as sources
@@ -141,6 +142,20 @@ def test_running_sums_cross_blocks(spark):
     df = spark.createDataFrame([(k, 2) for k in keys], "k long, v long")
     assert {(r["k"], r["s"]) for r in running_sum(df, "k", "v", "s").collect()} == {(k, 2 * (i + 1)) for i, k in enumerate(sorted(keys))}
     assert {(r["k"], r["p"]) for r in ordinal(df, "k", "p").collect()} == {(k, i + 1) for i, k in enumerate(sorted(keys))}
+    assert ordinal(df.limit(0), "k", "p").count() == 0
+
+
+def test_ordinals_of_sparse_keys_have_no_single_task(spark):
+    """Hashed ids, alone, by group, and with ties that a second column tells apart."""
+    df = spark.range(5000).select(F.xxhash64("id").alias("k"), (F.col("id") % 3).alias("g"), (F.col("id") % 50).alias("t"))
+    rows = df.collect()
+    found = ordinal(df, "k", "p")
+    assert [r["k"] for r in found.orderBy("p").collect()] == sorted(r["k"] for r in rows)
+    assert not any("SinglePartition" in line for line in found._jdf.queryExecution().toString().splitlines())
+    assert [(r["t"], r["k"]) for r in ordinal(df, ["t", "k"], "p").orderBy("p").collect()] == sorted((r["t"], r["k"]) for r in rows)
+    for g in range(3):
+        own = ordinal(df, "k", "p", ("g",)).where(F.col("g") == g).orderBy("p").collect()
+        assert [(r["p"], r["k"]) for r in own] == list(enumerate(sorted(r["k"] for r in rows if r["g"] == g), 1))
 
 
 def test_partitions_cover_the_points(spark):
@@ -178,14 +193,35 @@ def test_csv(spark, tmp_path):
         sources.read_csv(spark, str(path), bad_rows="fail").collect()
     labels = tmp_path / "labels.txt"
     labels.write_text("3,x\n0\n-1,7\n")
-    assert [r["cluster"] for r in sources.read_labels(spark, str(labels)).orderBy("place").collect()] == [3, 0, -1]
+    assert [tuple(r) for r in sources.read_labels(spark, str(labels)).orderBy("place").collect()] == [(0, 3), (1, 0), (2, -1)]
+
+
+def test_places_in_many_files_and_splits(spark, tmp_path):
+    """Ids follow files and lines, however files of different sizes are split and dealt to tasks."""
+    folder, n = tmp_path / "many", 0
+    folder.mkdir()
+    for k, size in enumerate((3000, 10, 40_000, 0, 700)):
+        (folder / f"part-{k}.txt").write_text("".join(f"{n + i},{k}\n" for i in range(size)) + "junk,\n" * k)
+        n += size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        points = sources.read_csv(spark, str(folder))
+        assert points.rdd.getNumPartitions() > 3 and points.count() == n
+        assert points.where("id <> CAST(x AS long)").count() == 0
+        lines = "".join(p.read_text() for p in sorted(folder.iterdir())).splitlines()
+        labels = sources.read_labels(spark, str(folder)).orderBy("place").collect()
+        assert [tuple(r) for r in labels] == [(i, None if x.startswith("junk") else int(x.split(",")[0])) for i, x in enumerate(lines)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sources.read_csv(spark, str(folder / "part-3.txt")).count() == 0
 
 
 def test_sinks(spark, tmp_path):
     labels = dbscan.cluster(frame(spark, MICRO["blobs"][0]), 1.5, 3)
     for _ in range(2):
-        sinks.append_stats(metrics.summary(labels), str(tmp_path / "stats"), eps=1.5)
-    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "stats")).collect()] == [("1.5", "3", "1.111e-01")] * 2
+        sinks.append_stats(metrics.summary(labels), str(tmp_path / "stats"), 12.5, 4, eps=1.5)
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "stats")).collect()] == [("12.5000", "1.5", "4", "3", "1.111e-01")] * 2
     sinks.write_plot_sample(labels, str(tmp_path / "plot"), least=1, every=2, box=(-100, 100, -100, 100))
     assert sorted(int(r["id"]) for r in spark.read.option("header", True).csv(str(tmp_path / "plot")).collect()) == [0, 2, 4, 6]
     sinks.write_labels(labels, str(tmp_path / "labels"))
@@ -196,7 +232,57 @@ def test_range_join_is_an_equi_join(spark):
     names = estimates.operators_of(neighbors.pairs(frame(spark, BLOB), 1.0))
     assert not any("Cartesian" in n or "NestedLoop" in n for n in names)
     assert any("Join" in n for n in names)
-    assert estimates.shuffle_partitions(frame(spark, BLOB), 1.0, k=1) == 8
+    assert not any("BroadcastNestedLoop" in n for n in names)
+    with pytest.raises(ValueError, match="pairs"):
+        neighbors.pairs_brute(spark.range(neighbors.BRUTE_POINTS + 1).selectExpr("id", "0.0 AS x", "0.0 AS y"), 1.0)
+
+
+def test_estimates_choose_partitions(spark, monkeypatch):
+    assert [estimates.sampling_step(n) for n in (10, 2_000_000, 2_000_001, 50_000_000)] == [100, 100, 51, 1250]
+    points = frame(spark, [(0.001 * k, 0.0) for k in range(1000)])
+    row = estimates.pair_estimate(points, 2.0).first()
+    assert (row["n_points"], row["step"], row["sampled"], row["estimate"], row["of_references"], row["planned"]) == (1000, 100, 10_000, 10**6, 2_250_000, 1_250_000)
+    assert estimates.shuffle_partitions(points, 2.0) == 8
+    monkeypatch.setattr(estimates, "PARTITION_BYTES", 1 << 20)
+    assert estimates.shuffle_partitions(points, 2.0) == 29
+    some = dbscan.cluster(points, 0.0015, 3, partitions="auto").collect()
+    assert sorted(some) == sorted(dbscan.cluster(points, 0.0015, 3).collect()) == sorted(dbscan.cluster(points, 0.0015, 3, partitions=3, dense_cells=True).collect())
+
+
+def test_saved_index_isnt_shuffled(spark):
+    points = frame(spark, [(random.Random(k).random() * 9, k % 7 + 0.5) for k in range(300)])
+    sinks.save_index(points, "index_of_points", 1.0, buckets=4)
+    try:
+        index = sinks.load_index(spark, "index_of_points", 1.0)
+        found = neighbors.indexed_counts(points, index, 1.0)
+        assert sorted(found.collect()) == sorted(neighbors.neighbor_counts(points, 1.0).collect())
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        names = estimates.operators_of(neighbors.range_join(points, index, 1.0, ["id"], ["id dst"], indexed=True))
+        assert sum("Exchange" in n for n in names) == 1
+        with pytest.raises(ValueError, match="radius"):
+            sinks.load_index(spark, "index_of_points", 2.0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE index_of_points")
+
+
+def test_stages_are_traced(spark, caplog):
+    with caplog.at_level("INFO", "densika"), traced() as steps:
+        labels = dbscan.cluster(frame(spark, MICRO["blobs"][0]), 1.5, 3)
+    assert labels.count() == 9 and next(s.rows for s in steps if s.what == "core points") == 9
+    assert all(s.seconds > 0 for s in steps) and len({s.what for s in steps}) >= 4 and len(caplog.records) == len(steps)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Session:
+        class sparkContext:  # noqa: N801
+            @staticmethod
+            def getConf():
+                return {"spark.master": "spark://somewhere:7077"}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session, "x")
+    assert shared_folder(spark, "x") != shared_folder(spark, "x")
 
 
 def test_uniform(spark):
@@ -215,9 +301,10 @@ def test_streams(spark, tmp_path):
     stamped = points.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60))
     stamped.write.parquet(str(tmp_path / "in"))
     stream = streaming.read_points(spark, str(tmp_path / "in"))
-    run = streaming.label_arrivals(stream, labels, 1.5).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
+    run = streaming.label_arrivals(stream, labels, 1.5, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination()
-    assert {(r["id"], r["cluster"]) for r in spark.table("arrived").collect()} == {(r["id"], r["cluster"]) for r in labels.collect()}
+    arrived = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["id"], r["cluster"]) for r in arrived) == sorted((r["id"], r["cluster"]) for r in labels.collect())
     run = streaming.cell_counts(stream, 5.0).writeStream.format("memory").outputMode("complete").queryName("counted").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted((r["cx"], r["cy"], r["n"]) for r in spark.table("counted").collect()) == [(0, 0, 4), (1, 1, 1), (2, 2, 4)]
