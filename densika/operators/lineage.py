@@ -55,6 +55,12 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/densika-{what}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever it is stored, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Spark then deletes an execution's shuffle files as soon as it ends; what is cut is never read from them again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
