@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densika.operators.lineage import cut, shared_folder
+from densika.operators.lineage import cut, drop_folder, shared_folder
 
 __all__ = [
-    "LOWER", "cut", "gave_back", "held_out", "keep_rows", "lists", "make_importable", "map_batches", "mixed", "pack", "pack_parts", "read", "remainder", "remembered", "shared_folder", "slices", "unpack",
+    "LOWER", "cut", "drop_folder", "gave_back", "held_out", "keep_rows", "lists", "make_importable", "map_batches", "mixed", "pack", "pack_parts", "read", "remainder", "remembered", "shared_folder", "slices", "unpack",
 ]
 
 T = TypeVar("T")

@@ -5,8 +5,8 @@ removed. Strings are compared as windows of their texts.
 
 1. Anchors. In each window one of its WINDOW substrings is the anchor, the one with the least hash, so equal windows have
    equal anchors at the same place. Windows in a row with the same anchor make a segment. Anchors are counted by bucket of
-   their hash; a bitmap of fixed size (SHARED_BITS) tells which ones two documents share; a second one those that many
-   documents (Limits.hot) or more share. False positives of either cost time only.
+   their hash; a bitmap, sized by their number up to Limits.shared_bits, tells which ones two documents share; a second one those
+   that many documents (Limits.hot) or more share. False positives of either cost time only, also where a bitmap is full.
 2. Segments with a shared anchor are collected, equal ones of a task once, with the smallest id that has them; hot anchors
    are taken apart into windows, each dealt by its own hash, so an anchor that a third of all documents share meets in
    no one task.
@@ -17,7 +17,7 @@ removed. Strings are compared as windows of their texts.
    common prefixes. Blocks that last to depth ``length`` are the repeated intervals; no window is compared with another
    and no suffix is sorted again. The block's smallest id decides for each window.
 4. Decisions return to the task's documents by the task's number and the bucket, and become spans; texts with spans, told
-   apart by a bitmap of fixed size, meet them in a join by row.
+   apart by a bitmap of their rows, meet them in a join by row. Rows are known by 128 bits of id and text.
 
 Defined results: null and empty texts have nothing to remove; texts shorter than ``length`` are kept whole; a missing id
 counts as larger than all others; rows that share an id don't remove anything from one another; texts of any length are
@@ -34,14 +34,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densika.llm.common import cut, gave_back, lists, mixed, pack, remembered, slices, unpack
 
 #: Substrings in a window among which the anchor is chosen; their length is ``length`` - WINDOW + 1.
 WINDOW = 27
-SHARED_BITS, HOT_BITS, ROW_BITS = 1 << 28, 1 << 22, 1 << 25
+#: Bits of a bitmap for each entry, as long as it may grow.
+BITS_PER_ENTRY = 12
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,9 @@ class Limits:
     chunk: int = 1 << 20  # bytes of text whose anchors are found together
     flush: int = 8 << 20  # bytes of contents that a task collects before it passes them on
     shard: int = 1 << 16  # windows of a transform
+    shared_bits: int = 1 << 29  # the largest bitmaps: of shared anchors, of hot ones, and of rows with spans
+    hot_bits: int = 1 << 22
+    row_bits: int = 1 << 27
 
 
 LIMITS = Limits()
@@ -120,35 +124,40 @@ def ids_of(values: list) -> np.ndarray:
     return np.array([NO_ID if i is None else i for i in values], np.int64)
 
 
-def bits_of(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def bits_of(h: np.ndarray, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Two places of each hash in a bitmap of that size."""
     g = mixed(h)
-    return (g & U(0xFFFFFFFF)) % U(size), (g >> U(32)) % U(size)
+    return (g & U(0xFFFFFFFF)) % size, (g >> U(32)) % size
 
 
 class Bitmap:
     """One segment for each bucket of a hash's remainder."""
 
-    def __init__(self, parts: list[bytes], bits: int):
-        self.n, self.size, self.data = U(len(parts)), bits, np.frombuffer(b"".join(parts), np.uint8)
+    def __init__(self, parts: list[bytes]):
+        self.n, self.data = U(len(parts)), np.frombuffer(b"".join(parts), np.uint8)
+        self.size = np.array([8 * len(x) for x in parts], U)
+        self.start = np.concatenate([[U(0)], np.cumsum(self.size)[:-1]]).astype(U)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        base, out = (h % self.n) * U(self.size), np.ones(len(h), bool)
-        for p in bits_of(h // self.n & U(0xFFFFFFFF), self.size):
+        bucket = (h % self.n).astype(np.int64)
+        base, out = self.start[bucket], np.ones(len(h), bool)
+        for p in bits_of(h // self.n & U(0xFFFFFFFF), self.size[bucket]):
             at = base + p
             out &= (self.data[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
     @staticmethod
-    def part(rest: np.ndarray, bits: int) -> bytes:
+    def part(rest: np.ndarray, most: int) -> bytes:
+        """The segment of some entries, of at most so many bits."""
+        bits = min(most, max(64, len(rest) * BITS_PER_ENTRY // 64 * 64))
         out = np.zeros(bits, bool)
-        for p in bits_of(rest, bits):
+        for p in bits_of(rest, U(bits)):
             out[p] = True
         return np.packbits(out, bitorder="little").tobytes()
 
 
 def part_bits(total: int, buckets: int) -> int:
-    """A bucket's share of a bitmap; buckets are a power of two, and a word each if they are very many."""
+    """A bucket's share of the largest bitmap; buckets are a power of two, and a word each if they are very many."""
     return max(64, total // buckets)
 
 
@@ -202,8 +211,8 @@ def shared_anchors(table: pa.Table, buckets: int, limits: Limits) -> pa.Table:
     rest, count = rest[order], count[order]
     first = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
     total, rest = np.add.reduceat(count, first), rest[first].astype(U)
-    shared = Bitmap.part(rest[total > 1], part_bits(SHARED_BITS, buckets))
-    hot = Bitmap.part(rest[total >= limits.hot], part_bits(HOT_BITS, buckets))
+    shared = Bitmap.part(rest[total > 1], part_bits(limits.shared_bits, buckets))
+    hot = Bitmap.part(rest[total >= limits.hot], part_bits(limits.hot_bits, buckets))
     return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "shared": [shared], "hot": [hot]})
 
 
@@ -223,12 +232,14 @@ class Collector:
         self.index: dict[bytes, int] = {}
         self.found: list[tuple[np.ndarray, ...]] = []  # content, key, row, start
         self.row_keys: list[int] = []
+        self.row_more: list[int] = []
         self.ids: list[int] = []
         self.bytes = 0
 
-    def add(self, row_keys: list[int], ids: list, texts: list[bytes | None]) -> None:
+    def add(self, row_keys: list[int], row_more: list[int], ids: list, texts: list[bytes | None]) -> None:
         base, index, length = len(self.row_keys), self.index, self.length
         self.row_keys += row_keys
+        self.row_more += row_more
         self.ids += ids_of(ids).tolist()
         for data, h, row, start, a, b in segments(texts, length, self.limits.chunk):
             live = np.flatnonzero(self.shared.has(h))
@@ -262,7 +273,7 @@ class Collector:
         by = np.argsort(bucket[content], kind="stable")
         occurs = np.searchsorted(bucket[content][by], np.arange(self.buckets + 1))
         content, row, start = (x[by].astype("<u4") for x in (place[content], row, start))
-        rows = [(task, -1, pack(np.array(self.row_keys, "<i8"), np.array(self.ids, "<i8")), b"", b"")]
+        rows = [(task, -1, pack(*(np.array(x, "<i8") for x in (self.row_keys, self.row_more, self.ids))), b"", b"")]
         rest = (keys // U(self.buckets)).astype("<u4")
         for b in np.flatnonzero(np.diff(ends)).tolist():
             own, at = order[ends[b] : ends[b + 1]], slice(occurs[b], occurs[b + 1])
@@ -360,7 +371,7 @@ def spans_of(table: pa.Table, length: int) -> pa.Table:
     remembered("spans")
     rows = table.to_pylist()
     head = next(r for r in rows if r["bucket"] < 0)
-    row_keys, ids = unpack(head["contents"], "<i8", "<i8")
+    row_keys, row_more, ids = unpack(head["contents"], "<i8", "<i8", "<i8")
     found: list[tuple[np.ndarray, ...]] = []
     for r in rows:
         if r["bucket"] < 0:
@@ -377,7 +388,7 @@ def spans_of(table: pa.Table, length: int) -> pa.Table:
     row, a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
     order = np.lexsort((a, row))
     row, a, b = row[order], a[order], b[order]
-    keys, spans = [], []
+    keys, more, spans = [], [], []
     if len(row):
         reach = np.maximum.accumulate((row << 32) + b)  # rows ascend, so a row's reach exceeds all of the rows before
         new = np.concatenate([[True], (row[1:] << 32) + a[1:] > reach[:-1]])
@@ -385,24 +396,31 @@ def spans_of(table: pa.Table, length: int) -> pa.Table:
         row, a, b = row[first], a[first], np.maximum.reduceat(b, first)
         at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         flat = np.stack([a, b], 1).astype("<i8")
-        keys, spans = row_keys[row[at]], [x.tobytes() for x in np.split(flat, at[1:])]
+        keys, more, spans = row_keys[row[at]], row_more[row[at]], [x.tobytes() for x in np.split(flat, at[1:])]
     gave_back()
-    return pa.table({"row_key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
+    return pa.table({"row_key": pa.array(keys, pa.int64()), "row_more": pa.array(more, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
 
-def row_places(row_keys: np.ndarray) -> np.ndarray:
-    return (mixed(row_keys.view(U)) % U(ROW_BITS)).astype(np.int64)
+def row_places(row_keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(row_keys.view(U)) % U(bits)).astype(np.int64)
 
 
 KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def row_names(row_id: Column, text: Column) -> list[Column]:
+    """128 bits in which rows agree that agree in id and text."""
+    return [F.xxhash64(row_id, text), F.xxhash64(F.lit("more"), text, row_id)]
+
+
 def narrowed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and a key in which rows agree that agree in both."""
+    """id, text and keys in which rows agree that agree in both."""
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return own.withColumn("row_key", F.xxhash64("id", "text"))
+    return own.select("*", *(c.alias(name) for c, name in zip(row_names(F.col("id"), F.col("text")), ("row_key", "row_more"), strict=True)))
 
 
 def repeat_spans(texts: DataFrame, length: int, limits: Limits = LIMITS) -> DataFrame:
-    """row_key, spans: what to remove from each row of narrowed() that repeats something, as pairs of 64-bit integers."""
+    """row_key, row_more, spans: what to remove from each row of narrowed() that repeats something, as pairs of 64-bit integers."""
     if length % 2 or length < WINDOW + 7 or length > 1 << 16:
         raise ValueError("length must be even and at least 34")
     spark = texts.sparkSession
@@ -411,11 +429,10 @@ def repeat_spans(texts: DataFrame, length: int, limits: Limits = LIMITS) -> Data
         buckets *= 2
     counted = texts.mapInArrow(count_anchors(length, buckets, limits), ANCHORS).groupBy("bucket")
     parts = counted.applyInArrow(lambda t: shared_anchors(t, buckets, limits), "bucket int, shared binary, hot binary")
-    sizes = part_bits(SHARED_BITS, buckets), part_bits(HOT_BITS, buckets)
-    shared, hot = ([bytes(n // 8)] * buckets for n in sizes)
-    for r in cut(parts).toLocalIterator():  # bitmaps of fixed sizes
+    shared, hot = [bytes(8)] * buckets, [bytes(8)] * buckets
+    for r in cut(parts).toLocalIterator():  # bitmaps of bounded sizes
         shared[r["bucket"]], hot[r["bucket"]] = bytes(r["shared"]), bytes(r["hot"])
-    maps = spark.sparkContext.broadcast((Bitmap(shared, sizes[0]), Bitmap(hot, sizes[1])))
+    maps = spark.sparkContext.broadcast((Bitmap(shared), Bitmap(hot)))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         collector = Collector(length, buckets, limits, *maps.value)
@@ -423,7 +440,7 @@ def repeat_spans(texts: DataFrame, length: int, limits: Limits = LIMITS) -> Data
         remembered("anchors")
         for batch in slices(batches, 256):
             columns = lists(batch)
-            collector.add(columns["row_key"], columns["id"], columns["text"])
+            collector.add(columns["row_key"], columns["row_more"], columns["id"], columns["text"])
             if collector.bytes >= limits.flush:
                 yield collector.flush(task)
                 task += 1
@@ -435,7 +452,7 @@ def repeat_spans(texts: DataFrame, length: int, limits: Limits = LIMITS) -> Data
     decided = decided.applyInArrow(lambda t: decide(t, length, limits), DECIDED)
     own = blocks.select("task", "bucket", "contents", "places")
     joined = own.join(decided, ["task", "bucket"], "left").groupBy("task")
-    return cut(joined.applyInArrow(lambda t: spans_of(t, length), "row_key long, spans binary").dropDuplicates(["row_key"]))
+    return cut(joined.applyInArrow(lambda t: spans_of(t, length), "row_key long, row_more long, spans binary").dropDuplicates(["row_key", "row_more"]))
 
 
 def without(text: bytes, spans: bytes | None) -> tuple[bytes, np.ndarray]:
@@ -452,18 +469,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     texts = narrowed(docs, id_col, text_col)
     spans = repeat_spans(texts, length, limits)
-    flags = docs.sparkSession.sparkContext.broadcast(row_bitmap(spans))
+    flags = docs.sparkSession.sparkContext.broadcast(row_bitmap(spans, limits.row_bits))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = flags.value
         remembered("spans")
         for batch in slices(batches):
             columns = lists(batch)
-            place = row_places(np.array(columns["row_key"], np.int64))
+            place = row_places(np.array(columns["row_key"], np.int64), 8 * len(bits))
             flagged = (bits[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
             own = [t or b"" for t in columns["text"]]
             yield pa.RecordBatch.from_pydict({
-                "row_key": batch.column("row_key"), "id": batch.column("id"), "n_bytes": pa.array([len(t) for t in own], pa.int64()),
+                "row_key": batch.column("row_key"), "row_more": batch.column("row_more"), "id": batch.column("id"), "n_bytes": pa.array([len(t) for t in own], pa.int64()),
                 "sha": pa.array([None if f else hashlib.sha256(t).hexdigest() for t, f in zip(own, flagged, strict=True)], pa.string()),
                 "text": pa.array([pa.compress(t, "zstd", asbytes=True) if f else None for t, f in zip(own, flagged, strict=True)], pa.binary()),
             })
@@ -483,13 +500,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = zip(*out, strict=True) if out else ([] for _ in fields)
             yield pa.RecordBatch.from_pydict({n: pa.array(c, KINDS[k]) for (n, k), c in zip(fields, columns, strict=True)})
 
-    rows = texts.mapInArrow(split, "row_key long, id long, n_bytes long, sha string, text binary").join(spans, "row_key", "left")
+    rows = texts.mapInArrow(split, "row_key long, row_more long, id long, n_bytes long, sha string, text binary").join(spans, ["row_key", "row_more"], "left")
     return rows.select("id", "n_bytes", "sha", "text", "spans").mapInArrow(finish, RESULT)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """docs with their columns, the texts without what repeats; bytes of a character that is cut in two go too."""
-    spans = repeat_spans(narrowed(docs, id_col, text_col), length).select(F.col("row_key").alias("span_key"), F.col("spans").alias("span_list"))
+    spans = repeat_spans(narrowed(docs, id_col, text_col), length).toDF("span_key", "span_more", "span_list")
 
     own = docs.columns.index(text_col)
 
@@ -503,23 +520,24 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(columns, docs_names)
 
     docs_names = list(docs.columns)
-    key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    joined = docs.join(spans, key == spans["span_key"], "left")
+    key, more = row_names(docs[id_col].cast("long"), docs[text_col].cast("string"))
+    joined = docs.join(spans, (key == spans["span_key"]) & (more == spans["span_more"]), "left")
     return joined.select(*(docs[c] for c in docs.columns), spans["span_list"]).mapInArrow(run, docs.schema)
 
 
-def row_bitmap(spans: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit for every row that has spans."""
+def row_bitmap(spans: DataFrame, most_bits: int) -> np.ndarray:
+    """A bitmap, sized by their number up to so many bits, with a bit for every row that has spans."""
+    size = min(most_bits, max(1 << 16, 1 << (8 * spans.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(row_places(batch.column("row_key").to_numpy()))
+            at = np.unique(row_places(batch.column("row_key").to_numpy(), size))
             bit = np.int64(1) << (at & 31)
             first = np.flatnonzero(np.concatenate([[True], (at >> 5)[1:] != (at >> 5)[:-1]])) if len(at) else at
             yield pa.RecordBatch.from_pydict({"word": pa.array((at >> 5)[first]), "bits": pa.array(np.bitwise_or.reduceat(bit, first) if len(at) else bit)})
 
     words = spans.select("row_key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(ROW_BITS, bool)
+    out = np.zeros(size, bool)
     word, bits = words["word"].to_numpy(), words["bits"].to_numpy()
     for k in range(32):
         out[word[(bits >> k & 1) == 1] * 32 + k] = True
