@@ -32,7 +32,8 @@ BITS = 14
 PER_LANGUAGE = 400
 #: A margin is the mean log-odds of a text's trigrams times SHARPNESS, or less for texts of few trigrams.
 SHARPNESS, FEW = 12.0, 24.0
-AMBIGUOUS = 0.2
+#: The shares of the two nearest codewords of an ambiguous text differ by less; so the second has a twentieth at least.
+AMBIGUOUS = 0.9
 UNDETERMINED = "und"
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 #: A-Z lower-cased; everything in ASCII that isn't a letter is a space.

@@ -1,6 +1,6 @@
 """Line-first cleaning of documents by rules (operator 10).
 
-Every line of a text is judged on its own: whether it ends as a sentence does, as navigation, as boilerplate (legal and
+Every line of a text is judged on its own: whether it ends as a sentence does (or is long and has sentences), as navigation, as boilerplate (legal and
 site phrases in the four languages of the corpus, and marks that no language needs), by symbols, capitals, stuttering words and
 as a repeat of an earlier line. Lines that fail are removed; a document that loses more than
 ``max_lost`` of its words is rejected. Nothing is shuffled: the operator is one pass over the texts.
@@ -24,6 +24,7 @@ from densika.llm.common import map_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
+SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)")
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$")
 SEPARATORS = frozenset("|>»•·/")
 SMALL, CAPITAL = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
@@ -35,7 +36,7 @@ PHRASES = {
     "": r"cookies?(?:[^a-z]|$)|javascript|©|®|https?://|www\.|[a-z0-9._-]+@[a-z0-9-]+\.[a-z]",
 }
 BOILERPLATE = re.compile("|".join(PHRASES.values()), re.IGNORECASE)
-#: A line of boilerplate has at most so many words.
+#: A line of boilerplate has at most so many words; a line of more is prose if a sentence ends anywhere in it.
 BOILERPLATE_WORDS = 25
 
 SCHEMA = (
@@ -84,7 +85,7 @@ def line_failure(line: str, words: list[str]) -> str | None:
         return "capitals"
     if n >= 4 and 3 * sum(a == b for a, b in zip(words, words[1:], strict=False)) >= n:
         return "stutter"
-    if not SENTENCE_END.search(line):
+    if not (SENTENCE_END.search(line) or (n > BOILERPLATE_WORDS and SENTENCE.search(line))):
         return "punctuation"
     return None
 

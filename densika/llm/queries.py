@@ -178,7 +178,8 @@ SQL: dict[str, str] = {
                 OR 2 * len(regexp_extract_all(l, '[#*$%&|<>]')) >= n
                 OR (n >= 3 AND regexp_matches(l, '\p{{Lu}}') AND NOT regexp_matches(l, '\p{{Ll}}'))
                 OR (n >= 4 AND 3 * len(list_filter(range(1, n), lambda j: ws[j] = ws[j + 1])) >= n)
-                OR NOT regexp_matches(l, '{_quoted(quality_rules.SENTENCE_END)}') AS bad
+                OR NOT (regexp_matches(l, '{_quoted(quality_rules.SENTENCE_END)}')
+                    OR (n > {quality_rules.BOILERPLATE_WORDS} AND regexp_matches(l, '{_quoted(quality_rules.SENTENCE)}'))) AS bad
             FROM y
         ),
         b AS (

@@ -362,6 +362,49 @@ def test_codewords_differ(n):
     assert all(1 <= (column > 0).sum() < n for column in code.T)
 
 
+def plain_decoding(model, text):
+    """Language, score, second language and flag of one text, from its trigrams one by one."""
+    data = b"  " + bytes(int(langid.FOLD[b]) for b in text.encode()) + b"  "
+    grams = [data[k : k + 3] for k in range(len(data) - 2)]
+    codes = [((g[0] << 16 | g[1] << 8 | g[2]) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.BITS) for g in grams if g != b"   "]
+    losses = []
+    for k in range(len(model.languages)):
+        loss = 0.0
+        for bit in range(model.code.shape[1]):
+            mean = sum(float(model.odds[bit][c]) for c in codes) / max(1, len(codes))
+            margin = langid.SHARPNESS * mean * min(1, math.sqrt(len(codes) / langid.FEW))
+            loss += math.log1p(math.exp(-margin * model.code[k][bit]))
+        losses.append(loss)
+    order = sorted(range(len(losses)), key=lambda k: (losses[k], k))
+    share = [math.exp(min(losses) - x) for x in losses]
+    first, second = order[0], order[1]
+    total = sum(share)
+    return model.languages[first], share[first] / total, model.languages[second], (share[first] - share[second]) / total < langid.AMBIGUOUS
+
+
+@pytest.mark.parametrize("n", [3, 7])
+def test_decoding_is_the_plain_one(spark, n):
+    """The nearest codeword by loss; texts in two languages are flagged, texts in one aren't."""
+    languages = list(ALPHABETS)[:n]
+    docs = language_corpus(spark, languages)
+    model = langid.learn(docs, "doc_id", "text", "lang")
+    rng = random.Random(1)
+
+    def text(lang, size):
+        return "".join(rng.choice(ALPHABETS[lang]) for _ in range(size))
+
+    mixed_texts = [" ".join(w for k in range(60) for w in (text("aa", 5), text("bb", 5))) for _ in range(10)]
+    texts = [*(text(x, size) for x in languages for size in (1, 4, 30, 200)), *mixed_texts, "a", "q! 1"]
+    first, score, second, close = langid.told(model, [t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        if first[k] != langid.UNDETERMINED:
+            lang, own, other, near = plain_decoding(model, t)
+            assert (first[k], bool(close[k])) == (lang, near) and score[k] == pytest.approx(own, abs=5e-3)
+            assert second[k] == other or own > 0.999  # others may be equally far
+    flagged = dict(zip(texts, close, strict=True))
+    assert any(flagged[t] for t in mixed_texts) and not any(flagged[t] for t in texts if len(t) == 200)
+
+
 def test_languages_of_odd_documents(spark, docs, none):
     model = langid.learn(docs, "doc_id", "text", "lang")
     found = langid.predict(docs, model).collect()

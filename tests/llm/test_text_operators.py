@@ -176,6 +176,7 @@ def test_line_rules():
     assert rule("sting sting sting sting sting now.") == "stutter"
     assert rule("no end of a sentence here") == "punctuation"
     assert rule("Home. Products Cart Contact") == "punctuation"
+    assert rule("One sentence. " + "And words of another one that is cut off " * 3) is None
     for line in ("Alle Rechte vorbehalten.", "Todos los derechos reservados.", "Tous droits réservés.", "© 2020 Somebody Inc.", "See www.somewhere.org."):
         assert rule(line) == "boilerplate"
     assert rule("A plain sentence, with words. And one more!\" ") is None
