@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densika.llm import bpe, langid, lm, neardup, packing, quality_rules, repeats, topk, toxicity, warc
-from densika.llm.common import held_out, read, shared_folder
+from densika.llm.common import cut, drop_folder, held_out, read, shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -61,11 +61,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
     warc.write(read(spark, sf_dir, "pages", "page_id", "url", "html"), folder, "page_id", "url", "html")
-    found = warc.read(spark, folder)
-    return found.select(
+    found = cut(warc.read(spark, folder).select(
         warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest",
         F.col("type").alias("record_type"), warc.page_id("refers_to").alias("refers_to"),
-    )
+    ))
+    drop_folder(spark, folder)
+    return found
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

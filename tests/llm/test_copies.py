@@ -86,6 +86,23 @@ def test_groups_of_copies(spark, copies, monkeypatch, classes, shingles):
     check(neardup.near_duplicates(df, width=3, percent=85).collect(), copies, 3, 85)
 
 
+@pytest.mark.parametrize("n", [100, 300])
+def test_a_cluster_of_near_copies_costs_what_it_holds(spark, monkeypatch, n):
+    """Split into blocks, each class travels once for each pivot, and each pivot once for each block; nothing is left over."""
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 16)
+    base, rng = prose(random.Random(1), 300, 5000), random.Random(2)
+    df = spark.createDataFrame([(k, edited(rng, base, 0.005)) for k in range(n)], "id long, text string")
+    classes = neardup.profiles(df, 3).select("id", "n", "digest", "keys").dropDuplicates(["digest"])
+    members = neardup.cut(neardup.split(neardup.clusters(classes)))
+    blocks = members.agg({"parts": "max"}).first()[0]
+    assert blocks > 2 and neardup.blocks(members).count() <= members.count() + members.select("pivot").distinct().count() * blocks
+    connected = spark.createDataFrame([(r["id"], 0) for r in members.select("id").distinct().collect()], "id long, component long")
+    assert neardup.rest_blocks(members, connected).count() == 0
+    alone = connected.where("id > 3")
+    left = neardup.rest_blocks(members, alone).where("side = 1").select("id").distinct().collect()
+    assert {r["id"] for r in left} <= {0, 1, 2, 3}
+
+
 def test_bitmap_only_saves_work(spark, copies):
     df = spark.createDataFrame(copies[:120], "doc_id long, text string")
     check(neardup.near_duplicates(df, width=3, percent=85, bitmap_bits=64).collect(), copies[:120], 3, 85)
