@@ -291,7 +291,7 @@ def near_duplicates(
         rest = cut(rest_blocks(members, connected_components(found)))
         if rest.limit(1).count():
             found = verified(rest).unionAll(found)
-    component = connected_components(found).select(F.col("id").alias("class"), "component")
+    component = cut(connected_components(found).select(F.col("id").alias("class"), "component"))  # a join that can be split
     found = member.join(component, "class", "left").select(F.col("id").alias("node"), F.coalesce("component", "class").alias("component"))
     out = F.coalesce("component", "id")
     return own.select("id", "n").join(found, F.col("id") == F.col("node"), "left").select(
