@@ -1,5 +1,6 @@
 """BPE, packing and quality rules against the tokenizers library and plain Python."""
 
+import hashlib
 import random
 import re
 import zlib
