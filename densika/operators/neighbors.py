@@ -7,6 +7,10 @@ are hot. Nothing is broadcast unless the planner finds a side small.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +27,10 @@ def _around(probes: DataFrame, side: float) -> DataFrame:
     return own.withColumns({"cx": F.col("cx") + F.col("_sx"), "cy": F.col("cy") + F.col("_sy")}).drop("_sx", "_sy")
 
 
-#: Points that pairs_brute() takes at most.
+#: Points that pairs_brute() takes at most, unless it is told otherwise.
 BRUTE_POINTS = 50_000
+#: Points of a block of pairs_brute(), those of one side that are compared at a time, and the most pairs of blocks in a task.
+BLOCK_POINTS, STRIP_POINTS, TASK_BLOCKS = 4096, 64, 64
 
 
 def range_join(
@@ -49,13 +55,43 @@ def pairs(points: DataFrame, eps: float) -> DataFrame:
     return range_join(points, points, eps, ["id src"], ["id dst"])
 
 
-def pairs_brute(points: DataFrame, eps: float) -> DataFrame:
-    """The same by comparing all pairs; a check for small inputs, which fails beyond BRUTE_POINTS."""
-    if points.limit(BRUTE_POINTS + 1).count() > BRUTE_POINTS:
-        raise ValueError(f"more than {BRUTE_POINTS} points; take pairs()")
-    a, b = points.alias("a"), points.alias("b")
-    near = distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")) <= F.lit(float(eps))
-    return a.crossJoin(b).where(near).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+def pairs_brute(points: DataFrame, eps: float, most: int | None = BRUTE_POINTS) -> DataFrame:
+    """The same by comparing all pairs, as a check; fails beyond most points, and takes any number if most is None.
+
+    Points are dealt into blocks by hash. Each two blocks meet once, in a row of their own, and are compared strip by strip, so
+    a task holds a bounded number of points and of pairs, and nothing is broadcast. The time grows with the points' square.
+    """
+    if most is not None and points.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} points; take pairs()")
+    points = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    k = max(1, -(-points.count() // BLOCK_POINTS))
+    meetings = k * (k + 1) // 2
+    tasks = min(meetings, max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-meetings // TASK_BLOCKS)))
+    dealt = points.select(F.pmod(F.xxhash64("id", "x", "y"), F.lit(k)).alias("block"), F.struct("id", "x", "y").alias("point"))
+    blocks = dealt.groupBy("block").agg(F.collect_list("point").alias("points"))
+    a = blocks.select(F.col("block").alias("i"), F.col("points").alias("a"), F.explode(F.sequence("block", F.lit(k - 1).cast("long"))).alias("j"))
+    both = a.join(blocks.select(F.col("block").alias("j"), F.col("points").alias("b")), "j").select("i", "j", "a", "b").repartition(tasks)
+    names, strip, block, radius = ["src", "dst"], STRIP_POINTS, BLOCK_POINTS, float(eps)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, a, b in zip(*batch.columns, strict=True):
+                (a_ids, *a_at), (b_ids, *b_at) = a.values.flatten(), b.values.flatten()
+                (ax, ay), (bx, by) = ([v.to_numpy(zero_copy_only=False) for v in at] for at in (a_at, b_at))
+                for m in range(0, len(ax), strip):
+                    for n in range(0, len(bx), block):
+                        with np.errstate(invalid="ignore", over="ignore"):  # infinite points are nobody's neighbours
+                            dx, dy = (u[m : m + strip, None] - v[n : n + block] for u, v in ((ax, bx), (ay, by)))
+                            near = np.flatnonzero(np.sqrt(dx * dx + dy * dy) <= radius)
+                        if len(near):
+                            p, q = np.divmod(near, dx.shape[1])
+                            found = [a_ids.take(pa.array(p + m)), b_ids.take(pa.array(q + n))]
+                            yield pa.RecordBatch.from_arrays(found, names)
+                            if i != j:
+                                yield pa.RecordBatch.from_arrays(found[::-1], names)
+
+    kind = points.schema["id"].dataType.simpleString()
+    return both.mapInArrow(compare, f"src {kind}, dst {kind}")
 
 
 def neighbor_counts(points: DataFrame, eps: float, partitions: int | None = None) -> DataFrame:

@@ -268,7 +268,7 @@ def eps_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(EMB_SQL, EMB[0], "pairs") + "SELECT src, dst FROM pairs")
 def eps_pairs_brute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbors.pairs_brute(sources.from_embeddings(spark, sf_dir), EMB[0])
+    return neighbors.pairs_brute(sources.from_embeddings(spark, sf_dir), EMB[0], most=None)
 
 
 @query(_with(EVENTS_SQL, EVENTS[0], "pairs") + "SELECT src AS id, count(*) AS n FROM pairs GROUP BY src")

@@ -12,6 +12,7 @@ from densika.operators.components import connected_components
 from densika.operators.lineage import shared_folder, traced
 from densika.operators.ordered import ordinal, running_sum
 from densika.plans import estimates
+from densika.queries import QUERIES
 from densika.sources import points as sources
 from densika.sources import sinks
 from densika.streaming import points as streaming
@@ -237,6 +238,27 @@ def test_range_join_is_an_equi_join(spark):
         neighbors.pairs_brute(spark.range(neighbors.BRUTE_POINTS + 1).selectExpr("id", "0.0 AS x", "0.0 AS y"), 1.0)
 
 
+def test_brute_pairs_of_more_points_than_the_guard(spark, tmp_path):
+    n = neighbors.BRUTE_POINTS + 1
+    spark.range(n).selectExpr("id AS vec_id", "array(floor(id / 3) * 0.05F, 0.0F) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["eps_pairs_brute"](spark, str(tmp_path)).agg(F.count("*"), F.min("src"), F.max("dst"), F.count_if(F.expr("src DIV 3 = dst DIV 3")))
+    assert tuple(found.first()) == (3 * n, 0, n - 1, 3 * n)
+
+
+def test_brute_pairs_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_POINTS", 7)
+    monkeypatch.setattr(neighbors, "STRIP_POINTS", 2)
+    rng = random.Random(5)
+    rows = [(k, rng.uniform(0, 3), rng.uniform(0, 3)) for k in range(60)] + [(None, 1.0, 1.0), (7, 1.0, 1.5), (100, 1.0, 1.5), (100, 1.0, 1.5)]
+    odd = [(200, None, 1.0), (201, 1.0, None), (202, math.nan, 1.0), (203, math.inf, 1.0), (204, math.inf, 1.0), (205, -math.inf, 1e308), (None, None, None)]
+    df = spark.createDataFrame(rows + odd, "id long, x double, y double").repartition(3)
+    expected = [(a, b) for a, ax, ay in rows for b, bx, by in rows if math.sqrt((ax - bx) ** 2 + (ay - by) ** 2) <= 0.5]
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    for most in (100, None):
+        assert sorted(map(key, neighbors.pairs_brute(df, 0.5, most).collect())) == sorted(map(key, expected))
+    assert neighbors.pairs_brute(df.limit(0), 0.5, None).collect() == []
+
+
 def test_estimates_choose_partitions(spark, monkeypatch):
     assert [estimates.sampling_step(n) for n in (10, 2_000_000, 2_000_001, 50_000_000)] == [100, 100, 51, 1250]
     points = frame(spark, [(0.001 * k, 0.0) for k in range(1000)])
