@@ -200,6 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     texts = cut(texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic", "part").agg(F.min("text").alias("text")))
 
     def counted(rows: dict[str, list]) -> dict[str, object]:
+        remembered("toxicity sample")  # what other operators left in the worker goes before models come
         found: dict[tuple[bytes, int], int] = Counter()
         for line, toxic in zip(rows["line"], rows["toxic"], strict=True):
             found.update((g, toxic) for w in words(line) for g in grams(w))
@@ -219,6 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     tried = [kneser_ney(counts, shared, d) for d in DISCOUNTS]
 
     def measured(rows: dict[str, list]) -> dict[str, object]:
+        remembered("toxicity sample")
         sums, n = [], []
         for text in rows["text"]:
             own = Counter(words(text))

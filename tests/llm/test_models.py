@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from densika.llm import langid, lm, toxicity
+from densika.llm import common, langid, lm, toxicity
 from densika.llm.common import held_out, mixed
 from tests.llm.conftest import prose, rows
 
@@ -234,6 +234,26 @@ def test_toxic_texts_are_found(spark):
     assert kept == {r["doc_id"] for r in toxicity.score(docs, models).where("predicted = 0").collect()}
 
 
+def test_learning_gives_up_what_workers_hold(spark, docs, monkeypatch):
+    """A worker that has packed texts holds a memo of words, which must not stay while models are fitted."""
+    ran, plain = spark.sparkContext.accumulator(0), toxicity.map_batches
+
+    def watched(df, schema, fn):
+        def run(rows):
+            common.remembered("left over")
+            found = fn(rows)
+            assert "left over" not in common._HELD
+            ran.add(1)
+            return found
+
+        return plain(df, schema, run)
+
+    monkeypatch.setattr(toxicity, "map_batches", watched)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    assert toxicity.learn(docs, labels, "doc_id", "text", "toxic", None, 100).slope
+    assert ran.value >= 2
+
+
 def test_toxicity_of_odd_documents(spark, docs, none):
     _, labels = toxic_corpus(spark, 40)
     odd = labels.unionAll(spark.createDataFrame([(None, 1), (3, None), (3, 1), (3, 1), (9999, 0)], "doc_id long, toxic int"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -53,6 +54,24 @@ def test_memo_forgets_without_a_change(monkeypatch):
     assert small.encode(text) == small.encode(text) == library_ids(text)
 
 
+def test_words_not_met_lately_take_little_memory():
+    words = {b"%d" % (k * k): bytes(4 * (k % 5)) for k in range(20_000)} | {b"": b"none"}
+    held = bpe.Frozen(words)
+    assert all(held.get(k) == v for k, v in words.items())
+    assert held.get(b"absent") is held.get(b"2") is bpe.Frozen({}).get(b"") is None
+    size = sum(map(sys.getsizeof, (held.data, held.first, held.starts)))
+    assert 2 * size < sys.getsizeof(words) + sum(map(sys.getsizeof, [*words, *words.values()]))
+
+
+def test_a_full_memo_is_frozen(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 200)
+    small, rng = bpe.Encoder(open(PATH, encoding="utf-8").read()), random.Random(3)
+    for _ in range(40):
+        text = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(60)}{rng.choice(['', ',', '.', 'é', '漢'])}" for _ in range(100))
+        assert small.encode(text) == library_ids(text)
+        assert isinstance(small.older, bpe.Frozen) and len(small) <= 102
+
+
 def test_other_vocabularies_are_refused():
     with pytest.raises((ValueError, KeyError, StopIteration)):
         bpe.Encoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
